@@ -489,11 +489,11 @@ def d24(spark, sf):
     return serving.top(published(spark, sf, "worklist"), 5, "list_order").select("place_code", "entity_name", "status", "why_listed", "next_step", "list_order")
 
 
-@register("d25_entity_pressure", with_star(("worklist",), """
-SELECT place_code, entity_id, 0 AS ord, 'ROOM' AS figure, learners_per_room / 50.0::DOUBLE AS share_of_reference FROM worklist
-UNION ALL SELECT place_code, entity_id, 1, 'ES', CASE WHEN offers_es THEN CAST(es_learners AS DOUBLE) / nullif(es_teachers, 0) / 50.0::DOUBLE ELSE 0 END FROM worklist
-UNION ALL SELECT place_code, entity_id, 2, 'JHS', CASE WHEN offers_jhs THEN CAST(jhs_learners AS DOUBLE) / nullif(jhs_teachers, 0) / 51.0::DOUBLE ELSE 0 END FROM worklist
-UNION ALL SELECT place_code, entity_id, 3, 'SHS', CASE WHEN offers_shs THEN CAST(shs_learners AS DOUBLE) / nullif(shs_teachers, 0) / 52.0::DOUBLE ELSE 0 END FROM worklist"""))
+@register("d25_entity_pressure", with_star(("worklist",), f"""
+SELECT place_code, entity_id, 0 AS ord, 'ROOM' AS figure, learners_per_room / {star.SCREEN}::DOUBLE AS share_of_reference FROM worklist
+UNION ALL SELECT place_code, entity_id, 1, 'ES', CASE WHEN offers_es THEN CAST(es_learners AS DOUBLE) / nullif(es_teachers, 0) / {star.REFERENCES['ES']}::DOUBLE ELSE 0 END FROM worklist
+UNION ALL SELECT place_code, entity_id, 2, 'JHS', CASE WHEN offers_jhs THEN CAST(jhs_learners AS DOUBLE) / nullif(jhs_teachers, 0) / {star.REFERENCES['JHS']}::DOUBLE ELSE 0 END FROM worklist
+UNION ALL SELECT place_code, entity_id, 3, 'SHS', CASE WHEN offers_shs THEN CAST(shs_learners AS DOUBLE) / nullif(shs_teachers, 0) / {star.REFERENCES['SHS']}::DOUBLE ELSE 0 END FROM worklist"""))
 def d25(spark, sf):
     rows = published(spark, sf, "worklist")
     packs = [F.struct(F.lit(0).alias("ord"), F.lit("ROOM").alias("figure"), (F.col("learners_per_room") / star.SCREEN).alias("share_of_reference"))]
@@ -602,8 +602,8 @@ def d37(spark, sf):
     return serving.options(serving.place_labels(star.places(spark, sf)), "province_label", region_name="ASIA (AS)")
 
 
-@register("d38_reference_table", with_star(("level_grid", "screen"), """
-SELECT 'Classroom pressure' AS measure, 'ALL' AS level_code, 50.0::DOUBLE AS reference, 'at or above' AS comparison, (SELECT count(*) FROM screen WHERE is_assessed) AS places_assessed
+@register("d38_reference_table", with_star(("level_grid", "screen"), f"""
+SELECT 'Classroom pressure' AS measure, 'ALL' AS level_code, {star.SCREEN}::DOUBLE AS reference, 'at or above' AS comparison, (SELECT count(*) FROM screen WHERE is_assessed) AS places_assessed
 UNION ALL SELECT 'Teacher pressure', level_code, reference, 'above', count(*) FILTER (WHERE passes_gate) FROM level_grid GROUP BY level_code, reference"""))
 def d38(spark, sf):
     table = serving.reference_table(spark, star.REFERENCES, star.SCREEN)

@@ -14,8 +14,8 @@ from placegrid.session import scratch_path
 
 PERIOD, POPULATION_YEAR = "1998", 2000
 CENSUSES = {"1996": 1996, "2000": 2000}
-REFERENCES = {"ES": 50.0, "JHS": 51.0, "SHS": 52.0}
-SCREEN = 50.0
+REFERENCES = {"ES": 53.0, "JHS": 54.0, "SHS": 56.0}
+SCREEN = 130.0
 ANNEX = "annex"
 LEVELS = ("ES", "JHS", "SHS")
 CHANGED_PLACES = ("P03", "P17")
@@ -342,7 +342,7 @@ SELECT g.*, v.level_code, v.reference, count(s.entity_id) AS offered_count,
        CAST(coalesce(sum(s.learner_count), 0) AS BIGINT) AS public_enrollment,
        CAST(coalesce(sum(s.learner_count) FILTER (WHERE s.usable OR s.zero_annex), 0) AS BIGINT) AS eligible_learners,
        CAST(coalesce(sum(s.teacher_count) FILTER (WHERE s.usable), 0) AS BIGINT) AS teacher_count
-FROM lgu g CROSS JOIN (VALUES ('ES', 50.0::DOUBLE), ('JHS', 51.0), ('SHS', 52.0)) v(level_code, reference)
+FROM lgu g CROSS JOIN (VALUES {', '.join(f"('{k}', {v}::DOUBLE)" for k, v in REFERENCES.items())}) v(level_code, reference)
 LEFT JOIN (
   SELECT f.entity_id, f.place_code, f.level_code, f.learner_count, t.teacher_count,
          coalesce(t.teacher_count > 0 AND f.learner_count IS NOT NULL, false) AS usable,
