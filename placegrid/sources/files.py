@@ -26,7 +26,7 @@ def read_delimited(spark: SparkSession, path: str, columns: Sequence[str], encod
     """S-1: every column as text, a published blank as '', ragged rows refused, header checked, rows numbered from 1."""
     rows = (spark.read.schema(text_schema(columns)).option("header", True).option("enforceSchema", False)
             .option("mode", "FAILFAST").option("encoding", encoding).option("sep", delimiter)
-            .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
+            .option("quote", "\"").option("escape", "\"").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
     return _numbered(rows, columns, 1).withColumns({c: F.coalesce(F.col(c), F.lit("")) for c in columns})
 
 
