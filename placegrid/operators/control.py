@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from placegrid.session import literal_table
 from placegrid.operators.scale import tie_ranked_first
 
 
@@ -67,7 +68,7 @@ def without_superseded(results: DataFrame, batches: DataFrame, current: DataFram
 def lane_status(lanes: Sequence[str], ledger: DataFrame, lane: str = "lane", status: str = "status") -> DataFrame:
     """Q-27: one check per expected lane; a lane that never ran fails as 'not run'."""
     spark = ledger.sparkSession
-    expected = spark.createDataFrame([(x,) for x in lanes], f"`{lane}` string")
+    expected = literal_table(spark, [(x,) for x in lanes], f"`{lane}` string")
     seen = ledger.groupBy(lane).agg(F.bool_and(F.col(status) == "succeeded").alias("_ok"),
                                     F.max(F.when(F.col(status) != "succeeded", F.col(status))).alias("_bad"))
     joined = F.broadcast(expected).join(seen, lane, "left")
@@ -141,7 +142,7 @@ def daily_trend(results: DataFrame, ts: str, first_day: str, last_day: str, laye
     counts = history(results, ts, first_day, last_day).groupBy(
         F.col(ts).cast("date").alias("day"), layer, status).agg(F.count("*").alias("_n"))
     day = F.explode(F.sequence(F.lit(first_day).cast("date"), F.lit(last_day).cast("date")))
-    known = results.sparkSession.createDataFrame([(x,) for x in layers], f"`{layer}` string")
+    known = literal_table(results.sparkSession, [(x,) for x in layers], f"`{layer}` string")
     grid = (known.union(counts.select(layer)).distinct().withColumn("day", day)
             .withColumn(status, F.explode(F.array(*[F.lit(s) for s in statuses]))))
     return grid.join(counts, ["day", layer, status], "left").select(

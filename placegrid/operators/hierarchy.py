@@ -10,7 +10,8 @@ from placegrid.operators.scale import BLOCK_ROWS, carry_forward, running_sum
 from placegrid.session import materialize
 
 
-def _nesting(places: DataFrame, spans: DataFrame, by: Sequence[str], pos: str, name: str, block: int) -> DataFrame:
+def _nesting(places: DataFrame, spans: DataFrame, by: Sequence[str], pos: str, name: str, block: int,
+             last_pos: int | None = None) -> DataFrame:
     """Adds how many spans enclose each place: +1 after a span starts, -1 after it ends, summed in order.
 
     Spans nest, so this needs no range join.
@@ -19,7 +20,11 @@ def _nesting(places: DataFrame, spans: DataFrame, by: Sequence[str], pos: str, n
     closes = spans.select(*by, (F.col("end_pos") + 1).alias(pos), F.lit(-1).alias("_d"))
     deltas = opens.unionByName(closes).groupBy(*by, pos).agg(F.sum("_d").alias("_delta"))
     joined = places.join(deltas, [*by, pos], "left")
-    return running_sum(joined, by, pos, {name: F.coalesce("_delta", F.lit(0))}, block).drop("_delta")
+    return running_sum(joined, by, pos, {name: F.coalesce("_delta", F.lit(0))}, block, last_pos).drop("_delta")
+
+
+def _last_position(rows: DataFrame, pos: str) -> int:
+    return rows.agg(F.coalesce(F.max(pos), F.lit(0)).alias("p")).first()["p"]
 
 
 def spans_from_sums(places: DataFrame, by: Sequence[str], pos: str, measures: Sequence[str], max_passes: int = 32,
@@ -32,17 +37,18 @@ def spans_from_sums(places: DataFrame, by: Sequence[str], pos: str, measures: Se
     """
     by = list(by)
     rows = materialize(places.select(*by, pos, *measures))
+    last = _last_position(rows, pos)
     spans = None
     for number in range(1, max_passes + 1):
         if spans is None:
             state = rows.withColumn("_covered", F.lit(False)).withColumn("_done", F.lit(False))
         else:
-            state = (_nesting(rows, spans, by, pos, "_depth", block)
+            state = (_nesting(rows, spans, by, pos, "_depth", block, last)
                      .withColumn("_covered", F.col("_depth") > 0).drop("_depth")
                      .join(spans.select(*by, F.col("start_pos").alias(pos), F.lit(True).alias("_done")), [*by, pos], "left")
                      .withColumn("_done", F.coalesce("_done", F.lit(False))))
         state = running_sum(state, by, pos, {f"_r{i}": F.when(~F.col("_covered"), F.col(m)).otherwise(F.lit(0))
-                                             for i, m in enumerate(measures)}, block)
+                                             for i, m in enumerate(measures)}, block, last)
         reached = F.array(*[F.col(f"_r{i}").cast("bigint") for i in range(len(measures))])
         goal = F.array(*[(F.col(f"_r{i}") + F.col(m)).cast("bigint") for i, m in enumerate(measures)])
         complete = F.lit(True)
@@ -76,12 +82,14 @@ def tree_from_spans(places: DataFrame, spans: DataFrame, by: Sequence[str], pos:
     The enclosing place at each depth is the last span start of that depth, carried forward.
     """
     by = list(by)
+    places = materialize(places)
+    last = _last_position(places, pos)
     starts = spans.select(*by, F.col("start_pos").alias(pos), F.lit(True).alias("is_aggregate"))
-    tree = (_nesting(places, spans, by, pos, "depth", block).join(starts, [*by, pos], "left")
+    tree = (_nesting(places, spans, by, pos, "depth", block, last).join(starts, [*by, pos], "left")
             .withColumn("is_aggregate", F.coalesce("is_aggregate", F.lit(False))))
     for d in range(depths):
         head = F.when(F.col("is_aggregate") & (F.col("depth") == d), F.struct(F.col(pos).alias("p"), F.col(name).alias("n")))
-        tree = carry_forward(tree, by, pos, head, f"_at{d}", block)
+        tree = carry_forward(tree, by, pos, head, f"_at{d}", block, last)
     parent, parent_name = F.lit(None).cast("bigint"), F.lit(None).cast("string")
     for d in range(depths):
         parent = F.when(F.col("depth") == d + 1, F.col(f"_at{d}.p")).otherwise(parent)

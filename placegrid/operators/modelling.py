@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from placegrid.session import literal_table
 from placegrid.rules import EXCLUDED, UNKNOWN
 
 
@@ -34,7 +35,7 @@ def with_technical_members(df: DataFrame, key: str, label: str, members: Mapping
     members = members or {UNKNOWN: ("Unknown", "unknown"), EXCLUDED: ("Excluded from analysis", "excluded")}
     rows = [(code, text, kind) for code, (text, kind) in members.items()]
     kind = df.schema[key].dataType.simpleString()
-    technical = df.sparkSession.createDataFrame(rows, f"`{key}` {kind}, `{label}` string, `{member_type}` string")
+    technical = literal_table(df.sparkSession, rows, f"`{key}` {kind}, `{label}` string, `{member_type}` string")
     return df.withColumn(member_type, F.lit("regular")).unionByName(technical, allowMissingColumns=True)
 
 

@@ -14,17 +14,23 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from placegrid.session import materialize
 
 BLOCK_ROWS = 100_000
+# a proven bound on what one task may order on its own
+ONE_TASK_ROWS = 100_000
 
 
 def running_sum(df: DataFrame, by: Sequence[str], pos: str, sums: dict[str, Column | str],
-                block: int = BLOCK_ROWS) -> DataFrame:
+                block: int = BLOCK_ROWS, last_pos: int | None = None) -> DataFrame:
     """Adds inclusive running sums by ``pos`` within ``by``: ``{new_column: value}``.
 
     ``pos`` is a whole number that grows with the order (a row number). Rows are windowed inside blocks of
-    ``block`` positions; each block's offset comes from the block totals, a table ``block`` times smaller.
+    ``block`` positions; each block's offset comes from the block totals, a table ``block`` times smaller. A caller
+    that knows ``last_pos`` lies inside the first block saves the offsets.
     """
     by = list(by)
     values = {name: (F.col(v) if isinstance(v, str) else v) for name, v in sums.items()}
+    if last_pos is not None and last_pos < block:
+        whole = Window.partitionBy(*by).orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumns({n: F.coalesce(F.sum(v).over(whole), F.lit(0)) for n, v in values.items()})
     rows = df.withColumn("_block", F.floor(F.col(pos) / block))
     totals = rows.groupBy(*by, "_block").agg(*[F.sum(v).alias(f"_t_{n}") for n, v in values.items()])
     before = Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
@@ -40,10 +46,13 @@ def running_sum(df: DataFrame, by: Sequence[str], pos: str, sums: dict[str, Colu
 
 
 def carry_forward(df: DataFrame, by: Sequence[str], pos: str, value: Column | str, name: str,
-                  block: int = BLOCK_ROWS) -> DataFrame:
+                  block: int = BLOCK_ROWS, last_pos: int | None = None) -> DataFrame:
     """Adds the last non-null ``value`` at or before each row, in ``pos`` order within ``by`` (C-30)."""
     by = list(by)
     value = F.col(value) if isinstance(value, str) else value
+    if last_pos is not None and last_pos < block:
+        whole = Window.partitionBy(*by).orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumn(name, F.last(value, ignorenulls=True).over(whole))
     rows = df.withColumn("_block", F.floor(F.col(pos) / block)).withColumn("_value", value)
     tails = (rows.filter(F.col("_value").isNotNull()).groupBy(*by, "_block")
              .agg(F.max_by("_value", pos).alias("_tail")))
@@ -59,38 +68,78 @@ def carry_forward(df: DataFrame, by: Sequence[str], pos: str, value: Column | st
 def position_in_order(df: DataFrame, order: Sequence[Column], name: str, by: Sequence[str] = ()) -> DataFrame:
     """Adds the 1-based position of each row in ``order``, over the whole table or within ``by``.
 
-    The rows are range-partitioned on the order itself and written out once, so the pieces stay fixed; each piece
-    is numbered on its own and shifted by the row counts of the pieces before it. ``order`` must be total.
+    The rows are written out once. Up to ``ONE_TASK_ROWS`` of them are numbered by a plain window. More are
+    range-partitioned on the order itself and written with their piece number, so the pieces stay fixed; each
+    piece is numbered on its own and shifted by the row counts of the pieces before it. ``order`` must be total.
     """
     by = list(by)
+    rows = materialize(df)
+    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    if rows.count() <= ONE_TASK_ROWS:
+        return rows.withColumn(name, F.row_number().over(group.orderBy(*order)).cast("bigint"))
     keys = [*[F.col(c).asc_nulls_first() for c in by], *order]
-    pieces = materialize(df.repartitionByRange(*keys).withColumn("_piece", F.spark_partition_id()))
-    before = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy("_piece")
+    pieces = materialize(rows.repartitionByRange(*keys).withColumn("_piece", F.spark_partition_id()))
+    before = group.orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (pieces.groupBy(*by, "_piece").count()
-               .withColumn("_shift", F.coalesce(
-                   F.sum("count").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+               .withColumn("_shift", F.coalesce(F.sum("count").over(before), F.lit(0)))
                .select(*[F.col(c).alias(f"_k_{c}") for c in [*by, "_piece"]], "_shift"))
     local = pieces.withColumn("_local", F.row_number().over(Window.partitionBy(*by, "_piece").orderBy(*order)))
     same = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in [*by, "_piece"]]
-    return (local.join(offsets, same).withColumn(name, F.col("_local") + F.col("_shift"))
+    return (local.join(offsets, same).withColumn(name, (F.col("_local") + F.col("_shift")))
             .drop("_piece", "_local", "_shift", *[f"_k_{c}" for c in [*by, "_piece"]]))
 
 
-def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probabilities: dict[str, float],
-                    cuts: int = 200) -> DataFrame:
+def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probabilities: dict[str, float]) -> DataFrame:
     """One row per group: ``n`` and each linearly interpolated quantile, exact for groups of any size.
 
-    Equal values are first counted together. A bounded sketch gives each group value cuts; the counts between the
-    cuts tell which slices hold the wanted ranks; only those slices are then ordered.
+    Groups of up to ``ONE_TASK_ROWS`` rows are ordered in one task each. Larger groups are cut into slices of
+    the value range first (``_sliced_quantiles``).
     """
     by = list(by)
-    counted = df.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
-    steps = [i / cuts for i in range(1, cuts)]
-    bounds = materialize(counted.groupBy(*by).agg(
-        F.array_distinct(F.percentile_approx("_v", steps, 10 * cuts)).alias("_cuts")))
-    # the slice is the number of cuts below the value
-    sliced = counted.join(bounds, by).withColumn(
-        "_slice", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))).drop("_cuts")
+    rows = df.filter(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v"))
+    sizes = rows.groupBy(*by).agg(F.count("*").alias("n"))
+    large = materialize(sizes.filter(F.col("n") > ONE_TASK_ROWS).select(*by))
+    if large.isEmpty():
+        return _ordered_quantiles(rows, by, probabilities)
+    small = rows.join(large, by, "left_anti")
+    return _ordered_quantiles(small, by, probabilities).unionByName(
+        _sliced_quantiles(rows.join(large, by, "left_semi"), by, probabilities))
+
+
+def _interpolate(low: Column, high: Column, h: Column) -> Column:
+    return low + (h - F.floor(h)) * (high - low)
+
+
+def _ordered_quantiles(rows: DataFrame, by: list[str], probabilities: dict[str, float]) -> DataFrame:
+    """Quantiles by numbering each group; the group count and the pick share the window's partitioning."""
+    group = Window.partitionBy(*by)
+    ranked = rows.withColumn("n", F.count("*").over(group)).withColumn("_at", F.row_number().over(group.orderBy("_v")) - 1)
+    picks = []
+    for name, p in probabilities.items():
+        h = F.lit(p) * (F.col("n") - 1)
+        picks += [F.max(F.when(F.col("_at") == F.floor(h), F.col("_v"))).alias(f"_l_{name}"),
+                  F.max(F.when(F.col("_at") == F.ceil(h), F.col("_v"))).alias(f"_h_{name}")]
+    picked = ranked.groupBy(*by).agg(F.max("n").alias("n"), *picks)
+    return picked.select(*by, "n", *[
+        _interpolate(F.col(f"_l_{name}"), F.col(f"_h_{name}"), F.lit(p) * (F.col("n") - 1)).alias(name) for name, p in probabilities.items()])
+
+
+def _sliced_quantiles(rows: DataFrame, by: list[str], probabilities: dict[str, float], width: int = 16) -> DataFrame:
+    """Quantiles of very large groups.
+
+    Equal values are first counted together. A bounded sketch gives each group ``width * width`` slices of its value
+    range; the counts of the slices tell which of them hold the wanted ranks; only those are then ordered.
+    """
+    counted = rows.groupBy(*by, "_v").agg(F.count("*").alias("_n"))
+    slices = width * width
+    steps = [i / slices for i in range(1, slices)]
+    bounds = materialize(counted.groupBy(*by).agg(F.percentile_approx("_v", steps, 10 * slices).alias("_cuts"))
+                         .withColumn("_coarse", F.array(*[F.element_at("_cuts", i * width) for i in range(1, width)])))
+    # the slice is the number of cuts below the value, found in two short searches
+    below = lambda cuts: F.size(F.filter(cuts, lambda c: c < F.col("_v")))
+    sliced = (counted.join(bounds, by).withColumn("_major", below("_coarse"))
+              .withColumn("_slice", F.col("_major") * width + below(F.slice("_cuts", F.col("_major") * width + 1, width - 1)))
+              .drop("_cuts", "_coarse", "_major"))
     sizes = sliced.groupBy(*by, "_slice").agg(F.sum("_n").alias("_size"))
     up_to = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, 0)
     sizes = sizes.withColumn("_end", F.sum("_size").over(up_to)).withColumn("_start", F.col("_end") - F.col("_size"))
@@ -108,7 +157,7 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probabilities:
             .filter((F.col("_rank") >= F.col("_first")) & (F.col("_rank") < F.col("_last"))))
     low = F.max(F.when(F.col("_rank") == F.floor("h"), F.col("_v")))
     high = F.max(F.when(F.col("_rank") == F.ceil("h"), F.col("_v")))
-    per_q = hits.groupBy(*by, "n", "q").agg((low + (F.max("h") - F.floor(F.max("h"))) * (high - low)).alias("_x"))
+    per_q = hits.groupBy(*by, "n", "q").agg(_interpolate(low, high, F.max("h")).alias("_x"))
     return per_q.groupBy(*by, "n").pivot("q", list(probabilities)).agg(F.max("_x"))
 
 

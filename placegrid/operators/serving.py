@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from placegrid.session import literal_table
 from placegrid import rules
 from placegrid.operators.metrics import entity_rollup, in_scope, ratio
 from placegrid.operators.scale import position_in_order, tie_ranked_first
@@ -408,7 +409,7 @@ def options(rows: DataFrame, column: str, first: str = ALL, **filters) -> DataFr
     for c, v in filters.items():
         kept = kept.filter(chosen(c, v))
     values = kept.select(F.col(column).alias("option")).filter(F.col("option").isNotNull()).distinct().withColumn("ord", F.lit(1))
-    head = rows.sparkSession.createDataFrame([(first, 0)], "option string, ord int")
+    head = literal_table(rows.sparkSession, [(first, 0)], "option string, ord int")
     return head.unionByName(values)
 
 
@@ -416,12 +417,12 @@ def reference_table(spark, references: Mapping[str, float] = rules.TEACHER_REFER
     """D-38: the comparison points as a table."""
     rows = [("Classroom pressure", "ALL", float(screen), "at or above")]
     rows += [("Teacher pressure", level, float(value), "above") for level, value in references.items()]
-    return spark.createDataFrame(rows, "measure string, level_code string, reference double, comparison string")
+    return literal_table(spark, rows, "measure string, level_code string, reference double, comparison string")
 
 
 def rule_table(spark) -> DataFrame:
     """D-38: how each category is assigned."""
     p1, p2, p3, monitor, none, review = rules.PRIORITY_CATEGORIES
-    return spark.createDataFrame(
+    return literal_table(spark, 
         [(p1, 2, "yes"), (p2, 2, "no or unknown"), (p2, 1, "yes"), (p3, 1, "no or unknown"), (monitor, 0, "yes"),
          (none, 0, "no"), (review, 0, "unknown, or a gate failed")], "priority_category string, pressures int, growing string")

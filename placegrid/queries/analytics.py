@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from placegrid.session import literal_table
 from placegrid.operators import metrics, modelling, priority, serving, spatial, trend
 from placegrid.queries import star
 from placegrid.queries.registry import register
@@ -155,7 +156,7 @@ SELECT v.level_code, v.level_name, v.level_order, count(o_orderkey) AS orders
 FROM (VALUES ('1-URGENT', 'Urgent', 1), ('2-HIGH', 'High', 2), ('3-MEDIUM', 'Medium', 3), ('9-NONE', 'None', 4)) v(level_code, level_name, level_order)
 LEFT JOIN orders ON o_orderpriority = v.level_code GROUP BY 1, 2, 3""")
 def g03(spark, sf):
-    dim = spark.createDataFrame([("1-URGENT", "Urgent", 1), ("2-HIGH", "High", 2), ("3-MEDIUM", "Medium", 3), ("9-NONE", "None", 4)],
+    dim = literal_table(spark, [("1-URGENT", "Urgent", 1), ("2-HIGH", "High", 2), ("3-MEDIUM", "Medium", 3), ("9-NONE", "None", 4)],
                                 "level_code string, level_name string, level_order int")
     counts = read(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("level_code")).agg(F.count("*").alias("orders"))
     return F.broadcast(dim).join(counts, "level_code", "left").withColumn("orders", F.coalesce("orders", F.lit(0)).cast("bigint"))

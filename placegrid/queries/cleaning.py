@@ -364,13 +364,13 @@ listed AS (SELECT *, row_number() OVER (ORDER BY a NULLS FIRST, b NULLS FIRST, c
 @register("c35_hierarchy_from_sums", f"""WITH {CENSUS_SQL}
 SELECT l.place_pos AS start_pos, (SELECT max(x.place_pos) FROM listed x WHERE l.depth = 0 OR (x.a = l.a AND (l.depth = 1 OR x.b = l.b))) AS end_pos, 'S1' AS sheet FROM listed l WHERE l.depth < 3""")
 def c35(spark, sf):
-    return hierarchy.spans_from_sums(census_list(spark, sf), ["sheet"], "place_pos", ["m1", "m2", "m3"], block=500).select("sheet", "start_pos", "end_pos")
+    return hierarchy.spans_from_sums(census_list(spark, sf), ["sheet"], "place_pos", ["m1", "m2", "m3"]).select("sheet", "start_pos", "end_pos")
 
 
 @register("c36_close_spans", f"""WITH {CENSUS_SQL}
 SELECT l.place_pos AS start_pos, (SELECT max(x.place_pos) FROM listed x WHERE l.depth = 0 OR (x.a = l.a AND (l.depth = 1 OR x.b = l.b))) AS end_pos, 'S1' AS sheet FROM listed l WHERE l.depth < 3""")
 def c36(spark, sf):
-    spans = hierarchy.spans_from_sums(census_list(spark, sf), ["sheet"], "place_pos", ["m1", "m2", "m3"], block=500)
+    spans = hierarchy.spans_from_sums(census_list(spark, sf), ["sheet"], "place_pos", ["m1", "m2", "m3"])
     return hierarchy.close_spans(spans, ["sheet"]).select("sheet", "start_pos", "end_pos")
 
 
@@ -381,8 +381,8 @@ SELECT l.place_pos, l.place_name, CAST(l.depth AS BIGINT) AS depth, l.depth < 3
        CASE l.depth WHEN 0 THEN 'country' WHEN 1 THEN 'region' WHEN 2 THEN 'province' ELSE 'city_municipality' END AS level, l.r AS region_name, l.n AS province_name FROM listed l""")
 def c37(spark, sf):
     places = census_list(spark, sf)
-    spans = hierarchy.close_spans(hierarchy.spans_from_sums(places, ["sheet"], "place_pos", ["m1", "m2", "m3"], block=500), ["sheet"])
-    tree = hierarchy.tree_from_spans(places.select("sheet", "place_pos", "place_name"), spans, ["sheet"], "place_pos", "place_name", block=500)
+    spans = hierarchy.close_spans(hierarchy.spans_from_sums(places, ["sheet"], "place_pos", ["m1", "m2", "m3"]), ["sheet"])
+    tree = hierarchy.tree_from_spans(places.select("sheet", "place_pos", "place_name"), spans, ["sheet"], "place_pos", "place_name")
     return tree.select("place_pos", "place_name", "depth", "is_aggregate", "parent_pos", "parent_name", "level", "region_name", "province_name")
 
 

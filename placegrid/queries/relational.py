@@ -115,11 +115,12 @@ def k02(spark, sf):
         F.count_distinct("l_partkey").alias("parts"), F.count_distinct(F.struct("l_partkey", "l_suppkey")).alias("pairs"), F.count_distinct(F.when(F.col("l_quantity") > 25, F.col("l_suppkey"))).alias("big_suppliers"))
 
 
-@register("k03_exact_quantiles", "SELECT l_returnflag, count(l_extendedprice) AS n, quantile_cont(l_extendedprice, 0.1) AS p10, quantile_cont(l_extendedprice, 0.5) AS p50, quantile_cont(l_extendedprice, 0.99) AS p99 FROM lineitem GROUP BY 1")
+@register("k03_exact_quantiles", "SELECT l_returnflag, count(l_extendedprice) AS n, round(quantile_cont(l_extendedprice, 0.1), 4) AS p10, round(quantile_cont(l_extendedprice, 0.5), 4) AS p50, round(quantile_cont(l_extendedprice, 0.99), 4) AS p99 FROM lineitem GROUP BY 1")
 def k03(spark, sf):
     from placegrid.operators.scale import exact_quantiles
 
-    return exact_quantiles(read(spark, sf, "lineitem"), ["l_returnflag"], "l_extendedprice", {"p10": 0.1, "p50": 0.5, "p99": 0.99})
+    q = exact_quantiles(read(spark, sf, "lineitem"), ["l_returnflag"], "l_extendedprice", {"p10": 0.1, "p50": 0.5, "p99": 0.99})
+    return q.select("l_returnflag", "n", *[F.round(c, 4).alias(c) for c in ("p10", "p50", "p99")])
 
 
 @register("k04_distinct_text_list", "SELECT o_custkey, string_agg(DISTINCT o_orderpriority, ', ' ORDER BY o_orderpriority) AS priorities FROM orders GROUP BY 1")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from placegrid.operators import metrics, modelling, priority, serving, trend
-from placegrid.session import scratch_path
+from placegrid.session import literal_table, scratch_path
 
 PERIOD, POPULATION_YEAR = "1998", 2000
 CENSUSES = {"1996": 1996, "2000": 2000}
@@ -117,7 +117,7 @@ def population_cells(spark, sf):
 def population(spark, sf):
     placed = population_cells(spark, sf).join(entities(spark, sf).select("entity_id", "place_code", "match_status"), "entity_id")
     summed = modelling.sum_into_members(placed, ["place_code", "reference_year", "age", "sex"], "population", "match_status")
-    changed = spark.createDataFrame([(p,) for p in CHANGED_PLACES], "place_code string")
+    changed = literal_table(spark, [(p,) for p in CHANGED_PLACES], "place_code string")
     return modelling.comparable_members(summed, "place_code", "reference_year", 2, changed)
 
 

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 
 def build_session(app: str = "placegrid", cores: int | str = "*", shuffle_partitions: int = 8,
@@ -42,17 +42,24 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the reliable checkpoint folder and continue from there.
+    """Write ``df`` as a table in the shared folder and continue from there.
 
     Used where a plan is read more than once and must give the same rows each time (a sampled range
-    partitioning), or where a loop would otherwise grow its lineage. Survives the loss of executors.
+    partitioning), or where a loop would otherwise grow its lineage. Survives the loss of executors, and unlike an
+    in-memory copy it is read by column and has a known size, so small results can be broadcast.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
+    path = scratch_path(df.sparkSession, "stage")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder, for a table or file set one job writes and reads back."""
     return f"{shared_dir(spark)}/placegrid/{name}-{uuid.uuid4().hex}"
+
+
+def literal_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small table of fixed rows, as a literal in the plan rather than a shipped dataset."""
+    fields = T.StructType.fromDDL(schema).fields
+    packs = F.array(*[F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(row, fields)]) for row in rows])
+    return spark.range(0, 1, 1, 1).select(F.inline(packs))
