@@ -39,17 +39,18 @@ def resolve(records: DataFrame, record_key: Sequence[str], reference: DataFrame,
     """I-3/I-4: best tier per record; one code there is a match, several are ambiguous, none is unmatched.
 
     ``records`` holds one row per record and scope (see ``with_scopes``); ``rank`` orders the scopes, and a better
-    scope wins over a better tier. Adds ``tier, hits, code, match_status, match_method``.
+    scope wins over a better tier. Scopes of one rank must not share units: their hits are added up. Adds
+    ``rank, tier, hits, code, match_status, match_method``.
     """
     kinds = {}
     for kind, col, _, _ in ladder:
         kinds.setdefault(kind, col)
     extra = [rank] if rank else []
     source = key_rows(records, [*record_key, *scope, *extra], [(k, c, 0) for k, c in kinds.items()]).drop("tier")
-    order = [F.col(rank) if rank else F.lit(0).alias("rank"), F.col("tier")]
-    met = source.join(reference, [*scope, "kind", "key"])
-    best = met.groupBy(*record_key).agg(F.min(F.struct(
-        order[0].alias("rank"), order[1].alias("tier"), "hits", "code")).alias("_b"))
+    met = source.join(reference, [*scope, "kind", "key"]).withColumn("_rank", F.col(rank) if rank else F.lit(0))
+    per_tier = met.groupBy(*record_key, "_rank", "tier").agg(
+        F.sum("hits").cast("bigint").alias("hits"), F.min("code").alias("code"))
+    best = per_tier.groupBy(*record_key).agg(F.min(F.struct(F.col("_rank").alias("rank"), "tier", "hits", "code")).alias("_b"))
     keys = records.select(*record_key).distinct()
     same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in record_key]
     out = keys.alias("l").join(best.alias("r"), same, "left").select("l.*", "r._b.*")
@@ -60,6 +61,18 @@ def resolve(records: DataFrame, record_key: Sequence[str], reference: DataFrame,
             .withColumn("match_method", F.when(F.col("hits") == 1, F.try_element_at(methods, "tier"))))
 
 
+def parents_at_best_tier(records: DataFrame, record_key: Sequence[str], parents: DataFrame, code: str, scope: Sequence[str] = (),
+                         ladder=NAME_LADDER[:4]) -> DataFrame:
+    """I-5: every parent a record's parent name may mean, at its best tier (a parent that was split has two)."""
+    kinds = {kind: col for kind, col, _, _ in ladder}
+    offered = key_rows(parents, [*scope, code], [(kind, col, tier) for kind, _, col, tier in ladder if col in parents.columns])
+    asked = key_rows(records, [*record_key, *scope], [(k, c, 0) for k, c in kinds.items()]).drop("tier")
+    met = asked.join(offered, [*scope, "kind", "key"]).groupBy(*record_key, code).agg(F.min("tier").alias("tier"))
+    best = met.groupBy(*record_key).agg(F.min("tier").alias("tier"))
+    same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in record_key] + [F.col("l.tier") == F.col("r.tier")]
+    return met.alias("l").join(best.alias("r"), same).select("l.*")
+
+
 def with_scopes(records: DataFrame, scopes: Sequence[tuple[int, Column]], scope: str = "scope",
                 rank: str = "scope_rank") -> DataFrame:
     """I-4: one row per scope a record may be searched in, best rank first; NULL scopes are left out."""
