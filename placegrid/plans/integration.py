@@ -71,7 +71,7 @@ def match_sub_unit_names(places: DataFrame, units: DataFrame, cap: int = 40, sho
 
 
 def map_entities(enrollment: DataFrame, crosswalk: DataFrame, units: DataFrame, aliases: DataFrame, region_scopes: dict[str, str],
-                 excluded: Column = F.lit(False)) -> DataFrame:
+                 excluded: Column | None = None) -> DataFrame:
     """The school map: code and name evidence decided per level, one row per school, period and level.
 
     Names are matched once per distinct spelling, codes by equality; both results join back to the schools.
@@ -97,7 +97,7 @@ def map_entities(enrollment: DataFrame, crosswalk: DataFrame, units: DataFrame,
         "code_bgy_agrees": agrees & (F.col("barangay") != ""), "code_city_roll": F.when(F.col("code_city_level").isNotNull(), roll_up("code_city", "code_city_level")),
         "name_city_roll": roll_up("name_city_code", "name_city_level"), "code_bgy_unit": F.when(has_unit, F.col("code_bgy"))})
     supported = F.col("code_bgy_agrees") & (F.col("code_bgy_parent") == F.col("code_city"))
-    city = matching.arbitrate(rows, "code_city_roll", "name_city_roll", supported, excluded).withColumnsRenamed(
+    city = matching.arbitrate(rows, "code_city_roll", "name_city_roll", supported, F.lit(False) if excluded is None else excluded).withColumnsRenamed(
         {"decided_code": "city_code", "match_status": "city_status", "match_method": "city_method", "reason": "city_reason"})
     low = matching.arbitrate(city, "code_bgy_unit", "name_bgy_code", F.col("code_bgy_agrees"), F.lit(False))
     parents = keyed.filter(F.col("geographic_level") == "Bgy").select(F.col("psgc_code").alias("decided_code"), F.col("city_roll").alias("_roll"))
