@@ -217,5 +217,5 @@ def match_rates(df: DataFrame, by: Sequence[str], status: str = "match_status")
     """I-17: rows and percent per status within ``by``."""
     counts = df.groupBy(*by, status).agg(F.count("*").alias("rows"))
     totals = counts.groupBy(*by).agg(F.sum("rows").alias("_total"))
-    out = counts.join(F.broadcast(totals), list(by)) if by else counts.withColumn("_total", counts.agg(F.sum("rows")).scalar())
+    out = counts.join(totals, list(by)) if by else counts.withColumn("_total", counts.agg(F.sum("rows")).scalar())
     return out.withColumn("percent", 100.0 * F.col("rows").cast("double") / F.col("_total")).drop("_total")

@@ -128,37 +128,52 @@ def _sliced_quantiles(rows: DataFrame, by: list[str], probabilities: dict[str, f
     """Quantiles of very large groups.
 
     Equal values are first counted together. A bounded sketch gives each group ``width * width`` slices of its value
-    range; the counts of the slices tell which of them hold the wanted ranks; only those are then ordered.
+    range; the counts of the slices tell which of them hold the wanted ranks. Only those slices go on, and are cut
+    again until each is small enough for one task to order: each round leaves about one part in ``width * width``.
     """
-    counted = rows.groupBy(*by, "_v").agg(F.count("*").alias("_n"))
+    counted = materialize(rows.groupBy(*by, "_v").agg(F.count("*").alias("_n")).withColumn("_path", F.lit("")))
+    totals = counted.groupBy(*by).agg(F.sum("_n").alias("n"))
+    wanted = totals.select("*", F.explode(F.array(*[
+        F.struct(F.lit(name).alias("q"), (F.lit(p) * (F.col("n") - 1)).alias("h")) for name, p in probabilities.items()
+    ])).alias("_w")).select(*by, "n", "_w.q", "_w.h", F.lit("").alias("_path"))
+    # _rank counts from the start of the slice the rank lies in
+    wanted = materialize(wanted.withColumn("_at", F.explode(F.array_distinct(F.array(F.floor("h"), F.ceil("h"))))).withColumn("_rank", F.col("_at")))
+    piece = [*by, "_path"]
+    while True:
+        sizes = counted.groupBy(*piece).agg(F.count("*").alias("_rows"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+        if sizes.filter((F.col("_rows") > ONE_TASK_ROWS) & (F.col("_lo") < F.col("_hi"))).isEmpty():
+            break
+        counted, wanted = _cut_again(counted, wanted, piece, width)
+    inside = Window.partitionBy(*piece).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    ordered = counted.withColumn("_last", F.sum("_n").over(inside)).withColumn("_first", F.col("_last") - F.col("_n"))
+    hits = (wanted.join(ordered, piece)
+            .filter((F.col("_rank") >= F.col("_first")) & (F.col("_rank") < F.col("_last"))))
+    low = F.max(F.when(F.col("_at") == F.floor("h"), F.col("_v")))
+    high = F.max(F.when(F.col("_at") == F.ceil("h"), F.col("_v")))
+    per_q = hits.groupBy(*by, "n", "q").agg(_interpolate(low, high, F.max("h")).alias("_x"))
+    return per_q.groupBy(*by, "n").pivot("q", list(probabilities)).agg(F.max("_x"))
+
+
+def _cut_again(counted: DataFrame, wanted: DataFrame, piece: list[str], width: int) -> tuple[DataFrame, DataFrame]:
+    """One round: slice every piece, move each wanted rank into its slice, keep only the slices that are wanted."""
     slices = width * width
     steps = [i / slices for i in range(1, slices)]
-    bounds = materialize(counted.groupBy(*by).agg(F.percentile_approx("_v", steps, 10 * slices).alias("_cuts"))
+    bounds = materialize(counted.groupBy(*piece).agg(F.percentile_approx("_v", steps, 10 * slices).alias("_cuts"))
                          .withColumn("_coarse", F.array(*[F.element_at("_cuts", i * width) for i in range(1, width)])))
     # the slice is the number of cuts below the value, found in two short searches
     below = lambda cuts: F.size(F.filter(cuts, lambda c: c < F.col("_v")))
-    sliced = (counted.join(bounds, by).withColumn("_major", below("_coarse"))
+    sliced = (counted.join(bounds, piece).withColumn("_major", below("_coarse"))
               .withColumn("_slice", F.col("_major") * width + below(F.slice("_cuts", F.col("_major") * width + 1, width - 1)))
               .drop("_cuts", "_coarse", "_major"))
-    sizes = sliced.groupBy(*by, "_slice").agg(F.sum("_n").alias("_size"))
-    up_to = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, 0)
-    sizes = sizes.withColumn("_end", F.sum("_size").over(up_to)).withColumn("_start", F.col("_end") - F.col("_size"))
-    totals = sizes.groupBy(*by).agg(F.max("_end").alias("n"))
-    wanted = totals.select("*", F.explode(F.array(*[
-        F.struct(F.lit(name).alias("q"), (F.lit(p) * (F.col("n") - 1)).alias("h")) for name, p in probabilities.items()
-    ])).alias("_w")).select(*by, "n", "_w.q", "_w.h")
-    wanted = wanted.withColumn("_rank", F.explode(F.array_distinct(F.array(F.floor("h"), F.ceil("h")))))
-    located = wanted.join(sizes, by).filter((F.col("_rank") >= F.col("_start")) & (F.col("_rank") < F.col("_end")))
-    needed = located.select(*by, "_slice", "_start").distinct()
-    inside = Window.partitionBy(*by, "_slice").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ordered = (sliced.join(needed, [*by, "_slice"]).withColumn("_last", F.col("_start") + F.sum("_n").over(inside))
-               .withColumn("_first", F.col("_last") - F.col("_n")).select(*by, "_slice", "_v", "_first", "_last"))
-    hits = (located.join(ordered, [*by, "_slice"])
-            .filter((F.col("_rank") >= F.col("_first")) & (F.col("_rank") < F.col("_last"))))
-    low = F.max(F.when(F.col("_rank") == F.floor("h"), F.col("_v")))
-    high = F.max(F.when(F.col("_rank") == F.ceil("h"), F.col("_v")))
-    per_q = hits.groupBy(*by, "n", "q").agg(_interpolate(low, high, F.max("h")).alias("_x"))
-    return per_q.groupBy(*by, "n").pivot("q", list(probabilities)).agg(F.max("_x"))
+    up_to = Window.partitionBy(*piece).orderBy("_slice").rowsBetween(Window.unboundedPreceding, 0)
+    ends = sliced.groupBy(*piece, "_slice").agg(F.sum("_n").alias("_size")).withColumn("_end", F.sum("_size").over(up_to))
+    located = wanted.join(ends, piece).filter(
+        (F.col("_rank") >= F.col("_end") - F.col("_size")) & (F.col("_rank") < F.col("_end")))
+    path = F.concat_ws("/", "_path", F.col("_slice").cast("string"))
+    moved = materialize(located.withColumn("_rank", F.col("_rank") - (F.col("_end") - F.col("_size")))
+                        .withColumn("_path", path).drop("_slice", "_size", "_end"))
+    kept = materialize(sliced.withColumn("_path", path).drop("_slice").join(moved.select(*piece).distinct(), piece, "left_semi"))
+    return kept, moved
 
 
 def tie_ranked_first(df: DataFrame, by: Sequence[str], latest: str) -> DataFrame:

@@ -168,7 +168,7 @@ def unit_list(spark, sf):
     two = lambda c: F.lpad(F.col(c).cast("string"), 2, "0")
     r = region.select(F.concat(two("r_regionkey"), F.lit("0000000000")).alias("code"), F.col("r_name").alias("name"), F.lit("Reg").alias("level"))
     n = nation.select(F.concat(two("n_regionkey"), two("n_nationkey"), F.lit("00000000")).alias("code"), F.col("n_name").alias("name"), F.lit("Prov").alias("level"))
-    c = customer.join(F.broadcast(nation), customer.c_nationkey == nation.n_nationkey).select(
+    c = customer.join(nation, customer.c_nationkey == nation.n_nationkey).select(
         F.concat(two("n_regionkey"), two("n_nationkey"), F.lpad((F.col("c_custkey") + 1).cast("string"), 8, "0")).alias("code"),
         F.col("c_name").alias("name"), F.lit("City").alias("level"))
     return r.unionByName(n).unionByName(c)

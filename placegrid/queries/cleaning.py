@@ -340,7 +340,7 @@ def census_list(spark, sf):
         F.count("*").alias("m1"), F.sum(F.floor(F.col("o_totalprice") * 100)).alias("m2"), F.sum("o_orderkey").alias("m3"))
     nation, region = read(spark, sf, "nation"), read(spark, sf, "region")
     leaf = (read(spark, sf, "customer").join(totals, F.col("c_custkey") == F.col("o_custkey"))
-            .join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey")).join(F.broadcast(region), F.col("n_regionkey") == F.col("r_regionkey"))
+            .join(nation, F.col("c_nationkey") == F.col("n_nationkey")).join(region, F.col("n_regionkey") == F.col("r_regionkey"))
             .select(F.col("r_regionkey").alias("a"), F.col("n_nationkey").alias("b"), F.col("c_custkey").alias("c"), "r_name", "n_name", F.col("c_name").alias("place_name"), "m1", "m2", "m3"))
     # one rollup gives every level of the list; a missing key sorts before its children
     listed = leaf.rollup("a", "b", "c").agg(

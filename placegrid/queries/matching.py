@@ -177,7 +177,7 @@ def i08(spark, sf):
 
 
 @register("i09_reviewed_decisions", f"""WITH {_RESOLVED_SQL},
-reviewed AS (SELECT record_id, CASE WHEN record_id % 2 = 0 THEN 'U' || lpad(CAST(record_id AS VARCHAR), 8, '0') END AS reviewed_code, 'reviewed' AS reason FROM resolved WHERE hits > 1 AND record_id % 3 = 0)
+reviewed AS (SELECT record_id, CASE WHEN tier > 3 THEN 'U' || lpad(CAST(record_id AS VARCHAR), 8, '0') END AS reviewed_code, 'reviewed' AS reason FROM resolved WHERE hits = 2)
 SELECT r.record_id, r.rank, r.tier, r.hits, CASE WHEN v.reason IS NULL THEN r.code ELSE v.reviewed_code END AS code,
        CASE WHEN v.reason IS NULL THEN r.match_status WHEN v.reviewed_code IS NULL THEN 'unmatched' ELSE 'matched' END AS match_status,
        CASE WHEN v.reason IS NULL THEN r.match_method ELSE 'reviewed_alias' END AS match_method,
@@ -185,8 +185,8 @@ SELECT r.record_id, r.rank, r.tier, r.hits, CASE WHEN v.reason IS NULL THEN r.co
 FROM resolved r LEFT JOIN reviewed v USING (record_id)""")
 def i09(spark, sf):
     rows = resolved(spark, sf)
-    reviewed = rows.filter((F.col("hits") > 1) & (F.col("record_id") % 3 == 0)).select(
-        "record_id", F.when(F.col("record_id") % 2 == 0, F.concat(F.lit("U"), F.lpad(F.col("record_id").cast("string"), 8, "0"))).alias("reviewed_code"), F.lit("reviewed").alias("reason"))
+    reviewed = rows.filter(F.col("hits") == 2).select(
+        "record_id", F.when(F.col("tier") > 3, F.concat(F.lit("U"), F.lpad(F.col("record_id").cast("string"), 8, "0"))).alias("reviewed_code"), F.lit("reviewed").alias("reason"))
     return matching.apply_reviewed(rows, reviewed, ["record_id"])
 
 

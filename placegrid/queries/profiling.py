@@ -113,12 +113,12 @@ def p09(spark, sf):
     return profiling.place_changes(spelled(1996), spelled(1997), "o_custkey", "place", "key")
 
 
-@register("p10_match_stability", f"""WITH {_RESOLVED_SQL}, later AS (SELECT record_id, CASE WHEN record_id % 7 = 0 THEN NULL WHEN record_id % 7 = 1 THEN 'U0' ELSE code END AS code FROM resolved WHERE record_id % 7 <> 2)
+@register("p10_match_stability", f"""WITH {_RESOLVED_SQL}, later AS (SELECT record_id, CASE WHEN tier = 5 THEN NULL WHEN tier = 6 THEN 'U0' ELSE code END AS code FROM resolved WHERE hits IS NULL OR hits < 3)
 SELECT CASE WHEN a.code = b.code THEN 'same' WHEN a.code IS NOT NULL AND b.code IS NOT NULL THEN 'different' WHEN a.code IS NOT NULL THEN 'only before' WHEN b.code IS NOT NULL THEN 'only after' ELSE 'neither' END AS stability, count(*) AS keys
 FROM resolved a FULL JOIN later b USING (record_id) GROUP BY 1""")
 def p10(spark, sf):
-    now = resolved(spark, sf).select("record_id", "code")
-    later = now.filter(F.col("record_id") % 7 != 2).withColumn("code", F.when(F.col("record_id") % 7 == 0, F.lit(None)).when(F.col("record_id") % 7 == 1, "U0").otherwise(F.col("code")))
+    now = resolved(spark, sf)
+    later = now.filter(F.coalesce("hits", F.lit(0)) < 3).withColumn("code", F.when(F.col("tier") == 5, F.lit(None)).when(F.col("tier") == 6, "U0").otherwise(F.col("code")))
     return profiling.match_stability(now, later, "record_id")
 
 

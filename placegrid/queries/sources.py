@@ -297,14 +297,14 @@ def s22_orphans(spark, sf):
 
 @register("s23_refuse_unapproved", """
 WITH found AS (SELECT doc_id, source || '-' || doc_id AS file_name, sha256(text) AS sha256 FROM documents),
-approved AS (SELECT CASE WHEN doc_id % 4 = 0 THEN source || '-' || doc_id || '-old' ELSE source || '-' || doc_id END AS file_name, CASE WHEN doc_id % 4 = 1 THEN sha256('changed' || doc_id) ELSE sha256(text) END AS sha256
-             FROM (SELECT *, row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) AS copy FROM documents) WHERE doc_id % 4 < 3 AND copy = 1)
+approved AS (SELECT CASE WHEN lang = 'fr' THEN source || '-' || doc_id || '-old' ELSE source || '-' || doc_id END AS file_name, CASE WHEN lang = 'es' THEN sha256('changed' || doc_id) ELSE sha256(text) END AS sha256
+             FROM (SELECT *, row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) AS copy FROM documents) WHERE lang <> 'de' AND copy = 1)
 SELECT f.doc_id, CASE WHEN b.file_name = f.file_name THEN 'accepted' WHEN b.file_name IS NOT NULL THEN 'skipped: repackaged copy' WHEN n.sha256 IS NOT NULL THEN 'blocked: checksum mismatch' ELSE 'blocked: unregistered' END AS decision
 FROM found f LEFT JOIN approved b ON b.sha256 = f.sha256 LEFT JOIN approved n ON n.file_name = f.file_name""")
 def s23(spark, sf):
-    docs = read(spark, sf, "documents").select("doc_id", F.concat_ws("-", "source", F.col("doc_id").cast("string")).alias("file_name"), F.sha2("text", 256).alias("sha256"))
-    first = docs.groupBy("sha256").agg(F.min(F.struct("doc_id", "file_name")).alias("d")).select("sha256", "d.*").filter(F.col("doc_id") % 4 < 3)
+    docs = read(spark, sf, "documents").select("doc_id", "lang", F.concat_ws("-", "source", F.col("doc_id").cast("string")).alias("file_name"), F.sha2("text", 256).alias("sha256"))
+    first = docs.groupBy("sha256").agg(F.min(F.struct("doc_id", "file_name", "lang")).alias("d")).select("sha256", "d.*").filter(F.col("lang") != "de")
     changed = F.sha2(F.concat(F.lit("changed"), F.col("doc_id").cast("string")), 256)
-    approved = first.select(F.when(F.col("doc_id") % 4 == 0, F.concat("file_name", F.lit("-old"))).otherwise(F.col("file_name")).alias("file_name"),
-                            F.when(F.col("doc_id") % 4 == 1, changed).otherwise(F.col("sha256")).alias("sha256"))
+    approved = first.select(F.when(F.col("lang") == "fr", F.concat("file_name", F.lit("-old"))).otherwise(F.col("file_name")).alias("file_name"),
+                            F.when(F.col("lang") == "es", changed).otherwise(F.col("sha256")).alias("sha256"))
     return ingest.file_decision(docs, approved).select("doc_id", "decision")

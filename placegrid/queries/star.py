@@ -97,7 +97,7 @@ def teachers(spark, sf):
 def places(spark, sf):
     nation, region = read(spark, sf, "nation"), read(spark, sf, "region")
     code = lambda p, c: F.concat(F.lit(p), F.lpad(F.col(c).cast("string"), 2, "0"))
-    regular = nation.join(F.broadcast(region), nation.n_regionkey == region.r_regionkey).select(
+    regular = nation.join(region, nation.n_regionkey == region.r_regionkey).select(
         code("P", "n_nationkey").alias("place_code"), F.col("n_name").alias("place_name"),
         F.when(F.col("n_nationkey") % 2 == 0, "city").otherwise("municipality").alias("place_type"),
         F.when(F.col("n_nationkey") >= 5, code("V", "n_regionkey")).alias("province_code"),

@@ -95,3 +95,13 @@ def test_tree_from_sums(spark, block):
     assert got["P2"] == ("province", "R1", "R1", "P2")
     assert got["e"] == ("city_municipality", "P2", "R1", "P2")
     assert got["h"] == ("city_municipality", "R3", "R3", None)
+
+
+def test_quantiles_in_several_rounds(spark, monkeypatch):
+    monkeypatch.setattr(scale, "ONE_TASK_ROWS", 30)
+    rng = random.Random(11)
+    groups = {"hot": [rng.random() * 9 for _ in range(600)] + [4.0] * 300, "other": [rng.randint(0, 90) * 1.0 for _ in range(200)]}
+    df = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in vs], "g string, _v double")
+    got = {r["g"]: r for r in scale._sliced_quantiles(df, ["g"], {"q1": 0.25, "m": 0.5, "q3": 0.75}, width=2).collect()}
+    for g, vs in groups.items():
+        assert (got[g]["q1"], got[g]["m"], got[g]["q3"]) == pytest.approx(tuple(statistics.quantiles(vs, n=4, method="inclusive")))
