@@ -15,7 +15,7 @@ from placegrid.session import materialize
 
 BLOCK_ROWS = 100_000
 # a proven bound on what one task may order on its own
-ONE_TASK_ROWS = 100_000
+ONE_TASK_ROWS = 500_000
 
 
 def running_sum(df: DataFrame, by: Sequence[str], pos: str, sums: dict[str, Column | str],

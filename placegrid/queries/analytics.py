@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from placegrid.session import literal_table
-from placegrid.operators import metrics, modelling, priority, serving, spatial, trend
+from placegrid.operators import metrics, modelling, priority, serving, spatial
 from placegrid.queries import star
 from placegrid.queries.registry import register
 from placegrid.queries.star import published, read, with_star
@@ -38,22 +38,22 @@ def a03(spark, sf):
 
 @register("a04_room_screen", with_star(("screen",), "SELECT * FROM screen"))
 def a04(spark, sf):
-    return metrics.capacity_screen(star.places(spark, sf), star.fact(spark, sf), star.rooms(spark, sf), star.PERIOD, star.SCREEN)
+    return star.screen(spark, sf)
 
 
 @register("a05_level_pressure", with_star(("levels",), "SELECT * FROM levels"))
 def a05(spark, sf):
-    return metrics.level_pressure(star.places(spark, sf), star.fact(spark, sf), star.teachers(spark, sf), star.PERIOD, star.REFERENCES, annex=star.ANNEX)
+    return star.levels(spark, sf)
 
 
 @register("a05_level_grid", with_star(("level_grid",), "SELECT * EXCLUDE (reference) FROM level_grid"))
 def a05_grid(spark, sf):
-    return metrics.level_grid(star.places(spark, sf), star.fact(spark, sf), star.teachers(spark, sf), star.PERIOD, star.LEVELS, annex=star.ANNEX)
+    return metrics.level_grid(*[published(spark, sf, t) for t in ("places", "fact", "teachers")], star.PERIOD, star.LEVELS, annex=star.ANNEX)
 
 
 @register("a06_enrollment_trend", with_star(("trend",), "SELECT * FROM trend"))
 def a06(spark, sf):
-    return trend.enrollment_trend(star.fact(spark, sf), star.population(spark, sf), star.CENSUSES)
+    return star.trends(spark, sf)
 
 
 @register("a07_census_context", with_star(("trend",), """

@@ -41,3 +41,19 @@ def test_every_query_has_a_check():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) == set(entry.queries())
+
+
+def _headline():
+    import bench
+
+    return bench.HEADLINE
+
+
+@pytest.mark.parametrize("name", _headline())
+def test_plans_stay_distributed(spark, name):
+    """No cross join, no nested loop, no Python in the plan of a headline query."""
+    import __spark_entry__ as entry
+
+    plan = entry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    for node in ("CartesianProduct", "BroadcastNestedLoopJoin", "EvalPython", "MapInPandas"):
+        assert node not in plan
