@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from datetime import datetime
 
 from pyspark.sql import functions as F
 
@@ -161,7 +160,7 @@ BRONZE = ["party_key", "party_name", "segment", "balance"]
 
 def bronze(spark, sf):
     """Customers and suppliers as two schema versions of one Bronze table."""
-    at = F.lit(datetime(2024, 1, 1)).cast("timestamp_ntz")
+    at = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
 
     def rows(table, key, name, extra):
         delivered = read(spark, sf, table).select(F.col(key).cast("string").alias("party_key"), F.col(name).alias("party_name"), extra)
