@@ -82,27 +82,40 @@ def with_scopes(records: DataFrame, scopes: Sequence[tuple[int, Column]], scope:
 
 
 def first_code_rule(records: DataFrame, record_key: Sequence[str], units: DataFrame, code: str,
-                    rules: Sequence[tuple[str, Column, str]], names_agree: Column | None = None) -> DataFrame:
+                    rules: Sequence[tuple[str, Column, str]], names_agree: Column | None = None,
+                    name_columns: Sequence[str] = ()) -> DataFrame:
     """I-6/I-7: ordered code rules ``(method, record expression, unit column)``; the first that names a unit wins.
 
-    ``names_agree`` may read ``l.*`` (record) and ``u.*`` (unit); a rule whose names disagree does not count.
-    Adds ``rule, hits, code, any_code`` (the first code named, agreeing or not).
+    ``names_agree`` may read ``l.*`` (the record's ``name_columns``) and ``u.*`` (unit); a rule whose names disagree
+    does not count. Each distinct (code, names) is looked up once, whatever the number of records that carry it, and
+    without names the units are reduced to one row per code first. Adds ``rule, hits, code, any_code`` (the first
+    code named, agreeing or not).
     """
+    names = list(name_columns)
     wanted = F.array(*[F.struct(F.lit(i + 1).alias("rule"), F.lit(col).alias("via"), expr.alias("wanted"))
                        for i, (_, expr, col) in enumerate(rules)])
-    asked = (records.withColumn("_w", F.explode(wanted)).select(*records.columns, "_w.*")
+    asked = (records.withColumn("_w", F.explode(wanted)).select(*dict.fromkeys([*record_key, *names]), "_w.*")
              .filter(F.col("wanted").isNotNull()))
+    lookup = ["rule", "via", "wanted", *names]
+    distinct = asked.select(*lookup).distinct()
     vias = sorted({col for _, _, col in rules})
     offered = units.withColumn("_o", F.explode(F.array(*[
         F.struct(F.lit(v).alias("via"), F.col(v).alias("wanted")) for v in vias]))).select(
         *units.columns, "_o.*").filter(F.col("wanted").isNotNull())
-    agree = F.lit(True) if names_agree is None else F.coalesce(names_agree, F.lit(False))
-    met = (asked.alias("l").join(offered.alias("u"), (F.col("l.via") == F.col("u.via")) & (F.col("l.wanted") == F.col("u.wanted")))
-           .select(*[F.col(f"l.{k}").alias(k) for k in record_key], F.col("l.rule").alias("rule"),
-                   F.col(f"u.{code}").alias("code"), agree.alias("agrees")))
-    per_rule = met.groupBy(*record_key, "rule").agg(
-        F.count_distinct(F.when(F.col("agrees"), F.col("code"))).alias("hits"),
-        F.min(F.when(F.col("agrees"), F.col("code"))).alias("code"), F.min("code").alias("any_code"))
+    if names_agree is None:
+        per_code = offered.groupBy("via", "wanted").agg(F.count_distinct(code).alias("hits"), F.min(code).alias("_code"))
+        found = distinct.join(per_code, ["via", "wanted"]).select(
+            *lookup, "hits", F.col("_code").alias("code"), F.col("_code").alias("any_code"))
+    else:
+        agree = F.coalesce(names_agree, F.lit(False))
+        met = (distinct.alias("l").join(offered.alias("u"), (F.col("l.via") == F.col("u.via")) & (F.col("l.wanted") == F.col("u.wanted")))
+               .select(*[F.col(f"l.{k}").alias(k) for k in lookup], F.col(f"u.{code}").alias("code"), agree.alias("agrees")))
+        found = met.groupBy(*lookup).agg(
+            F.count_distinct(F.when(F.col("agrees"), F.col("code"))).alias("hits"),
+            F.min(F.when(F.col("agrees"), F.col("code"))).alias("code"), F.min("code").alias("any_code"))
+    same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in lookup]
+    per_rule = asked.alias("l").join(found.alias("r"), same).select(
+        *[F.col(f"l.{k}").alias(k) for k in record_key], "l.rule", "r.hits", "r.code", "r.any_code")
     best = per_rule.groupBy(*record_key).agg(
         F.min(F.when(F.col("hits") > 0, F.struct("rule", "hits", "code"))).alias("_b"),
         F.min_by("any_code", "rule").alias("any_code"))

@@ -138,7 +138,8 @@ def map_boundaries(features: DataFrame, units: DataFrame, overrides: DataFrame,
     plain = F.substring("code10", 3, 1) == "0"
     by_code = matching.first_code_rule(rows, key, cities, "psgc_code", [
         ("code", F.col("code10"), "psgc_code"), ("correspondence_code", F.when(plain, old9(F.col("code10"))), "correspondence_code"),
-        ("code_region_moved", F.when(F.col("code10").startswith(moved[0]), F.concat(F.lit(moved[1]), F.substring("code10", 3, 8))), "psgc_code")], agree)
+        ("code_region_moved", F.when(F.col("code10").startswith(moved[0]), F.concat(F.lit(moved[1]), F.substring("code10", 3, 8))), "psgc_code")], agree,
+        ["k_exact", "k_folded", "k_bracketless", "k_wordless"])
     provinces = units.select("psgc_code", "correspondence_code")
     parent = matching.first_code_rule(rows, key, provinces, "psgc_code", [
         ("code", F.col("prov10"), "psgc_code"), ("correspondence_code", F.when(F.substring("prov10", 3, 1) == "0", old9(F.col("prov10"))), "correspondence_code")])
