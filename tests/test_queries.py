@@ -17,9 +17,9 @@ def engine():
 
 
 def _names():
-    import __spark_entry__ as entry
+    from placegrid import queries
 
-    return sorted(entry.queries())
+    return sorted(queries.all_queries())
 
 
 @pytest.mark.parametrize("name", _names() if os.path.isdir(SF) else [])
@@ -39,8 +39,10 @@ def test_entry_has_rows(spark):
 
 def test_every_query_has_a_check():
     import __spark_entry__ as entry
+    from placegrid import queries
 
-    assert set(entry.oracle_sql()) == set(entry.queries())
+    assert set(queries.all_checks()) == set(queries.all_queries())
+    assert set(queries.all_queries()) <= set(entry.queries())
 
 
 def _headline():
