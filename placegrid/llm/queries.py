@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from placegrid.llm import exact_dedup, sharding
+from placegrid.llm import bpe, exact_dedup, packing, sharding, token_file
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -41,3 +41,18 @@ def op1_exact_dedup(spark, sf_dir):
 @_query("op9_jump_shards")
 def op9_jump_shards(spark, sf_dir):
     return sharding.assign(_documents(spark, sf_dir), shards=16)
+
+
+@_query("op3_token_files")
+def op3_token_files(spark, sf_dir):
+    return token_file.round_trip(spark, _documents(spark, sf_dir))
+
+
+@_query("op7_best_fit_packing")
+def op7_best_fit_packing(spark, sf_dir):
+    return packing.pack(_documents(spark, sf_dir))
+
+
+@_query("op6_segment_tree_bpe")
+def op6_segment_tree_bpe(spark, sf_dir):
+    return bpe.encode_and_decode(_documents(spark, sf_dir))
