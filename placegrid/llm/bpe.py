@@ -222,9 +222,10 @@ def _digests(path: str):
             for first, last in batches_of(batch.column(1)):
                 part = batch.slice(first, last - first)
                 cut = [t.split() for t in pc.fill_null(part.column(1), "").cast(pa.binary()).to_pylist()]
-                if len(ids) > KEPT:
+                new = list(set().union(*cut).difference(ids))
+                if len(ids) + len(new) > KEPT // 2:  # two entries for each piece
                     ids.clear(), tokens.clear()
-                new = list(set().union(*cut) - ids.keys())
+                    new = list(set().union(*cut))
                 for piece, found in zip(new, coder.encode_pieces(new)):
                     ids[piece] = " ".join(map(str, found)).encode()
                     tokens[piece] = coder.decode(found).encode()

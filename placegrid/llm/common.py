@@ -46,6 +46,16 @@ def exclusive_offsets(counts: DataFrame, by: list[str], order: str, amount: str,
             .join(bases, [*by, "__block"]).withColumn(name, F.col(name) + F.col("__base")).drop("__base", "__block"))
 
 
+def chosen_rows(labelled: DataFrame, label: str, rows: int, key: str) -> DataFrame:
+    """At most ``rows`` keys with their label, taken evenly from all labels, by a hash of the key.
+
+    ``labelled`` is narrow (key and label); a key that occurs again counts once. The result is bounded by ``rows``.
+    """
+    once = labelled.groupBy(key).agg(F.max(label).alias(label))
+    turn = F.row_number().over(Window.partitionBy(label).orderBy(F.xxhash64(key), key))
+    return once.withColumn("__turn", turn).where(F.col("__turn") <= rows).orderBy("__turn", F.xxhash64(key)).limit(rows).drop("__turn")
+
+
 # --- texts as arrays -----------------------------------------------------------------------------------------------
 
 def text_arrays(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -57,11 +67,15 @@ def text_arrays(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
-def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+#: Every ASCII character but letters and digits.
+PUNCTUATION = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
+
+
+def word_bounds(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = _GAP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and text number of every word (a run without the separators), in order."""
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    gap = _GAP[data]
+    gap = separators[data]
     first = np.zeros(len(data) + 1, dtype=bool)
     first[offsets] = True
     begins, closes = ~gap, ~gap

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from placegrid.llm import bpe, exact_dedup, packing, sharding, token_file
+from placegrid.llm import bpe, exact_dedup, language, packing, sharding, token_file, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -56,3 +56,15 @@ def op7_best_fit_packing(spark, sf_dir):
 @_query("op6_segment_tree_bpe")
 def op6_segment_tree_bpe(spark, sf_dir):
     return bpe.encode_and_decode(_documents(spark, sf_dir))
+
+
+@_query("op4_language")
+def op4_language(spark, sf_dir):
+    docs = _documents(spark, sf_dir)
+    return language.predict(docs, language.train(docs))
+
+
+@_query("op8_toxicity")
+def op8_toxicity(spark, sf_dir):
+    docs = _documents(spark, sf_dir)
+    return toxicity.score(docs, toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))

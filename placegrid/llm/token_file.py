@@ -27,9 +27,24 @@ _HEAD = struct.Struct("<IBHH")      # minimum, width, exceptions, values
 _FOOT = struct.Struct("<QQQQQ8s")   # ids, blocks, documents, index start, table start, magic
 
 
-def _widths(values: np.ndarray) -> np.ndarray:
-    """Bits that each value needs."""
-    return np.frexp(values.astype(np.float64))[1].astype(np.int64)
+def _put_bits(values: np.ndarray, width: int) -> np.ndarray:
+    """The low ``width`` bits of each value, end to end, a row of bytes for each row of values."""
+    kind = "<u2" if width <= 16 else "<u4"
+    raw = values.astype(kind).view(np.uint8).reshape(len(values), -1)
+    if width == 8 * np.dtype(kind).itemsize:
+        return raw
+    bits = np.unpackbits(raw, axis=1, bitorder="little").reshape(*values.shape, -1)[:, :, :width]
+    return np.packbits(bits.reshape(len(values), -1), axis=1, bitorder="little")
+
+
+def _get_bits(raw: np.ndarray, width: int, count: int) -> np.ndarray:
+    kind = "<u2" if width <= 16 else "<u4"
+    full = 8 * np.dtype(kind).itemsize
+    if width < full:
+        bits = np.zeros((len(raw), count, full), np.uint8)
+        bits[:, :, :width] = np.unpackbits(raw, axis=1, count=width * count, bitorder="little").reshape(len(raw), count, width)
+        raw = np.packbits(bits.reshape(len(raw), -1), axis=1, bitorder="little")
+    return np.ascontiguousarray(raw).view(kind).astype(np.uint32)
 
 
 def pack_blocks(ids: np.ndarray, size: int = BLOCK) -> list[bytes]:
@@ -42,18 +57,19 @@ def pack_blocks(ids: np.ndarray, size: int = BLOCK) -> list[bytes]:
             continue
         low = rows.min(axis=1)
         above = (rows - low[:, None]).astype(np.uint32)
-        needs = np.sort(_widths(above), axis=1)
-        width = needs[:, int(np.ceil(PERCENTILE * (rows.shape[1] - 1)))]
+        k = int(np.ceil(PERCENTILE * (rows.shape[1] - 1)))
+        width = np.frexp(np.partition(above, k, axis=1)[:, k].astype(np.float64))[1]
         packed: list[bytes | None] = [None] * len(rows)
-        for w in np.unique(width):
+        for w in map(int, np.unique(width)):
             chosen = np.flatnonzero(width == w)
-            bits = ((above[chosen][:, :, None] >> np.arange(w, dtype=np.uint32)) & np.uint32(1)).astype(np.uint8)
-            flat = np.packbits(bits.reshape(len(chosen), -1), axis=1, bitorder="little")
+            flat = _put_bits(above[chosen], w)
             high = above[chosen] >> np.uint32(w) if w < 32 else np.zeros_like(above[chosen])
+            block_of, at = np.nonzero(high)
+            outliers, cut = high[block_of, at].astype("<u4"), np.searchsorted(block_of, np.arange(len(chosen) + 1))
             for k, row in enumerate(chosen):
-                at = np.flatnonzero(high[k])
-                packed[row] = b"".join((_HEAD.pack(int(low[row]), int(w), len(at), rows.shape[1]), flat[k].tobytes(),
-                                        at.astype("<u2").tobytes(), high[k][at].astype("<u4").tobytes()))
+                a, b = cut[k], cut[k + 1]
+                packed[row] = b"".join((_HEAD.pack(int(low[row]), w, b - a, rows.shape[1]), flat[k].tobytes(),
+                                        at[a:b].astype("<u2").tobytes(), outliers[a:b].tobytes()))
         out += packed
     return out
 
@@ -61,8 +77,7 @@ def pack_blocks(ids: np.ndarray, size: int = BLOCK) -> list[bytes]:
 def unpack_blocks(data: bytes, starts: np.ndarray) -> np.ndarray:
     """Ids of consecutive blocks; ``starts`` are their places in ``data``. Blocks alike in shape are unpacked together."""
     heads = [_HEAD.unpack_from(data, s) for s in starts]
-    counts = np.array([h[3] for h in heads], np.int64)
-    ends = np.cumsum(counts)
+    ends = np.cumsum(np.array([h[3] for h in heads], np.int64))
     out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint32)
     shapes: dict[tuple[int, int], list[int]] = {}
     for k, (_, w, _, n) in enumerate(heads):
@@ -71,10 +86,7 @@ def unpack_blocks(data: bytes, starts: np.ndarray) -> np.ndarray:
     for (w, n), blocks in shapes.items():
         stored = (w * n + 7) // 8
         body = np.stack([raw[starts[k] + _HEAD.size:starts[k] + _HEAD.size + stored] for k in blocks])
-        bits = np.unpackbits(body, axis=1, count=w * n, bitorder="little").reshape(len(blocks), n, w)
-        values = np.zeros((len(blocks), n), np.uint32)
-        for b in range(w):
-            values |= bits[:, :, b].astype(np.uint32) << np.uint32(b)
+        values = _get_bits(body, w, n)
         for row, k in enumerate(blocks):
             low, _, outliers, _ = heads[k]
             if outliers:

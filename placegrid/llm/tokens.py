@@ -7,8 +7,8 @@ import os
 
 import numpy as np
 
-#: Distinct pieces a worker keeps; when more come, it starts anew. This bounds memory, results do not depend on it.
-KEPT = 300_000
+#: Distinct pieces a worker keeps; when more come, it starts anew. This bounds memory at about 250 MB, results do not depend on it.
+KEPT = 1_200_000
 
 _coders: dict[str, "PieceCoder"] = {}
 
@@ -48,16 +48,17 @@ class PieceCoder:
         self._known: dict[bytes, bytes] = {}
 
     def _encode(self, pieces: list[bytes]) -> list[bytes]:
-        found = self._tokenizer.encode_batch([p.decode("utf-8") for p in pieces], add_special_tokens=False)
+        found = self._tokenizer.encode_batch_fast([p.decode("utf-8") for p in pieces], add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         if self._whole:
             return self._encode(texts)
         cut = [t.split() for t in texts]
-        if len(self._known) > KEPT:
+        new = list(set().union(*cut).difference(self._known))
+        if len(self._known) + len(new) > KEPT:
             self._known.clear()
-        new = list(set().union(*cut) - self._known.keys())
+            new = list(set().union(*cut))
         for first in range(0, len(new), 4096):
             some = new[first:first + 4096]
             self._known.update(zip(some, self._encode(some)))
