@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from placegrid.llm import bpe, exact_dedup, language, packing, sharding, token_file, toxicity
+import corpus_pipeline
+from placegrid.llm import bpe, exact_dedup, language, nearest, packing, sharding, simhash, suffix_tree, token_file, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -68,3 +69,23 @@ def op4_language(spark, sf_dir):
 def op8_toxicity(spark, sf_dir):
     docs = _documents(spark, sf_dir)
     return toxicity.score(docs, toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+@_query("op2_simhash")
+def op2_simhash(spark, sf_dir):
+    return simhash.near_groups(_documents(spark, sf_dir))
+
+
+@_query("op5_multi_index")
+def op5_multi_index(spark, sf_dir):
+    return nearest.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+@_query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark, sf_dir):
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+@_query("op10_suffix_tree")
+def op10_suffix_tree(spark, sf_dir):
+    return suffix_tree.score(_documents(spark, sf_dir))
