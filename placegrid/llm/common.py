@@ -52,8 +52,11 @@ def chosen_rows(labelled: DataFrame, label: str, rows: int, key: str) -> DataFra
     ``labelled`` is narrow (key and label); a key that occurs again counts once. The result is bounded by ``rows``.
     """
     once = labelled.groupBy(key).agg(F.max(label).alias(label))
+    sizes = once.groupBy(label).agg(F.count(F.lit(1)).alias("__size"))
+    share = F.pmod(F.xxhash64(key), F.lit(1 << 20)) * F.col("__size")  # a label's turns are taken among few more than needed
     turn = F.row_number().over(Window.partitionBy(label).orderBy(F.xxhash64(key), key))
-    return once.withColumn("__turn", turn).where(F.col("__turn") <= rows).orderBy("__turn", F.xxhash64(key)).limit(rows).drop("__turn")
+    return (once.join(sizes, label).where(share < F.lit((rows + 100) * (1 << 20) * 5 // 4)).withColumn("__turn", turn)
+            .where(F.col("__turn") <= rows).orderBy("__turn", F.xxhash64(key)).limit(rows).drop("__turn", "__size"))
 
 
 # --- texts as arrays -----------------------------------------------------------------------------------------------
@@ -139,6 +142,14 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return system.makeQualified(path).toString()
 
 
+def forget(table: DataFrame) -> None:
+    """Delete the files of a written table that no later step reads."""
+    spark = table.sparkSession
+    for folder in {name.rpartition("/")[0] for name in table.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def put_file(address: str, write) -> None:
     """Write a file under a name of this attempt, then rename it: a retried or doubled task leaves one whole file."""
     import uuid

@@ -20,11 +20,11 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, functions as F
 
-from placegrid.llm.common import id_remainder, mix, open_file, put_file, shared_folder, text_arrays, word_bounds, word_hashes
+from placegrid.llm.common import forget, id_remainder, mix, open_file, put_file, shared_folder, text_arrays, word_bounds, word_hashes
 from placegrid.session import materialize
 
 #: Bytes of text in a block; a longer document is a block of its own.
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 6 << 20
 _END = np.uint64(0x5DEECE66D1234567)
 _STEP = np.uint64(0xA0761D6478BD642F)
 _ASK = "block string, shard int, keys binary, sums binary"
@@ -129,11 +129,16 @@ class Block:
         """Corpus count of the n words that end at each place; 0 where they were not asked for."""
         return self.get("count1")["count"][self.tokens] if n == 1 else self.get(f"count{n}")["count"]
 
-    def asked(self, n: int, frequent: int) -> np.ndarray:
-        """Places whose n-gram follows a context that is frequent enough."""
+    def after(self, n: int, frequent: int) -> np.ndarray:
+        """Places that follow a context of n - 1 words that is frequent enough."""
         before = np.concatenate([[0], self.counts(n - 1)[:-1]])
         return np.flatnonzero((self.inside >= n - 1) & (before >= frequent))
 
+    def asked(self, n: int, frequent: int) -> np.ndarray:
+        """Those of them whose n-gram may occur again, as its last n - 1 words do."""
+        places = self.after(n, frequent)
+        return places[self.counts(n - 1)[places] >= 2]
+
 
 def _cut(folder: str, bits: int):
     def write(held, ids, buffers):
@@ -199,7 +204,7 @@ def _take(block: Block, pdf: pd.DataFrame, n: int, frequent: int) -> None:
 
 def _contexts(block: Block, depth: int, frequent: int) -> tuple[np.ndarray, list[np.ndarray]]:
     """Sorted hashes of the block's contexts, and for each order the places that follow one."""
-    places = [block.asked(n, frequent) for n in range(2, depth + 2)]
+    places = [block.after(n, frequent) for n in range(2, depth + 2)]
     return np.unique(np.concatenate([block.grams(n)[p - 1] for n, p in enumerate(places, 1)])), places
 
 
@@ -249,7 +254,7 @@ def _scores(folder: str, depth: int, frequent: int, discount: float, threshold:
     return run
 
 
-def score(docs: DataFrame, depth: int = 2, frequent: int = 8, threshold: float = 6.0, discount: float = 0.75, key: str = "doc_id",
+def score(docs: DataFrame, depth: int = 2, frequent: int = 16, threshold: float = 6.0, discount: float = 0.75, key: str = "doc_id",
           text: str = "text", modulus: int = 10, held: int = 0) -> DataFrame:
     """One row per document: key, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 probabilities).
 
@@ -273,6 +278,7 @@ def score(docs: DataFrame, depth: int = 2, frequent: int = 8, threshold: float =
         return answers.select("block", "shard", "sums", "own", "n").unionByName(waiting).groupBy("block")
 
     answers = _exchange(asked, 1)
+    forget(asked)
     types, tokens = answers.agg(F.sum("types"), F.sum("tokens")).first()
     if types is None:
         return spark.createDataFrame([], schema).withColumnRenamed("id", key)
