@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from placegrid.llm.common import batches_of
+from placegrid.llm.common import batches_of, held
 from placegrid.llm.tokens import KEPT, splits_at_gaps, word_bpe_path
 
 _NONE = np.int64(1) << np.int64(62)
@@ -210,14 +210,9 @@ class SegmentTreeBpe:
         return " ".join(self._names[i] for i in ids if i in self._names and i not in skipped)
 
 
-_coders: dict[str, tuple[SegmentTreeBpe, dict, dict]] = {}
-
-
 def _digests(path: str):
     def run(batches):
-        if path not in _coders:
-            _coders[path] = SegmentTreeBpe(path), {}, {}
-        coder, ids, tokens = _coders[path]
+        coder, ids, tokens = held(("bpe", path), lambda: (SegmentTreeBpe(path), {}, {}))
         for batch in batches:
             for first, last in batches_of(batch.column(1)):
                 part = batch.slice(first, last - first)

@@ -23,6 +23,19 @@ _BASE = 0x9E3779B97F4A7C15
 _powers: dict[str, np.ndarray] = {}
 
 
+# --- workers -------------------------------------------------------------------------------------------------------
+
+_held: dict[tuple, object] = {}
+
+
+def held(name: tuple, make):
+    """What ``make`` gives, kept by this worker process until another operator keeps something: one at a time."""
+    if name not in _held:
+        _held.clear()
+        _held[name] = make()
+    return _held[name]
+
+
 # --- columns -------------------------------------------------------------------------------------------------------
 
 def id_remainder(key: str, modulus: int) -> Column:

@@ -12,13 +12,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from placegrid.llm.common import batches_of, chosen_rows, id_remainder, text_arrays
+from placegrid.llm.common import batches_of, chosen_rows, held as kept_by_worker, id_remainder, text_arrays
 
 BITS = 16
 SIZES = (2, 3, 4)
 UNKNOWN = "und"
 #: Most labelled rows that training and calibration may see, taken evenly from all languages.
-TRAIN_ROWS = 4_000
+TRAIN_ROWS = 2_000
 
 _FOLD = np.full(256, 32, dtype=np.uint8)
 _FOLD[128:] = np.arange(128, 256)
@@ -124,7 +124,7 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS, key: str = "doc_id", text: st
         return fit([], [], **options)
     cuts, at, times = at.offsets.to_numpy(), at.values.to_numpy(), times.values.to_numpy()
     order = sorted((k for k in range(len(names)) if cuts[k] < cuts[k + 1]),
-                   key=lambda k: (names[k], cuts[k + 1] - cuts[k], at[cuts[k]:cuts[k] + 8].tolist(), times[cuts[k]:cuts[k] + 8].tolist()))
+                   key=lambda k: (names[k], at[cuts[k]:cuts[k + 1]].tobytes(), times[cuts[k]:cuts[k + 1]].tobytes()))
     order = [order[k] for k in np.random.default_rng(3).permutation(len(order))]
     parts = [slice(cuts[k], cuts[k + 1]) for k in order]
     return fit([(at[p], times[p] / times[p].sum()) for p in parts], [names[k] for k in order], **options)
@@ -141,6 +141,7 @@ def _has_letter(column: pa.Array, data: np.ndarray, offsets: np.ndarray) -> np.n
 
 def _predictions(model: Model):
     def run(batches):
+        kept_by_worker(("language",), lambda: None)  # what an earlier stage kept in this worker goes
         names = np.array([*model.languages, UNKNOWN])
         for batch in batches:
             for first, last in batches_of(batch.column(1), 1 << 21):

@@ -7,12 +7,11 @@ import os
 
 import numpy as np
 
+from placegrid.llm.common import held
+
 #: Distinct pieces a worker keeps; when more come, it starts anew. This bounds memory at about 250 MB, results do not depend on it.
 KEPT = 1_200_000
 
-_coders: dict[str, "PieceCoder"] = {}
-
-
 def _tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark gives each task one core
     from tokenizers import Tokenizer
@@ -68,9 +67,7 @@ class PieceCoder:
 
 def coder(path: str) -> PieceCoder:
     """The coder of this worker process for a tokenizer file."""
-    if path not in _coders:
-        _coders[path] = PieceCoder(path)
-    return _coders[path]
+    return held(("tokens", path), lambda: PieceCoder(path))
 
 
 def word_bpe_path() -> str:

@@ -12,11 +12,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from placegrid.llm.common import PUNCTUATION, batches_of, chosen_rows, id_remainder, mix, text_arrays, word_bounds, word_hashes
+from placegrid.llm.common import PUNCTUATION, batches_of, chosen_rows, held as kept_by_worker, id_remainder, mix, text_arrays, word_bounds, word_hashes
 
 BITS = 20
 #: Most labelled rows that training may see, half of them of each label where there are as many.
-TRAIN_ROWS = 8_000
+TRAIN_ROWS = 4_000
 THRESHOLD = 0.7
 
 
@@ -97,16 +97,18 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, key: str =
     sample = chosen_rows(known, label, rows, key)
     texts = docs.select(key, F.col(text).alias("text")).join(F.broadcast(sample), key).select(F.col(label).alias("label"), "text")
     got = texts.mapInArrow(_example_rows, "label int, found array<int>").limit(rows).toArrow()
-    order = sorted(range(got.num_rows), key=lambda k: (got["label"][k].as_py(), len(got["found"][k]), got["found"][k].as_py()[:8]))
-    found = got["found"].combine_chunks()
+    marks, found = got["label"].to_pylist(), got["found"].combine_chunks()
+    if not marks:
+        return fit([], [], **options)
     flat, cuts = found.values.to_numpy(), found.offsets.to_numpy()
-    marks = got["label"].to_pylist()
+    order = sorted(range(len(marks)), key=lambda k: (marks[k], flat[cuts[k]:cuts[k + 1]].tobytes()))
     return fit([flat[cuts[k]:cuts[k + 1]] for k in order], [marks[k] for k in order], **options)
 
 
 def _scores(model: Model):
     def run(batches):
-        table = np.zeros(1 << BITS)
+        table = kept_by_worker(("toxicity",), lambda: np.zeros(1 << BITS))
+        table[:] = 0
         table[model.features] = model.weights
         for batch in batches:
             for first, last in batches_of(batch.column(1)):
