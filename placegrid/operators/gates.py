@@ -83,11 +83,16 @@ def key_checks(df: DataFrame, key: Sequence[str], name: str = "key") -> DataFram
         Check(f"{name}_not_null", F.coalesce(F.sum(F.when(nulls, F.col("_n"))), F.lit(0)), lambda a: a == 0, "0")])
 
 
-def foreign_key(df: DataFrame, column: str, parent: DataFrame, parent_key: str, name: str) -> DataFrame:
-    """Q-4: distinct keys without a parent row; the key is reduced to its distinct values before the join."""
-    orphans = (df.select(F.col(column).alias("_k")).filter(F.col("_k").isNotNull()).distinct()
-               .join(parent.select(F.col(parent_key).alias("_k")), "_k", "left_anti"))
-    return run_checks(orphans, [Check(name, F.count("*"), lambda a: a == 0, "0")])
+def foreign_key(df: DataFrame, column: str, parent: DataFrame, parent_key: str, name: str, nulls_allowed: bool = False) -> DataFrame:
+    """Q-4: rows without a parent row; a NULL key has none unless ``nulls_allowed``.
+
+    Rows are counted per key before the join, so only one row per key meets the parent table.
+    """
+    keys = df.groupBy(F.col(column).alias("_k")).agg(F.count("*").alias("_n"))
+    if nulls_allowed:
+        keys = keys.filter(F.col("_k").isNotNull())
+    orphans = keys.join(parent.select(F.col(parent_key).alias("_k")), "_k", "left_anti")
+    return run_checks(orphans, [Check(name, F.coalesce(F.sum("_n"), F.lit(0)), lambda a: a == 0, "0")])
 
 
 def rows_reconcile(name: str, *parts: DataFrame, whole: DataFrame) -> DataFrame:
@@ -202,6 +207,14 @@ def adds_no_rows(before: DataFrame, after: DataFrame, name: str = "join_adds_no_
     return rows_reconcile(name, after, whole=before)
 
 
+def left_join_adds_no_rows(left: DataFrame, right: DataFrame, left_key: str, right_key: str, name: str = "join_adds_no_rows") -> DataFrame:
+    """Q-21 before the join is run: the rows that a left join would add, from the row counts of each key."""
+    lefts = left.groupBy(F.col(left_key).alias("_k")).agg(F.count("*").alias("_left"))
+    rights = right.groupBy(F.col(right_key).alias("_k")).agg(F.count("*").alias("_right"))
+    added = F.col("_left") * (F.coalesce(F.col("_right"), F.lit(1)) - 1)
+    return run_checks(lefts.join(rights, "_k", "left"), [Check(name, F.coalesce(F.sum(added), F.lit(0)), lambda a: a == 0, "0")])
+
+
 def lineage_checks(df: DataFrame, columns: Sequence[str], run_id: str, run: str = "run_id", built: str = "cleaned_at_utc") -> DataFrame:
     """Q-13: no lineage column is NULL, all rows are of this run, one timestamp."""
     missing = F.lit(False)
@@ -216,20 +229,29 @@ def stamp_checks(checks: DataFrame, **columns) -> DataFrame:
     return checks.withColumns({k: F.lit(v) for k, v in columns.items()})
 
 
-def record_and_raise(checks: DataFrame, ledger_path: str | None = None) -> list:
-    """Q-25: append the results, then fail if this execution wrote a FAIL. Only check rows are collected."""
+def record_and_raise(checks: DataFrame, ledger_path: str | None = None, named: int = 100) -> list:
+    """Q-25: append the results, then fail if this execution wrote a FAIL.
+
+    The message names the first ``named`` failures and says how many more there are.
+    """
     from placegrid.session import materialize
 
     checks = materialize(checks)
     if ledger_path:
         checks.write.mode("append").parquet(ledger_path)
-    failed = checks.filter(F.col("status") == "FAIL").orderBy("check_name").limit(100).collect()
+    failures = checks.filter(F.col("status") == "FAIL")
+    failed = failures.orderBy("check_name").limit(named).collect()
     if failed:
-        raise GateFailed("; ".join(f"{r['check_name']}: expected {r['expected']}, got {r['actual']}" for r in failed))
+        more = failures.count() - len(failed)
+        raise GateFailed("; ".join(f"{r['check_name']}: expected {r['expected']}, got {r['actual']}" for r in failed)
+                         + (f"; and {more} more" if more else ""))
     return failed
 
 
 def values_preserved(before: DataFrame, after: DataFrame, key: Sequence[str], pairs: Mapping[str, str]) -> DataFrame:
-    """Q-9: blanks stay NULL, zeros stay 0, text is unchanged (``{after column: before column}``)."""
-    joined = after.alias("a").join(before.alias("b"), [F.col(f"a.{k}") == F.col(f"b.{k}") for k in key])
-    return run_checks(joined, [zero(f"{a}_preserved", ~F.col(f"a.{a}").eqNullSafe(F.col(f"b.{b}"))) for a, b in pairs.items()])
+    """Q-9: blanks stay NULL, zeros stay 0, text is unchanged (``{after column: before column}``); a row that only one
+    side has is not preserved."""
+    left, right = after.withColumn("_in", F.lit(True)).alias("a"), before.withColumn("_in", F.lit(True)).alias("b")
+    joined = left.join(right, [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in key], "full_outer")
+    lost = F.col("a._in").isNull() | F.col("b._in").isNull()
+    return run_checks(joined, [zero(f"{a}_preserved", lost | ~F.col(f"a.{a}").eqNullSafe(F.col(f"b.{b}"))) for a, b in pairs.items()])

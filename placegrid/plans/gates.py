@@ -42,7 +42,7 @@ def map_gate(source: DataFrame, mapped: DataFrame, key: Sequence[str], units: Da
     parts = [gates.rows_reconcile("one_row_per_record", mapped, whole=source), gates.key_checks(mapped, key),
              gates.run_checks(mapped, [gates.rule_holds("match_status_known", F.col("match_status").isin(*STATUSES)),
                                        gates.rule_holds("code_only_when_matched", matched == F.col(code).isNotNull())]),
-             gates.foreign_key(mapped, code, units, code, "code_resolves")]
+             gates.foreign_key(mapped, code, units, code, "code_resolves", nulls_allowed=True)]
     if by:
         parts.append(gates.match_rate_checks(mapped, by, floor))
     if unique_target:
@@ -54,7 +54,7 @@ def dimension_gate(members: DataFrame, key: str, technical: Sequence[str] = (UNK
     """Key unique, the technical members present once each, parents resolve (``{column: (table, key)}``)."""
     parts = [gates.key_checks(members, [key])]
     parts.append(gates.run_checks(members, [gates.equals(f"member_{t.lower()}", F.count_if(F.col(key) == t), 1) for t in technical]))
-    parts += [gates.foreign_key(members, column, table, k, f"{column}_resolves") for column, (table, k) in (parents or {}).items()]
+    parts += [gates.foreign_key(members, column, table, k, f"{column}_resolves", nulls_allowed=True) for column, (table, k) in (parents or {}).items()]
     return gates.all_checks(*parts)
 
 
@@ -62,7 +62,7 @@ def fact_gate(fact: DataFrame, grain: Sequence[str], foreign: Mapping[str, tuple
               recomputed: DataFrame | None = None, values: Sequence[str] = (), totals: tuple[DataFrame, Sequence[str], str] | None = None) -> DataFrame:
     """Grain unique, foreign keys resolve, rules hold, an independent recomputation agrees, group totals reconcile."""
     parts = [gates.key_checks(fact, grain, "grain")]
-    parts += [gates.foreign_key(fact, column, table, k, f"{column}_resolves") for column, (table, k) in foreign.items()]
+    parts += [gates.foreign_key(fact, column, table, k, f"{column}_resolves", nulls_allowed=True) for column, (table, k) in foreign.items()]
     if rules:
         parts.append(gates.run_checks(fact, [gates.rule_holds(n, r) for n, r in rules.items()]))
     if recomputed is not None:

@@ -29,15 +29,14 @@ def build_session(app: str = "placegrid", cores: int | str = "*", shuffle_partit
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    A machine-local folder is only ever chosen for a local master with nothing configured.
+    A machine-local folder is only ever chosen for a local master with nothing configured, as in tests; the setting is
+    read-only in a running session, so it is not written back.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
     if spark.sparkContext.master.startswith("local"):
-        path = os.path.join(tempfile.gettempdir(), "placegrid-checkpoints")
-        spark.conf.set("spark.checkpoint.dir", path)
-        return path
+        return os.path.join(tempfile.gettempdir(), "placegrid-checkpoints")
     raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
 
 

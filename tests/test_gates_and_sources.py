@@ -174,3 +174,28 @@ def test_landing_stream_adds_each_row_once(spark, tmp_path):
     (tmp_path / "landing" / "b.csv").write_text("h1,2,y\nh2,1,z\n")
     run()
     assert rows(spark.read.parquet(target)) == [("h1", 1, "x"), ("h1", 2, "y"), ("h2", 1, "z")]
+
+
+def test_null_keys_and_lost_rows_are_found(spark, table):
+    from placegrid.operators import gates
+    from placegrid.sources.publish import content_hash
+
+    rows = table([(1, "a"), (None, "b"), (9, "c"), (9, "d")], "k int, t string")
+    parents = table([(1,)], "k int")
+    assert gates.foreign_key(rows, "k", parents, "k", "known").first()["actual"] == "3"
+    assert gates.foreign_key(rows, "k", parents, "k", "known", nulls_allowed=True).first()["actual"] == "2"
+    kept = gates.values_preserved(rows, rows.where("k = 1"), ["t"], {"k": "k"}).first()
+    assert (kept["status"], kept["actual"]) == ("FAIL", "3")
+    assert gates.left_join_adds_no_rows(rows, table([(9,), (9,), (9,)], "k int"), "k", "k").first()["actual"] == "4"
+    same = [content_hash(table([r], "a string, b string")).first()["content_sum"] for r in (("a|b", "c"), ("a", "b|c"), (None, "c"), ("<null>", "c"))]
+    assert len(set(same)) == 4
+
+
+def test_all_failures_are_told(spark, table):
+    import pytest
+
+    from placegrid.operators import gates
+
+    checks = table([(f"check_{k:03}", "FAIL", "0", "1") for k in range(150)], "check_name string, status string, expected string, actual string")
+    with pytest.raises(gates.GateFailed, match="and 140 more"):
+        gates.record_and_raise(checks, named=10)
