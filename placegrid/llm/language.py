@@ -111,6 +111,23 @@ def _example_rows(batches):
                                               pa.ListArray.from_arrays(cuts, pa.array(counted[at], pa.int32()))], names=["label", "at", "times"])
 
 
+def _fitted(options: dict):
+    """Fits in the task that holds the bounded sample; only the model leaves it. Examples go in an order of their own."""
+    def run(batches):
+        rows = []
+        for batch in batches:
+            at, times = batch.column(1), batch.column(2)
+            cuts, at, times = at.offsets.to_numpy(), at.values.to_numpy(), times.values.to_numpy()
+            rows += [(name, at[a:b].copy(), times[a:b].copy()) for name, a, b in zip(batch.column(0).to_pylist(), cuts, cuts[1:]) if a < b]
+        rows.sort(key=lambda r: (r[0], r[1].tobytes(), r[2].tobytes()))
+        rows = [rows[k] for k in np.random.default_rng(3).permutation(len(rows))]
+        model = fit([(at, times / times.sum()) for _, at, times in rows], [name for name, _, _ in rows], **options)
+        yield pa.RecordBatch.from_pydict({
+            "languages": pa.array([model.languages], pa.list_(pa.string())), "weights": pa.array([model.table.tobytes()], pa.binary()),
+            "bias": pa.array([model.bias], pa.list_(pa.float64())), "temperature": [model.temperature], "threshold": [model.threshold]})
+    return run
+
+
 def train(docs: DataFrame, rows: int = TRAIN_ROWS, key: str = "doc_id", text: str = "text", label: str = "lang",
           modulus: int = 4, held: int = 2, **options) -> Model:
     """Learn from at most ``rows`` documents with a language, none of them held out. Empty and null texts teach nothing."""
@@ -118,16 +135,13 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS, key: str = "doc_id", text: st
                        & (id_remainder(key, modulus) != held)).select(key, label)
     sample = chosen_rows(known, label, rows, key).withColumnRenamed(label, "label")
     texts = docs.select(key, F.col(text).alias("text")).join(F.broadcast(sample), key).select("label", "text")
-    got = texts.mapInArrow(_example_rows, "label string, at array<int>, times array<int>").limit(rows).toArrow()
-    names, at, times = got["label"].to_pylist(), got["at"].combine_chunks(), got["times"].combine_chunks()
-    if not names:
+    fitted = (texts.mapInArrow(_example_rows, "label string, at array<int>, times array<int>").limit(rows).coalesce(1)
+              .mapInArrow(_fitted(options), "languages array<string>, weights binary, bias array<double>, temperature double, threshold double").toArrow())
+    if not fitted.num_rows:
         return fit([], [], **options)
-    cuts, at, times = at.offsets.to_numpy(), at.values.to_numpy(), times.values.to_numpy()
-    order = sorted((k for k in range(len(names)) if cuts[k] < cuts[k + 1]),
-                   key=lambda k: (names[k], at[cuts[k]:cuts[k + 1]].tobytes(), times[cuts[k]:cuts[k + 1]].tobytes()))
-    order = [order[k] for k in np.random.default_rng(3).permutation(len(order))]
-    parts = [slice(cuts[k], cuts[k + 1]) for k in order]
-    return fit([(at[p], times[p] / times[p].sum()) for p in parts], [names[k] for k in order], **options)
+    one = fitted.to_pylist()[0]
+    table = np.frombuffer(one["weights"], np.float32).reshape(1 << BITS, len(one["languages"]))
+    return Model(one["languages"], table, np.array(one["bias"], np.float64), one["temperature"], one["threshold"])
 
 
 def _has_letter(column: pa.Array, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -144,7 +158,7 @@ def _predictions(model: Model):
         kept_by_worker(("language",), lambda: None)  # what an earlier stage kept in this worker goes
         names = np.array([*model.languages, UNKNOWN])
         for batch in batches:
-            for first, last in batches_of(batch.column(1), 1 << 21):
+            for first, last in batches_of(batch.column(1), 1 << 20):
                 part = batch.slice(first, last - first)
                 data, offsets = text_arrays(part.column(1))
                 total, count = np.zeros((len(part), len(model.languages))), np.zeros(len(part))

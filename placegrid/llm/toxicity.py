@@ -89,6 +89,21 @@ def _example_rows(batches):
                                              names=["label", "found"])
 
 
+def _fitted(options: dict):
+    """Fits in the task that holds the bounded sample; only the weights leave it."""
+    def run(batches):
+        marks, examples = [], []
+        for batch in batches:
+            marks += batch.column(0).to_pylist()
+            flat, cuts = batch.column(1).values.to_numpy(), batch.column(1).offsets.to_numpy()
+            examples += [flat[a:b].copy() for a, b in zip(cuts, cuts[1:])]
+        order = sorted(range(len(marks)), key=lambda k: (marks[k], examples[k].tobytes()))
+        model = fit([examples[k] for k in order], [marks[k] for k in order], **options)
+        yield pa.RecordBatch.from_pydict({"features": pa.array([model.features], pa.list_(pa.int64())),
+                                          "weights": pa.array([model.weights], pa.list_(pa.float64())), "bias": [model.bias]})
+    return run
+
+
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, key: str = "doc_id", text: str = "text",
           label: str = "toxic", modulus: int = 3, held: int = 1, **options) -> Model:
     """Learn from at most ``rows`` labelled documents, none of them held out. Null labels and null keys teach nothing."""
@@ -96,13 +111,12 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, key: str =
     known = known.select(key, F.col(label).cast("int").alias(label)).join(docs.select(key), key, "left_semi")
     sample = chosen_rows(known, label, rows, key)
     texts = docs.select(key, F.col(text).alias("text")).join(F.broadcast(sample), key).select(F.col(label).alias("label"), "text")
-    got = texts.mapInArrow(_example_rows, "label int, found array<int>").limit(rows).toArrow()
-    marks, found = got["label"].to_pylist(), got["found"].combine_chunks()
-    if not marks:
+    fitted = (texts.mapInArrow(_example_rows, "label int, found array<int>").limit(rows).coalesce(1)
+              .mapInArrow(_fitted(options), "features array<long>, weights array<double>, bias double").toArrow())
+    if not fitted.num_rows:
         return fit([], [], **options)
-    flat, cuts = found.values.to_numpy(), found.offsets.to_numpy()
-    order = sorted(range(len(marks)), key=lambda k: (marks[k], flat[cuts[k]:cuts[k + 1]].tobytes()))
-    return fit([flat[cuts[k]:cuts[k + 1]] for k in order], [marks[k] for k in order], **options)
+    one = [fitted[c].combine_chunks() for c in ("features", "weights", "bias")]
+    return Model(one[0].values.to_numpy().copy(), one[1].values.to_numpy().copy(), one[2][0].as_py())
 
 
 def _scores(model: Model):
