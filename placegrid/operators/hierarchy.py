@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
@@ -10,8 +11,7 @@ from placegrid.operators.scale import BLOCK_ROWS, carry_forward, running_sum
 from placegrid.session import materialize
 
 
-def _nesting(places: DataFrame, spans: DataFrame, by: Sequence[str], pos: str, name: str, block: int,
-             last_pos: int | None = None) -> DataFrame:
+def _nesting(places: DataFrame, spans: DataFrame, by: Sequence[str], pos: str, name: str, block: int) -> DataFrame:
     """Adds how many spans enclose each place: +1 after a span starts, -1 after it ends, summed in order.
 
     Spans nest, so this needs no range join.
@@ -20,14 +20,10 @@ def _nesting(places: DataFrame, spans: DataFrame, by: Sequence[str], pos: str, n
     closes = spans.select(*by, (F.col("end_pos") + 1).alias(pos), F.lit(-1).alias("_d"))
     deltas = opens.unionByName(closes).groupBy(*by, pos).agg(F.sum("_d").alias("_delta"))
     joined = places.join(deltas, [*by, pos], "left")
-    return running_sum(joined, by, pos, {name: F.coalesce("_delta", F.lit(0))}, block, last_pos).drop("_delta")
+    return running_sum(joined, by, pos, {name: F.coalesce("_delta", F.lit(0))}, block).drop("_delta")
 
 
-def _last_position(rows: DataFrame, pos: str) -> int:
-    return rows.agg(F.coalesce(F.max(pos), F.lit(0)).alias("p")).first()["p"]
-
-
-def spans_from_sums(places: DataFrame, by: Sequence[str], pos: str, measures: Sequence[str], max_passes: int = 32,
+def spans_from_sums(places: DataFrame, by: Sequence[str], pos: str, measures: Sequence[str],
                     block: int = BLOCK_ROWS) -> DataFrame:
     """C-35: place i sums the places after it up to j when, in every measure, running(j) = running(i) + value(i).
 
@@ -37,18 +33,17 @@ def spans_from_sums(places: DataFrame, by: Sequence[str], pos: str, measures: Se
     """
     by = list(by)
     rows = materialize(places.select(*by, pos, *measures))
-    last = _last_position(rows, pos)
     spans = None
-    for number in range(1, max_passes + 1):
+    for number in itertools.count(1):
         if spans is None:
             state = rows.withColumn("_covered", F.lit(False)).withColumn("_done", F.lit(False))
         else:
-            state = (_nesting(rows, spans, by, pos, "_depth", block, last)
+            state = (_nesting(rows, spans, by, pos, "_depth", block)
                      .withColumn("_covered", F.col("_depth") > 0).drop("_depth")
                      .join(spans.select(*by, F.col("start_pos").alias(pos), F.lit(True).alias("_done")), [*by, pos], "left")
                      .withColumn("_done", F.coalesce("_done", F.lit(False))))
         state = running_sum(state, by, pos, {f"_r{i}": F.when(~F.col("_covered"), F.col(m)).otherwise(F.lit(0))
-                                             for i, m in enumerate(measures)}, block, last)
+                                             for i, m in enumerate(measures)}, block)
         reached = F.array(*[F.col(f"_r{i}").cast("bigint") for i in range(len(measures))])
         goal = F.array(*[(F.col(f"_r{i}") + F.col(m)).cast("bigint") for i, m in enumerate(measures)])
         complete = F.lit(True)
@@ -63,33 +58,41 @@ def spans_from_sums(places: DataFrame, by: Sequence[str], pos: str, measures: Se
         if found.isEmpty():
             return found if spans is None else spans
         spans = found if spans is None else materialize(spans.unionByName(found))
-    raise RuntimeError(f"the tree is deeper than {max_passes} levels")
 
 
-def close_spans(spans: DataFrame, by: Sequence[str], rounds: int = 3) -> DataFrame:
-    """C-36: a span whose last place starts its own span ends where that one ends."""
-    for _ in range(rounds):
+def close_spans(spans: DataFrame, by: Sequence[str]) -> DataFrame:
+    """C-36: a span whose last place starts its own span ends where that one ends, until nothing moves any more.
+
+    A chain of spans halves with every round, since the inner ends have moved too.
+    """
+    while True:
         inner = spans.select(*by, F.col("start_pos").alias("end_pos"), F.col("end_pos").alias("_inner_end"))
-        spans = (spans.join(inner, [*by, "end_pos"], "left")
-                 .withColumn("end_pos", F.greatest("end_pos", "_inner_end")).drop("_inner_end"))
-    return materialize(spans)
+        moved = materialize(spans.join(inner, [*by, "end_pos"], "left")
+                            .withColumn("_moves", F.coalesce(F.col("_inner_end") > F.col("end_pos"), F.lit(False)))
+                            .withColumn("end_pos", F.greatest("end_pos", "_inner_end")).drop("_inner_end"))
+        spans = moved.drop("_moves")
+        if moved.filter("_moves").isEmpty():
+            return spans
 
 
-def tree_from_spans(places: DataFrame, spans: DataFrame, by: Sequence[str], pos: str, name: str, depths: int = 3,
+def tree_from_spans(places: DataFrame, spans: DataFrame, by: Sequence[str], pos: str, name: str,
                     block: int = BLOCK_ROWS) -> DataFrame:
     """C-37: depth, parent position, level and the names of the enclosing regions and provinces.
 
-    The enclosing place at each depth is the last span start of that depth, carried forward.
+    The enclosing place at each depth is the last span start of that depth, carried forward. The number of depths is
+    read from the data.
     """
     by = list(by)
     places = materialize(places)
-    last = _last_position(places, pos)
     starts = spans.select(*by, F.col("start_pos").alias(pos), F.lit(True).alias("is_aggregate"))
-    tree = (_nesting(places, spans, by, pos, "depth", block, last).join(starts, [*by, pos], "left")
+    tree = (_nesting(places, spans, by, pos, "depth", block).join(starts, [*by, pos], "left")
             .withColumn("is_aggregate", F.coalesce("is_aggregate", F.lit(False))))
+    tree = materialize(tree)
+    # regions and provinces, the depths 1 and 2, are named even where no place lies that deep
+    depths = max(3, tree.agg(F.max("depth")).first()[0] or 0)
     for d in range(depths):
         head = F.when(F.col("is_aggregate") & (F.col("depth") == d), F.struct(F.col(pos).alias("p"), F.col(name).alias("n")))
-        tree = carry_forward(tree, by, pos, head, f"_at{d}", block, last)
+        tree = carry_forward(tree, by, pos, head, f"_at{d}", block)
     parent, parent_name = F.lit(None).cast("bigint"), F.lit(None).cast("string")
     for d in range(depths):
         parent = F.when(F.col("depth") == d + 1, F.col(f"_at{d}.p")).otherwise(parent)

@@ -14,23 +14,19 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from placegrid.session import materialize
 
 BLOCK_ROWS = 100_000
-# a proven bound on what one task may order on its own
+# about what one task may order on its own
 ONE_TASK_ROWS = 500_000
 
 
 def running_sum(df: DataFrame, by: Sequence[str], pos: str, sums: dict[str, Column | str],
-                block: int = BLOCK_ROWS, last_pos: int | None = None) -> DataFrame:
+                block: int = BLOCK_ROWS) -> DataFrame:
     """Adds inclusive running sums by ``pos`` within ``by``: ``{new_column: value}``.
 
     ``pos`` is a whole number that grows with the order (a row number). Rows are windowed inside blocks of
-    ``block`` positions; each block's offset comes from the block totals, a table ``block`` times smaller. A caller
-    that knows ``last_pos`` lies inside the first block saves the offsets.
+    ``block`` positions; each block's offset comes from the block totals, a table ``block`` times smaller.
     """
     by = list(by)
     values = {name: (F.col(v) if isinstance(v, str) else v) for name, v in sums.items()}
-    if last_pos is not None and last_pos < block:
-        whole = Window.partitionBy(*by).orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
-        return df.withColumns({n: F.coalesce(F.sum(v).over(whole), F.lit(0)) for n, v in values.items()})
     rows = df.withColumn("_block", F.floor(F.col(pos) / block))
     totals = rows.groupBy(*by, "_block").agg(*[F.sum(v).alias(f"_t_{n}") for n, v in values.items()])
     before = Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
@@ -46,13 +42,10 @@ def running_sum(df: DataFrame, by: Sequence[str], pos: str, sums: dict[str, Colu
 
 
 def carry_forward(df: DataFrame, by: Sequence[str], pos: str, value: Column | str, name: str,
-                  block: int = BLOCK_ROWS, last_pos: int | None = None) -> DataFrame:
+                  block: int = BLOCK_ROWS) -> DataFrame:
     """Adds the last non-null ``value`` at or before each row, in ``pos`` order within ``by`` (C-30)."""
     by = list(by)
     value = F.col(value) if isinstance(value, str) else value
-    if last_pos is not None and last_pos < block:
-        whole = Window.partitionBy(*by).orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
-        return df.withColumn(name, F.last(value, ignorenulls=True).over(whole))
     rows = df.withColumn("_block", F.floor(F.col(pos) / block)).withColumn("_value", value)
     tails = (rows.filter(F.col("_value").isNotNull()).groupBy(*by, "_block")
              .agg(F.max_by("_value", pos).alias("_tail")))
@@ -68,17 +61,16 @@ def carry_forward(df: DataFrame, by: Sequence[str], pos: str, value: Column | st
 def position_in_order(df: DataFrame, order: Sequence[Column], name: str, by: Sequence[str] = ()) -> DataFrame:
     """Adds the 1-based position of each row in ``order``, over the whole table or within ``by``.
 
-    The rows are written out once. Up to ``ONE_TASK_ROWS`` of them are numbered by a plain window. More are
-    range-partitioned on the order itself and written with their piece number, so the pieces stay fixed; each
-    piece is numbered on its own and shifted by the row counts of the pieces before it. ``order`` must be total.
+    The rows are range-partitioned on the order itself, into pieces of about ``ONE_TASK_ROWS``, and written with
+    their piece number, so the pieces stay fixed; each piece is numbered on its own and shifted by the row counts of
+    the pieces before it. ``order`` must be total.
     """
     by = list(by)
     rows = materialize(df)
     group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    if rows.count() <= ONE_TASK_ROWS:
-        return rows.withColumn(name, F.row_number().over(group.orderBy(*order)).cast("bigint"))
+    wanted = max(1, -(-rows.count() // ONE_TASK_ROWS))
     keys = [*[F.col(c).asc_nulls_first() for c in by], *order]
-    pieces = materialize(rows.repartitionByRange(*keys).withColumn("_piece", F.spark_partition_id()))
+    pieces = materialize(rows.repartitionByRange(wanted, *keys).withColumn("_piece", F.spark_partition_id()))
     before = group.orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (pieces.groupBy(*by, "_piece").count()
                .withColumn("_shift", F.coalesce(F.sum("count").over(before), F.lit(0)))

@@ -57,7 +57,7 @@ def match_city_names(names: DataFrame, units: DataFrame, aliases: DataFrame, reg
         *key, F.col("code").alias("name_city_code"), F.col("level").alias("name_city_level"), F.col("match_method").alias("name_city_method"), F.col("hits").alias("name_city_hits"))
 
 
-def match_sub_unit_names(places: DataFrame, units: DataFrame, cap: int = 40, shortest: int = 20) -> DataFrame:
+def match_sub_unit_names(places: DataFrame, units: DataFrame, cap: int = 40, shortest: int = 1) -> DataFrame:
     """Barangay of each distinct (city found by name, barangay name); a cut-off name may match by its beginning."""
     subs = units.filter(F.col("geographic_level") == "Bgy").withColumn("name_city_code", F.col("city_municipality_code"))
     key = ["name_city_code", "barangay"]

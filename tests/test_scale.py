@@ -97,6 +97,19 @@ def test_tree_from_sums(spark, block):
     assert got["h"] == ("city_municipality", "R3", "R3", None)
 
 
+def test_long_chain_of_spans_closes(spark):
+    """Each span ends where the next one starts: more links than a few fixed rounds could follow."""
+    chain = spark.createDataFrame([("s", i, i + 1) for i in range(1, 41)], "sheet string, start_pos long, end_pos long")
+    assert {r["end_pos"] for r in hierarchy.close_spans(chain, ["sheet"]).collect()} == {41}
+
+
+def test_parents_of_a_deep_tree(spark):
+    places = spark.createDataFrame([("s", i, f"n{i}") for i in range(1, 9)], "sheet string, pos long, name string")
+    spans = spark.createDataFrame([("s", i, 8) for i in range(1, 8)], "sheet string, start_pos long, end_pos long")
+    got = {r["pos"]: r["parent_pos"] for r in hierarchy.tree_from_spans(places, spans, ["sheet"], "pos", "name", block=3).collect()}
+    assert got == {1: None} | {i: i - 1 for i in range(2, 9)}
+
+
 def test_quantiles_in_several_rounds(spark, monkeypatch):
     monkeypatch.setattr(scale, "ONE_TASK_ROWS", 30)
     rng = random.Random(11)
