@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import json
 import os
-
-import numpy as np
+import string
+from array import array
 
 from placegrid.llm.common import held
 
 #: Distinct pieces a worker keeps; when more come, it starts anew. This bounds memory at about 250 MB, results do not depend on it.
 KEPT = 1_200_000
 
+_MARKS = string.punctuation.encode()
+
+
 def _tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark gives each task one core
     from tokenizers import Tokenizer
@@ -38,30 +41,63 @@ def splits_at_gaps(path: str) -> bool:
     return plain and drops and not glued
 
 
+def splits_at_marks(path: str) -> bool:
+    """Whether a run of letters and digits and the ASCII punctuation after it are encoded apart, whatever the case.
+
+    True for a splitter of letter runs, digits and other runs, after a lower-casing normaliser.
+    """
+    with open(path, encoding="utf-8") as source:
+        parts = json.load(source)
+    normal, cut = parts.get("normalizer") or {}, parts.get("pre_tokenizer") or {}
+    first = (cut.get("pretokenizers") or [cut])[0]
+    runs = {r for r in first.get("pattern", {}).get("Regex", "").split("|") if not r.startswith("'")}
+    plain = all(set("<>") <= set(t["content"]) for t in parts["added_tokens"])
+    return plain and runs == {r"[\p{L}]+", r"[\p{N}]", r"[^\s\p{L}\p{N}]+"} and any(s["type"] == "Lowercase" for s in normal.get("normalizers", [normal]))
+
+
 class PieceCoder:
-    """Ids of whole texts as little-endian 32-bit bytes. Pieces met before are looked up, new ones encoded in one call."""
+    """Ids of whole texts as little-endian 32-bit bytes. Pieces met before are looked up, new ones encoded in one call.
+
+    Where the tokenizer allows it, what is kept are plain words in lower case and the punctuation after them.
+    """
 
     def __init__(self, path: str):
         self._tokenizer = _tokenizer(path)
         self._whole = not splits_at_gaps(path)
+        self._marks = not self._whole and splits_at_marks(path)
         self._known: dict[bytes, bytes] = {}
 
     def _encode(self, pieces: list[bytes]) -> list[bytes]:
         found = self._tokenizer.encode_batch_fast([p.decode("utf-8") for p in pieces], add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
+        return [array("I", e.ids).tobytes() for e in found]
+
+    def _parts(self, piece: bytes) -> tuple[bytes, bytes]:
+        """The piece as a word and the marks after it; a piece of another form is all word."""
+        word = piece.rstrip(_MARKS)
+        if word.isalnum():  # ASCII only
+            return word.lower(), piece[len(word):]
+        if word[-1:].isalnum() and b"<" not in piece:
+            return word, piece[len(word):]
+        return piece, b""
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         if self._whole:
             return self._encode(texts)
         cut = [t.split() for t in texts]
-        new = list(set().union(*cut).difference(self._known))
-        if len(self._known) + len(new) > KEPT:
-            self._known.clear()
-            new = list(set().union(*cut))
+        met, known = set().union(*cut), self._known
+        for _ in range(2):
+            fresh = list(met.difference(known))
+            parts = list(map(self._parts, fresh)) if self._marks else [(p, b"") for p in fresh]
+            new = list(set().union(*parts).difference(known))
+            if len(known) + len(new) <= KEPT:
+                break
+            known.clear()
         for first in range(0, len(new), 4096):
             some = new[first:first + 4096]
-            self._known.update(zip(some, self._encode(some)))
-        get = self._known.__getitem__
+            known.update(zip(some, self._encode(some)))
+        ids = {p: known[word] + known[marks] if marks else known[word] for p, (word, marks) in zip(fresh, parts)}
+        ids.update((p, known[p]) for p in met.difference(ids))
+        get = ids.__getitem__
         return [b"".join(map(get, pieces)) for pieces in cut]
 
 
