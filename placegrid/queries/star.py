@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from placegrid import rules
 from placegrid.operators import metrics, modelling, priority, serving, trend
 from placegrid.session import literal_table, scratch_path
 
@@ -269,36 +270,66 @@ FROM population_summed s LEFT JOIN (
   SELECT place_code FROM population_summed WHERE place_code NOT IN ('UNKNOWN', 'EXCLUDED')
   GROUP BY place_code HAVING count(DISTINCT reference_year) = 2) b USING (place_code)""")
 
-_sql("rollup", ("fact",), f"""
-SELECT entity_id, place_code,
-       coalesce(bool_or(is_offered AND learner_count > 0), false) AS is_active,
-       count(*) FILTER (WHERE is_offered AND learner_count IS NULL) AS incomplete_levels,
-       count(*) FILTER (WHERE is_offered) > 0 AND count(*) FILTER (WHERE is_offered AND learner_count IS NOT NULL) = 0 AS is_blank,
-       bool_or(annex_status = '{ANNEX}') AS is_annex,
-       CAST(coalesce(sum(learner_count) FILTER (WHERE is_offered), 0) AS BIGINT) AS complete_learners
-FROM fact WHERE period = '{PERIOD}' AND sector = 'Public' AND match_status = 'matched' GROUP BY entity_id, place_code""")
-
-_sql("provision", ("lgu", "rollup", "population"), f"""
-SELECT *, CASE WHEN active_count = 0 THEN 'no active public school' WHEN learners_per_school IS NULL THEN 'no school with complete enrollment'
-               WHEN coverage_pct < 90 THEN 'coverage below 90%' END AS not_assessed_reason,
-       active_count > 0 AND learners_per_school IS NOT NULL AND NOT coalesce(coverage_pct < 90, false) AS is_assessed
+def first_label(cases: dict[str, str], otherwise: str = "NULL") -> str:
+    """The label of the first condition that holds, out of labels in order of precedence."""
+    return f"coalesce(list_extract([{', '.join(repr(c) for c in cases)}], list_position([{', '.join(f'coalesce({c}, false)' for c in cases.values())}], true)), {otherwise})"
+
+
+def every_label(cases: dict[str, str], between: str) -> str:
+    """The labels of all conditions that hold, joined; empty where none does."""
+    return f"concat_ws({between!r}, {', '.join(f'if({c}, {t!r}, NULL)' for t, c in cases.items())})"
+
+
+def rule_table(name: str, columns: str, rows) -> str:
+    """A small rule table for a FROM clause."""
+    value = lambda v: "NULL" if v is None else repr(v) if isinstance(v, str) else str(v)
+    return f"(VALUES {', '.join('(' + ', '.join(map(value, r)) + ')' for r in rows)}) {name}({columns})"
+
+
+_sql("public_levels", ("fact",), f"""
+SELECT entity_id, place_code, level_code, annex_status = '{ANNEX}' AS annex, coalesce(is_offered, false) AS offered, if(is_offered, learner_count, NULL) AS counted
+FROM fact WHERE period = '{PERIOD}' AND sector = 'Public' AND match_status = 'matched'""")
+
+_sql("rollup", ("public_levels",), """
+SELECT entity_id, place_code, most > 0 AS is_active, offers - known AS incomplete_levels, known = 0 AND offers > 0 AS is_blank, is_annex, complete_learners
 FROM (
-  SELECT g.*, '{PERIOD}' AS period, coalesce(s.active_count, 0) AS active_count, coalesce(s.annex_count, 0) AS annex_count,
-         coalesce(s.complete_count, 0) AS complete_count, coalesce(s.incomplete_count, 0) AS incomplete_count, coalesce(s.blank_count, 0) AS blank_count,
-         CAST(coalesce(s.public_enrollment, 0) AS BIGINT) AS public_enrollment, p.school_age_population,
-         CAST(coalesce(s.public_enrollment, 0) AS DOUBLE) / nullif(coalesce(s.complete_count, 0), 0) AS learners_per_school,
-         CAST(p.school_age_population AS DOUBLE) / nullif(coalesce(s.active_count, 0), 0) AS residents_per_school,
-         100.0::DOUBLE * coalesce(s.complete_count, 0) / nullif(coalesce(s.active_count, 0) + coalesce(s.blank_count, 0), 0) AS coverage_pct
-  FROM lgu g LEFT JOIN (
-    SELECT place_code, count(*) FILTER (WHERE is_active) AS active_count, count(*) FILTER (WHERE is_active AND is_annex) AS annex_count,
-           count(*) FILTER (WHERE is_active AND incomplete_levels = 0) AS complete_count,
-           count(*) FILTER (WHERE is_active AND incomplete_levels > 0) AS incomplete_count, count(*) FILTER (WHERE is_blank) AS blank_count,
-           sum(complete_learners) FILTER (WHERE is_active AND incomplete_levels = 0) AS public_enrollment
-    FROM rollup GROUP BY place_code) s USING (place_code)
-  LEFT JOIN (
-    SELECT place_code, CAST(sum(population) AS BIGINT) AS school_age_population FROM population
-    WHERE reference_year = {POPULATION_YEAR} AND sex IN ('male', 'female') AND age BETWEEN 5 AND 17 AND match_status = 'matched'
-    GROUP BY place_code) p USING (place_code))""")
+  SELECT entity_id, place_code, bool_or(annex) AS is_annex, coalesce(max(counted), 0) AS most, count(counted) AS known, count_if(offered)::BIGINT AS offers,
+         coalesce(sum(counted), 0)::BIGINT AS complete_learners
+  FROM public_levels GROUP BY entity_id, place_code)""")
+
+# Every reporting entity in one of three states; the measures of a place are parts and wholes made of these counts.
+_sql("entity_states", ("rollup",), """
+SELECT place_code, is_annex, if(is_blank, 'blank', if(incomplete_levels > 0, 'incomplete', 'complete')) AS state, complete_learners AS learners
+FROM rollup WHERE is_active OR is_blank""")
+
+_sql("state_counts", ("lgu", "entity_states"), """
+SELECT place_code, coalesce(map_extract_value(n, 'complete'), 0) AS complete_count, coalesce(map_extract_value(n, 'incomplete'), 0) AS incomplete_count,
+       coalesce(map_extract_value(n, 'blank'), 0) AS blank_count, coalesce(annexes, 0)::BIGINT AS annex_count, coalesce(map_extract_value(total, 'complete'), 0) AS public_enrollment
+FROM lgu LEFT JOIN (
+  SELECT place_code, map_from_entries(list((state, n))) AS n, map_from_entries(list((state, total))) AS total, sum(annexes) AS annexes
+  FROM (SELECT place_code, state, count(*) AS n, sum(learners)::BIGINT AS total, count_if(is_annex AND state <> 'blank') AS annexes FROM entity_states GROUP BY place_code, state)
+  GROUP BY place_code) USING (place_code)""")
+
+_sql("school_age", ("population",), f"""
+SELECT place_code, sum(population)::BIGINT AS school_age_population
+FROM population SEMI JOIN {rule_table('counted', 'sex, match_status', [('male', 'matched'), ('female', 'matched')])} USING (sex, match_status)
+WHERE reference_year = {POPULATION_YEAR} AND age BETWEEN 5 AND 17 GROUP BY place_code""")
+
+_sql("provision_measures", ("state_counts", "school_age"), """
+SELECT place_code, measure, part / nullif(whole, 0) AS value FROM (
+  SELECT place_code, 'learners' AS measure, public_enrollment::DOUBLE AS part, complete_count AS whole FROM state_counts
+  UNION ALL SELECT place_code, 'coverage', 100.0::DOUBLE * complete_count, complete_count + incomplete_count + blank_count FROM state_counts
+  UNION ALL SELECT place_code, 'residents', school_age_population::DOUBLE, complete_count + incomplete_count FROM state_counts JOIN school_age USING (place_code))""")
+
+_per_measure = ", ".join(f"any_value(value) FILTER (measure = '{m}') AS {m}" for m in ("learners", "coverage", "residents"))
+_why_not = first_label({"no active public school": "active_count = 0", "no school with complete enrollment": "learners_per_school IS NULL", "coverage below 90%": "coverage_pct < 90"})
+_sql("provision", ("lgu", "state_counts", "school_age", "provision_measures"), f"""
+SELECT *, not_assessed_reason IS NULL AS is_assessed FROM (
+  SELECT *, {_why_not} AS not_assessed_reason FROM (
+    SELECT lgu.*, '{PERIOD}' AS period, c.* EXCLUDE (place_code), c.complete_count + c.incomplete_count AS active_count, a.school_age_population,
+           m.learners AS learners_per_school, m.residents AS residents_per_school, m.coverage AS coverage_pct
+    FROM (SELECT place_code, {_per_measure} FROM provision_measures GROUP BY place_code) m
+    JOIN lgu USING (place_code) JOIN state_counts c USING (place_code) LEFT JOIN school_age a USING (place_code)))""")
 
 _sql("screen", ("lgu", "rollup", "rooms"), f"""
 SELECT *, not_assessed_reason IS NULL AS is_assessed,
@@ -435,58 +466,79 @@ SELECT place_code, CAST(census_year AS INTEGER) AS census_year, period, first_pe
        is_geography_comparable
 FROM trend_raw""")
 
-_category = lambda p, g, full: f"""CASE WHEN {p} = 0 AND ({g} IS NULL OR NOT ({full})) THEN 'Data review'
-            WHEN {p} = 2 AND coalesce({g}, false) THEN 'Priority 1'
-            WHEN {p} = 2 OR ({p} = 1 AND coalesce({g}, false)) THEN 'Priority 2'
-            WHEN {p} = 1 THEN 'Priority 3' WHEN {g} THEN 'Monitor' ELSE 'No current pressure identified' END"""
-_rank = lambda c, p, a, r, l: f"""row_number() OVER (ORDER BY CASE {c} WHEN 'Priority 1' THEN 1 WHEN 'Priority 2' THEN 2 WHEN 'Priority 3' THEN 3 WHEN 'Monitor' THEN 4
-       WHEN 'No current pressure identified' THEN 5 ELSE 6 END, {p} DESC, {a} DESC, {r} DESC NULLS LAST, {l} DESC NULLS LAST, public_change DESC NULLS LAST,
-       public_change_pct DESC NULLS LAST, place_code)"""
-
-_sql("matrix", ("lgu", "provision", "screen", "levels", "trend"), f"""
-SELECT *, {_rank('priority_category', 'pressure_count', 'affected_learners', 'room_affected_learners', 'pressured_level_count')} AS priority_order
+# The category by the number of pressures and the state of growth.
+_CATEGORIES = [(2, "up", "Priority 1"), (2, "flat", "Priority 2"), (2, "unknown", "Priority 2"), (1, "up", "Priority 2"), (1, "flat", "Priority 3"), (1, "unknown", "Priority 3"),
+               (0, "up", "Monitor"), (0, "flat", "No current pressure identified"), (0, "unknown", "Data review")]
+_URGENCY = [(label, i) for i, label in enumerate(rules.PRIORITY_CATEGORIES, 1)]
+
+
+def _classified(facts: str, after: str = "") -> str:
+    """``facts`` (pressures, growth, all assessed) with category, and its place in the order of all; columns end in ``after``.
+
+    Without a pressure, a place that is not assessed in full counts as one whose growth is not known.
+    """
+    n, c, a = f"pressure_count{after}", f"priority_category{after}", f"affected_learners{after}"
+    falling = ", ".join(f"-{v}" for v in (n, a, f"room_affected_learners{after}", f"pressured_level_count{after}", "public_change", "public_change_pct"))
+    return f"""
+SELECT f.* EXCLUDE (fully), k.{c}, count(*) OVER (ORDER BY row(u.urgency, {falling}, place_code)) AS priority_order{after}
+FROM ({facts}) f
+JOIN {rule_table('k', f'pressures, growth, {c}', _CATEGORIES)} ON k.pressures = f.{n}
+  AND k.growth = if(f.{n} = 0 AND NOT f.fully OR f.is_growing IS NULL, 'unknown', if(f.is_growing, 'up', 'flat'))
+JOIN {rule_table('u', 'label, urgency', _URGENCY)} ON u.label = k.{c}"""
+
+
+# Growth of a place, and the first thing that keeps it from being known.
+_sql("growth", ("lgu", "trend"), f"""
+SELECT place_code, ends.* EXCLUDE (place_code), gaps.* EXCLUDE (place_code), if(is_geography_comparable, public_trend = 'increasing', NULL) AS is_growing,
+       {first_label({'no enrollment trend row': 'ends.place_code IS NULL', 'no census population row': 'NOT coalesce(is_geography_comparable, false) AND residents IS NULL',
+                'boundary changed between censuses': 'NOT coalesce(is_geography_comparable, false)', 'public enrollment incomplete in first or latest period': 'NOT coalesce(endpoints_complete, false)',
+                'no public enrollment in first period': 'public_trend IS NULL'})} AS growth_not_assessed_reason
+FROM lgu LEFT JOIN (
+  SELECT place_code, first_public, latest_public, public_change, 100 * public_change_share AS public_change_pct, public_trend, endpoints_complete, is_geography_comparable
+  FROM trend WHERE period = latest_period) ends USING (place_code)
+LEFT JOIN (SELECT place_code, school_age_population AS residents, population_gap, 100 * gap_share AS gap_pct FROM trend WHERE period = '2000') gaps USING (place_code)""")
+
+_sql("matrix_inputs", ("provision", "screen", "levels", "growth"), """
+SELECT growth.* EXCLUDE (residents),
+       provision.* EXCLUDE (place_code, period, active_count, annex_count, complete_count, incomplete_count, blank_count, school_age_population, residents_per_school, coverage_pct, is_assessed, not_assessed_reason),
+       provision.coverage_pct AS provision_coverage_pct, provision.is_assessed AS provision_assessed,
+       room.* EXCLUDE (place_code), teacher.* EXCLUDE (place_code)
+FROM growth JOIN provision USING (place_code)
+JOIN (SELECT place_code, learners_per_room, learner_coverage_pct AS room_coverage_pct, is_assessed AS room_assessed, congested_count AS room_affected_count,
+             congested_learners AS room_affected_learners, congested_share_pct AS room_affected_share_pct, (benchmark_status = 'reported congestion identified')::INT AS room_flag
+      FROM screen) room USING (place_code)
+JOIN (SELECT place_code, is_assessed AS teacher_assessed, benchmark_status AS teacher_status, pressured_level_count, pressured_learners AS teacher_affected_learners,
+             (pressured_level_count > 0)::INT AS teacher_flag FROM levels) teacher USING (place_code)""")
+
+_sql("matrix", ("matrix_inputs",), _classified("""
+SELECT *, room_flag + teacher_flag AS pressure_count, list_max([room_affected_learners, teacher_affected_learners, 0]) AS affected_learners,
+       room_assessed AND teacher_assessed AS fully FROM matrix_inputs"""))
+
+# Learners (part) by level and over all levels of every entity, against rooms (all levels) and teachers (whole).
+_sql("capacity", ("rooms", "teachers"), f"""
+SELECT entity_id, 'room' AS measure, 'ALL' AS level_code, rooms AS denominator FROM rooms WHERE period = '{PERIOD}'
+UNION ALL SELECT entity_id, 'teacher', level_code, teacher_count FROM teachers WHERE period = '{PERIOD}'""")
+
+_sql("ratios", ("public_levels", "rollup", "capacity", "lgu"), """
+SELECT entity_id, place_code, measure, level_code, learners, denominator, place_type, learners::DOUBLE / denominator AS ratio
 FROM (
-SELECT *, room_flag + teacher_flag AS pressure_count, greatest(coalesce(room_affected_learners, 0), coalesce(teacher_affected_learners, 0)) AS affected_learners,
-       {_category('(room_flag + teacher_flag)', 'is_growing', 'coalesce(room_assessed, false) AND coalesce(teacher_assessed, false)')} AS priority_category
-FROM (
-SELECT g.*, a.learners_per_school, a.coverage_pct AS provision_coverage_pct, a.is_assessed AS provision_assessed, a.public_enrollment,
-       b.learners_per_room, b.learner_coverage_pct AS room_coverage_pct, b.is_assessed AS room_assessed, b.congested_count AS room_affected_count,
-       b.congested_learners AS room_affected_learners, b.congested_share_pct AS room_affected_share_pct,
-       c.is_assessed AS teacher_assessed, c.benchmark_status AS teacher_status, c.pressured_level_count, c.pressured_learners AS teacher_affected_learners,
-       d.first_public, d.latest_public, d.public_change, 100 * d.public_change_share AS public_change_pct, d.public_trend, d.endpoints_complete,
-       d.is_geography_comparable, x.population_gap, 100 * x.gap_share AS gap_pct,
-       CASE WHEN coalesce(d.is_geography_comparable, false) AND d.public_trend IS NOT NULL THEN d.public_trend = 'increasing' END AS is_growing,
-       CASE WHEN d.place_code IS NULL THEN 'no enrollment trend row' WHEN coalesce(d.is_geography_comparable, false) AND d.public_trend IS NOT NULL THEN NULL
-            WHEN NOT coalesce(d.is_geography_comparable, false) AND x.school_age_population IS NULL THEN 'no census population row'
-            WHEN NOT coalesce(d.is_geography_comparable, false) THEN 'boundary changed between censuses'
-            WHEN NOT coalesce(d.endpoints_complete, false) THEN 'public enrollment incomplete in first or latest period'
-            ELSE 'no public enrollment in first period' END AS growth_not_assessed_reason,
-       CASE WHEN b.is_assessed AND b.congested_count > 0 THEN 1 ELSE 0 END AS room_flag, CASE WHEN c.pressured_level_count > 0 THEN 1 ELSE 0 END AS teacher_flag
-FROM lgu g LEFT JOIN provision a USING (place_code) LEFT JOIN screen b USING (place_code) LEFT JOIN levels c USING (place_code)
-LEFT JOIN trend d ON d.place_code = g.place_code AND d.period = d.latest_period
-LEFT JOIN trend x ON x.place_code = g.place_code AND x.period = '2000'))""")
-
-_sql("ratios", ("rollup", "rooms", "teachers", "fact", "lgu"), f"""
-SELECT q.*, g.place_type, CAST(learners AS DOUBLE) / denominator AS ratio FROM (
-  SELECT r.entity_id, r.place_code, 'room' AS measure, 'ALL' AS level_code, r.complete_learners AS learners, c.rooms AS denominator
-  FROM rollup r JOIN rooms c ON c.entity_id = r.entity_id AND c.period = '{PERIOD}' AND c.rooms > 0 WHERE r.is_active AND r.incomplete_levels = 0
-  UNION ALL
-  SELECT f.entity_id, f.place_code, 'teacher', f.level_code, f.learner_count, t.teacher_count
-  FROM fact f JOIN rollup r ON r.entity_id = f.entity_id AND (r.is_active OR r.is_blank)
-  JOIN teachers t ON t.entity_id = f.entity_id AND t.period = f.period AND t.level_code = f.level_code AND t.teacher_count > 0
-  WHERE f.period = '{PERIOD}' AND f.sector = 'Public' AND f.match_status = 'matched' AND f.is_offered AND f.learner_count IS NOT NULL) q
-JOIN lgu g USING (place_code)""")
+  SELECT entity_id, place_code, coalesce(level_code, 'ALL') AS level_code, if(count(*) = count(counted), sum(counted), NULL)::BIGINT AS learners
+  FROM public_levels SEMI JOIN (FROM rollup WHERE is_active OR is_blank) reporting USING (entity_id)
+  WHERE offered GROUP BY GROUPING SETS ((entity_id, place_code, level_code), (entity_id, place_code)))
+JOIN capacity USING (entity_id, level_code) JOIN lgu USING (place_code)
+WHERE denominator > 0 AND learners IS NOT NULL""")
 
 _sql("fences", ("ratios",), """
 SELECT measure, level_code, place_type, n AS fence_group_size, q1, q3, q3 - q1 AS iqr, CASE WHEN n >= 10 THEN q1 - 3.0::DOUBLE * (q3 - q1) END AS lower_fence,
        CASE WHEN n >= 10 THEN q3 + 3.0::DOUBLE * (q3 - q1) END AS upper_fence
 FROM (SELECT measure, level_code, place_type, count(*) AS n, quantile_cont(ratio, 0.25) AS q1, quantile_cont(ratio, 0.75) AS q3 FROM ratios GROUP BY 1, 2, 3)""")
 
-_sql("flags", ("ratios", "fences"), """
-SELECT r.*, f.fence_group_size, f.q1, f.q3, f.iqr, f.lower_fence, f.upper_fence, coalesce(ratio > upper_fence, false) AS is_above,
-       coalesce(ratio < lower_fence, false) AS is_below,
-       coalesce(ratio > upper_fence, false) OR (measure = 'teacher' AND coalesce(ratio < lower_fence, false)) AS is_suspected
-FROM ratios r JOIN fences f USING (measure, level_code, place_type)""")
+# The side of the fences a ratio lies on, and the sides that are suspect for a measure.
+_SUSPECT_SIDES = [("room", 1), ("teacher", 1), ("teacher", -1)]
+_sql("flags", ("ratios", "fences"), f"""
+SELECT sided.* EXCLUDE (side), side > 0 AS is_above, side < 0 AS is_below, suspect.side IS NOT NULL AS is_suspected
+FROM (SELECT *, coalesce((ratio > upper_fence)::INT - (ratio < lower_fence)::INT, 0) AS side FROM ratios JOIN fences USING (measure, level_code, place_type)) sided
+LEFT JOIN {rule_table('suspect', 'measure, side', _SUSPECT_SIDES)} USING (measure, side)""")
 
 _sql("affected", ("flags",), """
 SELECT place_code, count(*) AS outlier_count, CAST(sum(learners) AS BIGINT) AS outlier_learners, CAST(sum(rooms) AS BIGINT) AS room_outlier_count,
@@ -529,24 +581,23 @@ SELECT place_code, count(*) FILTER (WHERE offered_count > 0) > 0 AND count(*) FI
        min(learner_coverage_pct) FILTER (WHERE offered_count > 0) AS lowest_coverage_pct_b, {_wide_b}
 FROM level_b GROUP BY place_code""")
 
-_sql("sensitivity", ("matrix", "affected", "room_b", "teacher_b"), f"""
-SELECT *, CASE WHEN outlier_count = 0 THEN 'No suspected outliers' WHEN category_changed THEN 'Priority-sensitive'
-               WHEN room_flag_changed OR teacher_flag_changed THEN 'Classification-sensitive' WHEN coverage_gate_changed THEN 'Coverage-sensitive'
-               WHEN affected_changed THEN 'Magnitude-sensitive' ELSE 'Stable' END AS sensitivity_status
-FROM (
-SELECT *, {_rank('priority_category_b', 'pressure_count_b', 'affected_learners_b', 'room_affected_learners_b', 'pressured_level_count_b')} AS priority_order_b,
-       room_flag <> room_flag_b AS room_flag_changed, teacher_flag <> teacher_flag_b AS teacher_flag_changed, priority_category <> priority_category_b AS category_changed,
-       (coalesce(room_assessed, false) AND NOT room_assessed_b) OR (coalesce(teacher_assessed, false) AND NOT teacher_assessed_b) AS coverage_gate_changed,
-       CASE WHEN affected_learners > 0 THEN abs(affected_learners_b - affected_learners) > 0.10::DOUBLE * affected_learners ELSE affected_learners_b > 0 END AS affected_changed
-FROM (
-SELECT *, room_flag_b + teacher_flag_b AS pressure_count_b,
-       greatest(coalesce(room_affected_learners_b, 0), coalesce(teacher_affected_learners_b, 0)) AS affected_learners_b,
-       {_category('(room_flag_b + teacher_flag_b)', 'is_growing', 'room_assessed_b AND teacher_assessed_b')} AS priority_category_b
+# The first change decides the status; with no learners affected before, any that are affected now are a change.
+_changes = dict(zip(rules.SENSITIVITY_STATUSES, ("outlier_count = 0", "category_changed", "room_flag_changed OR teacher_flag_changed", "coverage_gate_changed", "affected_changed", "true")))
+_sql("without_outliers", ("matrix", "affected", "room_b", "teacher_b"), _classified("""
+SELECT *, room_flag_b + teacher_flag_b AS pressure_count_b, list_max([room_affected_learners_b, teacher_affected_learners_b, 0]) AS affected_learners_b,
+       room_assessed_b AND teacher_assessed_b AS fully
+FROM matrix
+JOIN (SELECT *, (room_assessed_b AND room_affected_count_b > 0)::INT AS room_flag_b FROM room_b) USING (place_code)
+JOIN (SELECT *, (pressured_level_count_b > 0)::INT AS teacher_flag_b FROM teacher_b) USING (place_code)
+LEFT JOIN affected USING (place_code)""", "_b"))
+_sql("sensitivity", ("without_outliers",), f"""
+SELECT *, {first_label(_changes)} AS sensitivity_status
 FROM (
-SELECT m.*, coalesce(o.outlier_count, 0) AS outlier_count, coalesce(o.outlier_learners, 0) AS outlier_learners, coalesce(o.room_outlier_count, 0) AS room_outlier_count,
-       coalesce(o.teacher_outlier_count, 0) AS teacher_outlier_count, r.* EXCLUDE (place_code), t.* EXCLUDE (place_code),
-       CASE WHEN r.room_assessed_b AND r.room_affected_count_b > 0 THEN 1 ELSE 0 END AS room_flag_b, CASE WHEN t.pressured_level_count_b > 0 THEN 1 ELSE 0 END AS teacher_flag_b
-FROM matrix m LEFT JOIN affected o USING (place_code) LEFT JOIN room_b r USING (place_code) LEFT JOIN teacher_b t USING (place_code))))""")
+  SELECT * REPLACE ({', '.join(f'coalesce({c}, 0) AS {c}' for c in ('outlier_count', 'outlier_learners', 'room_outlier_count', 'teacher_outlier_count'))}),
+         {', '.join(f'{c} IS DISTINCT FROM {c}_b AS {n}_changed' for c, n in (('room_flag', 'room_flag'), ('teacher_flag', 'teacher_flag'), ('priority_category', 'category')))},
+         room_assessed > room_assessed_b OR teacher_assessed > teacher_assessed_b AS coverage_gate_changed,
+         abs(affected_learners_b - affected_learners) > {rules.MAGNITUDE_CHANGE}::DOUBLE * affected_learners AS affected_changed
+  FROM without_outliers)""")
 
 _sc = priority.SCENARIO_COLUMNS
 _sql("scenarios", ("sensitivity",), f"""
@@ -560,58 +611,59 @@ SELECT place_code, place_name, place_name || ', ' || coalesce(province_name, reg
        regexp_extract(region_name, '[(]([^)]*)[)]', 1) AS region_short, CASE place_type WHEN 'city' THEN 'City' ELSE 'Municipality' END AS type_label
 FROM lgu""")
 
-_sql("evidence", ("matrix", "labels_sql", "screen", "levels"), """
-SELECT m.*, l.place_label, l.province_label, l.region_short, l.type_label, s.ratio_count, s.missing_room_count, s.zero_room_count, v.offered_level_count,
-       least(CASE WHEN es_offered_count > 0 THEN coalesce(es_learner_coverage_pct, 0) END, CASE WHEN jhs_offered_count > 0 THEN coalesce(jhs_learner_coverage_pct, 0) END,
-             CASE WHEN shs_offered_count > 0 THEN coalesce(shs_learner_coverage_pct, 0) END) AS teacher_coverage_pct,
-       concat_ws(', ', CASE WHEN es_benchmark_status = 'above reference' THEN 'ES' END, CASE WHEN jhs_benchmark_status = 'above reference' THEN 'JHS' END,
-                 CASE WHEN shs_benchmark_status = 'above reference' THEN 'SHS' END) AS levels_above,
-       CASE WHEN room_flag = 1 THEN 'Signal present' WHEN coalesce(room_assessed, false) THEN 'No signal' ELSE 'Not assessed' END AS room_signal,
-       CASE WHEN teacher_flag = 1 THEN 'Signal present' WHEN coalesce(teacher_assessed, false) THEN 'No signal' ELSE 'Not assessed' END AS teacher_signal,
-       CASE WHEN is_growing THEN 'Growing' WHEN NOT is_growing THEN 'Not growing' ELSE 'Not comparable' END AS growth_signal,
-       coalesce(nullif(concat_ws(' + ', CASE WHEN room_flag = 1 THEN 'Classroom' END, CASE WHEN teacher_flag = 1 THEN 'Teacher' END), ''), 'None identified') AS pressure_signals,
-       CASE WHEN priority_category = 'Data review' THEN 'Data review'
-            WHEN NOT coalesce(room_assessed, false) OR NOT coalesce(teacher_assessed, false) OR is_growing IS NULL THEN 'Partly assessed' ELSE 'Fully assessed' END AS data_readiness,
-       concat_ws('; ', CASE WHEN NOT coalesce(room_assessed, false) THEN coalesce(s.not_assessed_reason, 'rooms not assessed') END,
-                 CASE WHEN NOT coalesce(teacher_assessed, false) THEN coalesce(v.not_assessed_reason, 'teachers not assessed') END,
-                 CASE WHEN is_growing IS NULL THEN coalesce(growth_not_assessed_reason, 'trend not comparable') END) AS not_assessed_text
-FROM matrix m JOIN labels_sql l USING (place_code) LEFT JOIN screen s USING (place_code) LEFT JOIN levels v USING (place_code)""")
-
-_lv = [v.lower() for v in LEVELS]
-_sql("worklist", ("fact", "rollup", "rooms", "teachers", "flags", "entities"), f"""
-SELECT *, row_number() OVER (PARTITION BY place_code ORDER BY CASE WHEN checks > 0 THEN 0 ELSE 1 END, learners_per_room DESC NULLS LAST, entity_name, entity_id) AS list_order
+_sql("level_evidence", ("level_status",), """
+SELECT place_code, count(*) FILTER (offered_count > 0) AS offered_level_count, min(coalesce(learner_coverage_pct, 0)) FILTER (offered_count > 0) AS teacher_coverage_pct,
+       coalesce(string_agg(level_code, ', ' ORDER BY level_code) FILTER (benchmark_status = 'above reference'), '') AS levels_above
+FROM level_status GROUP BY place_code""")
+
+_signal = [(1, True, "Signal present"), (1, False, "Signal present"), (0, True, "No signal"), (0, False, "Not assessed")]
+_open = {"room": "NOT room_assessed", "teacher": "NOT teacher_assessed", "growth": "is_growing IS NULL"}
+_sql("evidence", ("matrix", "labels_sql", "screen", "levels", "level_evidence"), f"""
+SELECT matrix.*, place_label, province_label, region_short, type_label, ratio_count, missing_room_count, zero_room_count, level_evidence.* EXCLUDE (place_code),
+       rs.signal AS room_signal, ts.signal AS teacher_signal,
+       {first_label({'Growing': 'is_growing', 'Not growing': 'NOT is_growing'}, "'Not comparable'")} AS growth_signal,
+       coalesce(nullif({every_label({'Classroom': 'room_flag = 1', 'Teacher': 'teacher_flag = 1'}, ' + ')}, ''), 'None identified') AS pressure_signals,
+       {first_label({'Data review': "priority_category = 'Data review'", 'Partly assessed': ' OR '.join(_open.values())}, "'Fully assessed'")} AS data_readiness,
+       concat_ws('; ', if({_open['room']}, screen.not_assessed_reason, NULL), if({_open['teacher']}, levels.not_assessed_reason, NULL),
+                                    if({_open['growth']}, growth_not_assessed_reason, NULL)) AS not_assessed_text
+FROM matrix JOIN labels_sql USING (place_code) JOIN screen USING (place_code) JOIN levels USING (place_code) JOIN level_evidence USING (place_code)
+JOIN {rule_table('rs', 'flag, assessed, signal', _signal)} ON (rs.flag, rs.assessed) = (room_flag, room_assessed)
+JOIN {rule_table('ts', 'flag, assessed, signal', _signal)} ON (ts.flag, ts.assessed) = (teacher_flag, teacher_assessed)""")
+
+# What is listed about an entity, in the order of the text, and the step that it leads to.
+_LISTED = {"Missing room count": "f_rooms_missing", "Zero rooms reported": "f_rooms_zero", "Missing learner count": "f_learners_missing", "Missing teacher count": "f_teachers_missing",
+           "Zero teachers reported": "f_teachers_zero", "Suspected extreme figure": "f_outlier", "Above classroom screen": "f_above"}
+_STEPS = {"Verify reported room count": ("f_rooms_missing", "f_rooms_zero"), "Verify enrollment by level": ("f_learners_missing",),
+          "Verify teacher count by level": ("f_teachers_missing", "f_teachers_zero"), "Verify the extreme room or teacher figure": ("f_outlier",),
+          "Verify reported room count and enrollment": ("f_above",)}
+_STATES = {"Above classroom screen": ("f_above",), "Missing figure": ("f_rooms_missing", "f_learners_missing", "f_teachers_missing"), "Zero reported": ("f_rooms_zero", "f_teachers_zero")}
+_any_of = lambda table: {t: " + ".join(names) + " > 0" for t, names in table.items()}
+
+# One row per entity and level, then per entity: each level's figures are a column only at the very end.
+_sql("worklist_levels", ("public_levels", "capacity"), f"""
+SELECT entity_id, {', '.join(f"bool_or(offered) FILTER (level_code = '{v}') AS offers_{v.lower()}, sum(counted) FILTER (level_code = '{v}')::BIGINT AS {v.lower()}_learners, any_value(denominator) FILTER (level_code = '{v}') AS {v.lower()}_teachers" for v in LEVELS)},
+       sum(coalesce(counted, 0)) FILTER (denominator > 0)::DOUBLE / sum(denominator) FILTER (denominator > 0) AS learners_per_teacher,
+       bool_or(offered AND denominator IS NULL)::INT AS f_teachers_missing, bool_or(offered AND NOT annex AND coalesce(denominator = 0, false))::INT AS f_teachers_zero
+FROM public_levels LEFT JOIN (FROM capacity WHERE measure = 'teacher') USING (entity_id, level_code) GROUP BY entity_id""")
+
+_sql("end_changes", ("fact",), f"""
+SELECT entity_id, if(count(*) = count(learner_count) AND base > 0, (total - 2 * base)::DOUBLE / base, NULL) AS enrollment_change
+FROM (SELECT *, sum(learner_count) OVER e AS total, sum(if(period = '1995', learner_count, 0)) OVER e AS base FROM fact
+      WHERE period IN ('1995', '2001') AND is_offered AND sector = 'Public' AND match_status = 'matched' WINDOW e AS (PARTITION BY entity_id))
+GROUP BY entity_id, total, base HAVING count(DISTINCT period) = 2""")
+
+_sql("worklist", ("rollup", "worklist_levels", "capacity", "end_changes", "flags", "entities"), f"""
+SELECT *, {first_label(_any_of(_STATES), "'Below classroom screen'")} AS status,
+       coalesce(nullif({every_label({t: f'{f} = 1' for t, f in _LISTED.items()}, '; ')}, ''), 'Included by classroom-pressure order') AS why_listed,
+       {first_label(_any_of(_STEPS), "'No figure to verify'")} AS next_step,
+       count(*) OVER (PARTITION BY place_code ORDER BY row(checks = 0, -learners_per_room, entity_name, entity_id)) AS list_order
 FROM (
-SELECT *, CASE WHEN f_above = 1 THEN 'Above classroom screen' WHEN f_rooms_missing + f_learners_missing + f_teachers_missing > 0 THEN 'Missing figure'
-               WHEN f_rooms_zero + f_teachers_zero > 0 THEN 'Zero reported' ELSE 'Below classroom screen' END AS status,
-       coalesce(nullif(concat_ws('; ', CASE WHEN f_rooms_missing = 1 THEN 'Missing room count' END, CASE WHEN f_rooms_zero = 1 THEN 'Zero rooms reported' END,
-         CASE WHEN f_learners_missing = 1 THEN 'Missing learner count' END, CASE WHEN f_teachers_missing = 1 THEN 'Missing teacher count' END,
-         CASE WHEN f_teachers_zero = 1 THEN 'Zero teachers reported' END, CASE WHEN f_outlier = 1 THEN 'Suspected extreme figure' END,
-         CASE WHEN f_above = 1 THEN 'Above classroom screen' END), ''), 'Included by classroom-pressure order') AS why_listed,
-       CASE WHEN f_rooms_missing + f_rooms_zero > 0 THEN 'Verify reported room count' WHEN f_learners_missing = 1 THEN 'Verify enrollment by level'
-            WHEN f_teachers_missing + f_teachers_zero > 0 THEN 'Verify teacher count by level' WHEN f_outlier = 1 THEN 'Verify the extreme room or teacher figure'
-            WHEN f_above = 1 THEN 'Verify reported room count and enrollment' ELSE 'No figure to verify' END AS next_step
-FROM (
-SELECT *, f_above + f_rooms_missing + f_rooms_zero + f_learners_missing + f_teachers_missing + f_teachers_zero + f_outlier AS checks
-FROM (
-SELECT r.*, {', '.join(f'w.offers_{v}, w.{v}_learners' for v in _lv)}, c.rooms, {', '.join(f't.{v}_teachers' for v in _lv)}, e.entity_name,
-       CASE WHEN incomplete_levels = 0 THEN complete_learners END AS learners,
-       CASE WHEN incomplete_levels = 0 AND c.rooms > 0 THEN CAST(complete_learners AS DOUBLE) / c.rooms END AS learners_per_room,
-       CAST({' + '.join(f'CASE WHEN {v}_teachers > 0 THEN coalesce({v}_learners, 0) ELSE 0 END' for v in _lv)} AS DOUBLE)
-         / nullif({' + '.join(f'CASE WHEN {v}_teachers > 0 THEN {v}_teachers ELSE 0 END' for v in _lv)}, 0) AS learners_per_teacher,
-       CASE WHEN y.open_ends = 0 AND y.a > 0 THEN CAST(y.b - y.a AS DOUBLE) / y.a END AS enrollment_change,
-       CAST(coalesce(incomplete_levels = 0 AND c.rooms > 0 AND CAST(complete_learners AS DOUBLE) / nullif(c.rooms, 0) >= {SCREEN}, false) AS INT) AS f_above,
-       CAST(c.rooms IS NULL AS INT) AS f_rooms_missing, CAST(coalesce(c.rooms = 0, false) AS INT) AS f_rooms_zero, CAST(incomplete_levels > 0 AS INT) AS f_learners_missing,
-       CAST({' OR '.join(f'(w.offers_{v} AND t.{v}_teachers IS NULL)' for v in _lv)} AS INT) AS f_teachers_missing,
-       CAST(NOT is_annex AND ({' OR '.join(f'(w.offers_{v} AND coalesce(t.{v}_teachers = 0, false))' for v in _lv)}) AS INT) AS f_teachers_zero,
-       CAST(coalesce(o.odd, false) AS INT) AS f_outlier
-FROM rollup r JOIN (
-  SELECT entity_id, place_code, {', '.join(f"bool_or(level_code = '{v.upper()}' AND is_offered) AS offers_{v}, CAST(sum(learner_count) FILTER (WHERE level_code = '{v.upper()}' AND is_offered) AS BIGINT) AS {v}_learners" for v in _lv)}
-  FROM fact WHERE period = '{PERIOD}' AND sector = 'Public' AND match_status = 'matched' GROUP BY 1, 2) w USING (entity_id, place_code)
-LEFT JOIN rooms c ON c.entity_id = r.entity_id AND c.period = '{PERIOD}'
-LEFT JOIN (SELECT entity_id, {', '.join(f"max(teacher_count) FILTER (WHERE level_code = '{v.upper()}') AS {v}_teachers" for v in _lv)} FROM teachers WHERE period = '{PERIOD}' GROUP BY 1) t ON t.entity_id = r.entity_id
-LEFT JOIN (
-  SELECT entity_id, sum(learner_count) FILTER (WHERE period = '1995') AS a, sum(learner_count) FILTER (WHERE period = '2001') AS b, count(*) FILTER (WHERE learner_count IS NULL) AS open_ends
-  FROM fact WHERE sector = 'Public' AND match_status = 'matched' AND period IN ('1995', '2001') AND is_offered GROUP BY 1) y ON y.entity_id = r.entity_id
-LEFT JOIN (SELECT entity_id, bool_or(is_suspected) AS odd FROM flags GROUP BY 1) o ON o.entity_id = r.entity_id
-LEFT JOIN entities e ON e.entity_id = r.entity_id
-WHERE r.is_active OR r.is_blank)))""")
+  SELECT *, {' + '.join(_LISTED.values())} AS checks FROM (
+    SELECT *, coalesce(learners_per_room >= {SCREEN}, false)::INT AS f_above, (rooms IS NULL)::INT AS f_rooms_missing, (rooms IS NOT DISTINCT FROM 0)::INT AS f_rooms_zero,
+           (learners IS NULL)::INT AS f_learners_missing, (entity_id IN (SELECT entity_id FROM flags WHERE is_suspected))::INT AS f_outlier
+    FROM (
+      SELECT rollup.*, worklist_levels.* EXCLUDE (entity_id), entity_name, denominator AS rooms, enrollment_change,
+             if(incomplete_levels = 0, complete_learners, NULL) AS learners, if(incomplete_levels = 0, complete_learners::DOUBLE / nullif(denominator, 0), NULL) AS learners_per_room
+      FROM rollup JOIN worklist_levels USING (entity_id) JOIN entities USING (entity_id) LEFT JOIN end_changes USING (entity_id)
+      LEFT JOIN (FROM capacity WHERE measure = 'room') USING (entity_id)
+      WHERE is_active OR is_blank)))""")
