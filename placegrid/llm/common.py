@@ -63,12 +63,15 @@ def chosen_rows(labelled: DataFrame, label: str, rows: int, key: str) -> DataFra
     """At most ``rows`` keys with their label, taken evenly from all labels, by a hash of the key.
 
     ``labelled`` is narrow (key and label); a key that occurs again counts once. The result is bounded by ``rows``.
+    The sizes of the most frequent labels, a bounded table, are broadcast, so that rows far from being chosen are
+    left out before a label's rows meet; rarer labels go on whole.
     """
-    once = labelled.groupBy(key).agg(F.max(label).alias(label))
-    sizes = once.groupBy(label).agg(F.count(F.lit(1)).alias("__size"))
+    once = labelled.groupBy(key).agg(F.max(label).alias(label)).where(F.col(label).isNotNull())
+    sizes = F.broadcast(once.groupBy(label).agg(F.count(F.lit(1)).alias("__size")).orderBy(F.desc("__size"), label).limit(10_000))
     share = F.pmod(F.xxhash64(key), F.lit(1 << 20)) * F.col("__size")  # a label's turns are taken among few more than needed
     turn = F.row_number().over(Window.partitionBy(label).orderBy(F.xxhash64(key), key))
-    return (once.join(sizes, label).where(share < F.lit((rows + 100) * (1 << 20) * 5 // 4)).withColumn("__turn", turn)
+    near = F.coalesce(share < F.lit((rows + 100) * (1 << 20) * 5 // 4), F.lit(True))
+    return (once.join(sizes, label, "left").where(near).withColumn("__turn", turn)
             .where(F.col("__turn") <= rows).orderBy("__turn", F.xxhash64(key)).limit(rows).drop("__turn", "__size"))
 
 
