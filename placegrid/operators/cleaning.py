@@ -32,7 +32,7 @@ def with_copies(df: DataFrame, key: Sequence[str], name: str = "key_rows") -> Da
 
 def with_versions(df: DataFrame, key: Sequence[str], content: Sequence[str], row: str) -> DataFrame:
     """C-15: per key the row count, the number of different contents and whether this is the first copy."""
-    text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in content])
+    text = F.to_json(F.array(*[F.col(c).cast("string") for c in content]))  # quotes values, tells NULL from blank
     hashed = df.withColumn("_content", F.md5(text))
     # contents are counted in two steps, so a key with very many rows is combined before it is shuffled
     contents = hashed.groupBy(*key, "_content").agg(F.count("*").alias("_n"), F.min(row).alias("_row"))
