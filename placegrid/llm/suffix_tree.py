@@ -254,12 +254,12 @@ def _scores(folder: str, depth: int, frequent: int, discount: float, threshold:
     return run
 
 
-def score(docs: DataFrame, depth: int = 2, frequent: int = 16, share: float = 6e-7, threshold: float = 6.0, discount: float = 0.75, key: str = "doc_id",
+def score(docs: DataFrame, depth: int = 2, frequent: int = 16, threshold: float = 6.0, discount: float = 0.75, key: str = "doc_id",
           text: str = "text", modulus: int = 10, held: int = 0) -> DataFrame:
     """One row per document: key, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 probabilities).
 
-    Counts are over all documents that are not held out. A context must be met ``frequent`` times and make up ``share`` of all tokens to be tried, so the n-grams asked for
-    are as large a part of the corpus at every size.
+    Counts are over all documents that are not held out. A context must be met ``frequent`` times to be tried, the same at
+    every size of the corpus; beyond that only the gain decides.
     P(w | state) = max(c - discount, 0) / n for n-grams met at least twice, plus the mass left times P(w | suffix); the
     root is the smoothed unigram distribution of the base score, so every state sums to one. Words are told apart by
     64-bit hashes. A null text counts as empty: it has the end token alone. A null key counts as empty text, whose
@@ -283,8 +283,9 @@ def score(docs: DataFrame, depth: int = 2, frequent: int = 16, share: float = 6e
     types, tokens = answers.agg(F.sum("types"), F.sum("tokens")).first()
     if types is None:
         return spark.createDataFrame([], schema).withColumnRenamed("id", key)
-    frequent = max(frequent, int(np.ceil(share * tokens)))
     for n in range(2, depth + 2):
-        answers = _exchange(by_block(answers).applyInPandas(_grow(folder, n, frequent, bits), _ASK), 1)
-    answers = _exchange(by_block(answers).applyInPandas(_gains(folder, depth, frequent, discount, bits, tokens), _ASK), 3)
+        taken, answers = answers, _exchange(by_block(answers).applyInPandas(_grow(folder, n, frequent, bits), _ASK), 1)
+        forget(taken)
+    taken, answers = answers, _exchange(by_block(answers).applyInPandas(_gains(folder, depth, frequent, discount, bits, tokens), _ASK), 3)
+    forget(taken)
     return by_block(answers).applyInPandas(_scores(folder, depth, frequent, discount, threshold, tokens, types), schema).withColumnRenamed("id", key)

@@ -215,6 +215,25 @@ def test_suffix_tree(spark, docs):
         assert (r.base_score, r.score) == pytest.approx(plain[r.doc_id][4:])
 
 
+def test_suffix_tree_with_a_bar_that_binds(spark):
+    table = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    low, high = (_plain_scores(_texts(table), bar, 6.0, 0.75) for bar in (16, 60))
+    assert low != high
+    for r in suffix_tree.score(table, frequent=60).collect():
+        assert r.score == pytest.approx(high[r.doc_id][5])
+
+
+def test_contexts_do_not_have_to_grow_with_the_corpus(spark):
+    """A context met 16 times among 28 million tokens is tried like one among a thousand."""
+    trained = [k for k in range(100) if zlib.crc32(str(k).encode()) % 10 != 0][:44]
+    rows = [(k, "left right") for k in trained[:16]]
+    long = spark.createDataFrame([(k,) for k in trained[16:44]], "doc_id long").selectExpr("doc_id", "repeat('a ', 1000000) AS text")
+    table = spark.createDataFrame(rows, "doc_id long, text string").unionByName(long)
+    found = {r.doc_id: r for r in suffix_tree.score(table).collect()}
+    assert found[trained[0]].train_tokens > 28_000_000
+    assert found[trained[0]].score > found[trained[0]].base_score + 6
+
+
 @pytest.mark.parametrize("run", [
     exact_dedup.exact_dedup, exact_dedup.keep_one, simhash.near_groups, simhash.keep_one, packing.pack, suffix_tree.score, bpe.encode_and_decode,
     lambda d: sharding.assign(d, 16), lambda d: token_file.round_trip(d.sparkSession, d), lambda d: language.predict(d, language.train(d))])
