@@ -44,10 +44,32 @@ def feature_property(text: Column, name: str) -> Column:
     return F.when((trimmed == "") | (trimmed == "null"), F.lit(None).cast("string")).when(quoted, unquoted).otherwise(trimmed)
 
 
+_TEXT = r'"(?:[^"\\]++|\\.)*+"'
+
+
+def _object(depth: int) -> str:
+    """An object with up to ``depth`` objects inside each other; parts are taken whole, so long lines cost one pass."""
+    return rf'\{{(?:[^{{}}"]++|{_TEXT}{"|" + _object(depth - 1) if depth else ""})*+\}}'
+
+
+_IS_FEATURE = r'"type"\s*:\s*"Feature"'
+#: What stands beside the type: members with texts, numbers, objects and plain arrays, so a collection is no feature.
+_MEMBER = rf'(?:(?!{_IS_FEATURE})(?:[^{{}}"\[\]]++|{_TEXT}|\[[^\[\]{{}}"]*+\]|{_object(5)}))*+'
+_FEATURE = rf'\{{{_MEMBER}{_IS_FEATURE}{_MEMBER}\}}'
+
+
 def read_features(spark: SparkSession, path: str, properties: Sequence[str]) -> DataFrame:
-    """S-2: one row per GeoJSON feature (one feature per line), properties and geometry as exact text, position from 1."""
+    """S-2: one row per GeoJSON feature, properties and geometry as exact text, line and place in the line from 1.
+
+    A line may hold a feature, several or a whole collection; a feature that does not end on its line is refused.
+    """
     lines = spark.read.text(path)
-    rows = _numbered(lines, ["value"], 1).filter(F.contains("value", F.lit('"Feature"')) & F.contains("value", F.lit('"geometry"')))
+    rows = _numbered(lines, ["value"], 1).filter(F.contains("value", F.lit('"Feature"')))
+    found = F.regexp_extract_all("value", F.lit(f"({_FEATURE})"), 1)
+    whole = F.size(found) == F.regexp_count("value", F.lit(_IS_FEATURE))
+    told = F.raise_error(F.concat(F.lit("features not told apart in line "), F.col("source_row_number").cast("string"), F.lit(" of "), F.col("source_file")))
+    rows = rows.select("source_file", "source_row_number", F.posexplode(F.when(whole, found).otherwise(told.cast("array<string>"))).alias("_place", "value"))
+    rows = rows.withColumn("source_feature_number", F.col("_place") + 1).drop("_place").filter(F.contains("value", F.lit('"geometry"')))
     out = {p: feature_property(F.col("value"), p) for p in properties}
     out["geometry"] = F.nullif(F.regexp_extract("value", '"geometry"[ ]*:[ ]*([{][^{}]*[}])', 1), F.lit(""))
     return rows.withColumns(out).drop("value")

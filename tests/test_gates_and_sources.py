@@ -199,3 +199,22 @@ def test_all_failures_are_told(spark, table):
     checks = table([(f"check_{k:03}", "FAIL", "0", "1") for k in range(150)], "check_name string, status string, expected string, actual string")
     with pytest.raises(gates.GateFailed, match="and 140 more"):
         gates.record_and_raise(checks, named=10)
+
+
+def test_every_feature_of_a_line_is_read(spark, tmp_path):
+    one = '{"type":"Feature","properties":{"code":"%s","more":{"at":[{"x":"}\\""}]}},"geometry":{"type":"Point","coordinates":[1,2.50]}}'
+    last = '{"geometry":{"type":"Point","coordinates":[3,4]},"bbox":[1,2],"properties":{"code":"D"},"type": "Feature"}'
+    many = ",".join(one % f"M{k}" for k in range(3000))
+    (tmp_path / "f.geojson").write_text("\n".join(['{"type":"FeatureCollection","features":[' + one % "A" + "," + one % "B" + ", " + last + "]}", one % "C" + ",",
+                                                   '{"type":"FeatureCollection","features":[' + many + "]}"]))
+    found = files.read_features(spark, str(tmp_path / "f.geojson"), ["code"])
+    assert rows(found.where("source_row_number < 3"), "source_row_number", "source_feature_number", "code", "geometry") == [
+        (1, 1, "A", '{"type":"Point","coordinates":[1,2.50]}'), (1, 2, "B", '{"type":"Point","coordinates":[1,2.50]}'),
+        (1, 3, "D", '{"type":"Point","coordinates":[3,4]}'), (2, 1, "C", '{"type":"Point","coordinates":[1,2.50]}')]
+    assert found.where("source_row_number = 3").select("code").distinct().count() == 3000
+
+
+def test_a_feature_over_two_lines_is_refused(spark, tmp_path):
+    (tmp_path / "f.geojson").write_text('{"type":"Feature","properties":{},\n"geometry":{"type":"Point","coordinates":[1,2]}}')
+    with pytest.raises(Exception, match="features not told apart in line 1"):
+        files.read_features(spark, str(tmp_path / "f.geojson"), []).collect()
