@@ -56,7 +56,7 @@ def s03(spark, sf):
     first_reply = (F.col("turn") == 1) & (F.col("role") == "assistant")
     cells = read(spark, sf, "conversations").select(
         "conv_id", "turn", "role", F.when(F.col("role") == "user", "7").otherwise(" ").alias("id"),
-        F.when(first_reply, "").otherwise(F.substring("text", 1, 5)).alias("label"), F.when(~first_reply & (F.col("turn") > 3), "3").otherwise("").alias("v1"), F.lit("").alias("v2"))
+        F.when(first_reply, "").otherwise(F.col("text")).alias("label"), F.when(~first_reply & (F.col("turn") > 3), "3").otherwise("").alias("v1"), F.lit("").alias("v2"))
     return files.classify_rows(cells, "id", "label", ["v1", "v2"], {"title": F.col("role") == "system"}).select("conv_id", "turn", "source_row_kind")
 
 

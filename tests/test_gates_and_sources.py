@@ -218,3 +218,10 @@ def test_a_feature_over_two_lines_is_refused(spark, tmp_path):
     (tmp_path / "f.geojson").write_text('{"type":"Feature","properties":{},\n"geometry":{"type":"Point","coordinates":[1,2]}}')
     with pytest.raises(Exception, match="features not told apart in line 1"):
         files.read_features(spark, str(tmp_path / "f.geojson"), []).collect()
+
+
+def test_a_turn_that_begins_with_blanks_is_a_banner(spark, table, tmp_path):
+    from placegrid.queries.sources import s03
+
+    table([("c", 2, "assistant", "     and so on")], "conv_id string, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    assert rows(s03(spark, str(tmp_path)), "source_row_kind") == [("banner",)]
