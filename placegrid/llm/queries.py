@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from placegrid.llm import bpe, divergence, exact_dedup, language, nearest, packing, sharding, simhash, suffix_tree, token_file, toxicity
+from placegrid.llm import bpe, divergence, exact_dedup, language, nearest, packing, sharding, simhash, suffix_tree, token_file, toxicity, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -127,3 +127,8 @@ def op10_suffix_tree(spark, sf_dir):
     WHERE part = 'pair' OR rank <= 200""")
 def op13_source_divergence(spark, sf_dir):
     return divergence.audit(_documents(spark, sf_dir))
+
+
+@_query("op12_whitening")
+def op12_whitening(spark, sf_dir):
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
