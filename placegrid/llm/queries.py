@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from placegrid.llm import bpe, divergence, exact_dedup, language, nearest, packing, sharding, simhash, suffix_tree, token_file, toxicity, whitening
+from placegrid.llm import bpe, divergence, exact_dedup, language, nearest, packing, quality, sharding, simhash, suffix_tree, token_file, toxicity, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -132,3 +132,9 @@ def op13_source_divergence(spark, sf_dir):
 @_query("op12_whitening")
 def op12_whitening(spark, sf_dir):
     return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+@_query("op11_quality")
+def op11_quality(spark, sf_dir):
+    docs = _documents(spark, sf_dir)
+    return quality.score(docs, quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
