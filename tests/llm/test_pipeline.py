@@ -25,5 +25,5 @@ def test_entry_registers_all():
     import __spark_entry__ as entry
 
     names = [n for n in entry.queries() if n.startswith("op") or n == "pipeline"]
-    assert {int(n[2:].split("_")[0]) for n in names if n != "pipeline"} == set(range(1, 11)) and "pipeline" in names
+    assert {int(n[2:].split("_")[0]) for n in names if n != "pipeline"} == set(range(1, 14)) and "pipeline" in names
     assert None not in entry.oracle_sql().values()
