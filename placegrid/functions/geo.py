@@ -41,8 +41,8 @@ def rings_parsed(shape: Column | str) -> Column:
         F.lit(False))
 
 
-def rings_valid(shape: Column | str) -> Column:
-    """C-38: parsed, every ring closed, with four points or more and some area."""
+def rings_formed(shape: Column | str) -> Column:
+    """Parsed, every ring closed, with four points or more and some area; ``operators.validity`` goes on from there."""
     s = _c(shape)
     ok = F.forall(s, lambda r: (F.size(r) >= 4) & (F.element_at(r, 1) == F.element_at(r, -1)) & (double_area(r) != 0))
     return rings_parsed(s) & F.coalesce(ok, F.lit(False))

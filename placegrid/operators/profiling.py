@@ -150,9 +150,10 @@ def dependency(df: DataFrame, label: str, determined: Sequence[str]) -> DataFram
 def geometry_inventory(df: DataFrame, geometry: str, shape_id: str) -> DataFrame:
     """P-15: shapes per type: how many, valid ones, repeated ids."""
     from placegrid.functions import geo
+    from placegrid.operators import validity
 
     ids = df.groupBy(shape_id).agg(F.count("*").alias("_copies"))
-    rows = df.withColumn("_type", geo.geometry_type(geometry)).withColumn("_valid", geo.rings_valid(geo.rings(F.col(geometry)))).join(ids, shape_id)
+    rows = validity.with_validity(df.withColumn("_type", geo.geometry_type(geometry)), geometry, "_valid").join(ids, shape_id)
     return rows.groupBy(F.col("_type").alias("geometry_type")).agg(
         F.count("*").alias("shapes"), F.count_if("_valid").alias("valid"), F.count_if(F.col("_copies") > 1).alias("repeated_ids"))
 

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, functions as F
 
 from placegrid.functions import geo, text
-from placegrid.operators import cleaning, hierarchy, reshape, spatial
+from placegrid.operators import cleaning, hierarchy, reshape, spatial, validity
 
 # Wrongly decoded letters of the published files.
 REPAIRS = (("Ã‘", "Ñ"), ("Ã±", "ñ"))
@@ -170,9 +170,10 @@ def clean_boundaries(bronze: DataFrame, current: DataFrame) -> tuple[DataFrame,
         "geometry_unparseable": kind.isNull() | (kind.isin("Polygon", "MultiPolygon") & F.col("_shape").isNull()),
         "geometry_empty": F.size("_shape") == 0, "geometry_wrong_type": ~kind.isin("Polygon", "MultiPolygon")})
     rows = rows.withColumns({
-        **dates, "area_sqkm": area, **center, "geometry_is_valid": geo.rings_valid("_shape"),
+        **dates, "area_sqkm": area, **center,
         "hierarchy_consistent": F.coalesce(F.col("adm2_pcode").rlike("^PH[0-9]{5}$") & F.col("adm1_pcode").rlike("^PH[0-9]{2}$"), F.lit(False))
         & F.coalesce(F.col("adm3_pcode").startswith(F.col("adm2_pcode")) & F.col("adm2_pcode").startswith(F.col("adm1_pcode")), F.lit(False))})
+    rows = validity.with_validity(rows, "geometry", "geometry_is_valid")
     key = ["batch_id", "source_row_number"]
     ident = F.concat_ws("/", *key)
     points = rows.select(*key, ident.alias("place_code"), F.col("center_lon").cast("double").alias("longitude"), F.col("center_lat").cast("double").alias("latitude"))

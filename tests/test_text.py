@@ -75,4 +75,4 @@ def test_geometry_flags(spark):
     open_ring = '{"type":"Polygon","coordinates":[[[0,0],[1,0],[1,1],[0,1]]]}'
     line = '{"type":"MultiPolygon","coordinates":[[[[0,0],[1,1],[2,2],[0,0]]]]}'
     empty = '{"type":"Polygon","coordinates":[]}'
-    assert values(spark, [good, open_ring, line, empty, "nonsense", None], lambda c: geo.rings_valid(geo.rings(c))) == [True, False, False, False, False, False]
+    assert values(spark, [good, open_ring, line, empty, "nonsense", None], lambda c: geo.rings_formed(geo.rings(c))) == [True, False, False, False, False, False]
