@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -29,9 +32,18 @@ _held: dict[tuple, object] = {}
 
 
 def held(name: tuple, make):
-    """What ``make`` gives, kept by this worker process until another operator keeps something: one at a time."""
+    """What ``make`` gives, kept by this worker process until another operator keeps something: one at a time.
+
+    What earlier operators left free in this process goes back to the system first.
+    """
     if name not in _held:
         _held.clear()
+        _powers.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
         _held[name] = make()
     return _held[name]
 
