@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from placegrid import rules
 from placegrid.operators.metrics import (LEVEL_MEASURES, PLACE_COLUMNS, coverage_gated, level_passes, percent, ratio,
                                          regular_places, screen_status, with_references, zero_filled)
-from placegrid.operators.scale import exact_quantiles, position_in_order
+from placegrid.operators.quantiles import exact_quantiles
+from placegrid.operators.scale import position_in_order
 
 
 def category(pressures: Column, growing: Column, fully_assessed: Column) -> Column:

@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from placegrid.operators.scale import exact_quantiles
+from placegrid.operators.quantiles import exact_quantiles
 
 
 def column_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:

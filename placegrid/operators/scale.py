@@ -1,4 +1,4 @@
-"""Running values, ranks and exact quantiles that never gather a whole group in one task.
+"""Running values and ranks that never gather a whole group in one task.
 
 Spark evaluates a window by sending every row of its partition key to one task. That is fine for keys with few
 rows, and wrong for a key that may hold a third of the table. The functions here split a group by position or by
@@ -18,44 +18,64 @@ BLOCK_ROWS = 100_000
 ONE_TASK_ROWS = 500_000
 
 
+def _blocks(by: list[str], pos: str, block: int) -> tuple[Column, Column]:
+    """The block of a position and the group of ``block`` blocks that it lies in."""
+    at = F.floor(F.col(pos) / block)
+    return at, F.floor(at / block)
+
+
 def running_sum(df: DataFrame, by: Sequence[str], pos: str, sums: dict[str, Column | str],
                 block: int = BLOCK_ROWS) -> DataFrame:
     """Adds inclusive running sums by ``pos`` within ``by``: ``{new_column: value}``.
 
     ``pos`` is a whole number that grows with the order (a row number). Rows are windowed inside blocks of
-    ``block`` positions; each block's offset comes from the block totals, a table ``block`` times smaller.
+    ``block`` positions, the block totals inside groups of ``block`` blocks, and the totals of these groups last: no
+    window holds more than ``block`` rows, or one row for each ``block * block`` positions.
     """
     by = list(by)
     values = {name: (F.col(v) if isinstance(v, str) else v) for name, v in sums.items()}
-    rows = df.withColumn("_block", F.floor(F.col(pos) / block))
-    totals = rows.groupBy(*by, "_block").agg(*[F.sum(v).alias(f"_t_{n}") for n, v in values.items()])
-    before = Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        *[F.col(c).alias(f"_k_{c}") for c in [*by, "_block"]],
-        *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in values])
+    at, top = _blocks(by, pos, block)
+    rows = df.withColumn("_block", at).withColumn("_top", top)
+    earlier = lambda keys, order: Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    so_far = lambda name, keys, order: F.coalesce(F.sum(name).over(earlier(keys, order)), F.lit(0))
+    totals = rows.groupBy(*by, "_top", "_block").agg(*[F.sum(v).alias(f"_t_{n}") for n, v in values.items()])
+    tops = totals.groupBy(*by, "_top").agg(*[F.sum(f"_t_{n}").alias(f"_t_{n}") for n in values])
+    tops = tops.select(*[F.col(c).alias(f"_u_{c}") for c in [*by, "_top"]], *[so_far(f"_t_{n}", by, "_top").alias(f"_p_{n}") for n in values])
+    offsets = totals.withColumns({f"_o_{n}": so_far(f"_t_{n}", [*by, "_top"], "_block") for n in values})
+    offsets = offsets.join(tops, [F.col(c).eqNullSafe(F.col(f"_u_{c}")) for c in [*by, "_top"]]).select(
+        *[F.col(c).alias(f"_k_{c}") for c in [*by, "_block"]], *[(F.col(f"_o_{n}") + F.col(f"_p_{n}")).alias(f"_o_{n}") for n in values])
     inside = Window.partitionBy(*by, "_block").orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
     local = rows.withColumns({n: F.coalesce(F.sum(v).over(inside), F.lit(0)) for n, v in values.items()})
-    same = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in [*by, "_block"]]
-    joined = local.join(offsets, same, "left")
+    joined = local.join(offsets, [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in [*by, "_block"]], "left")
     return (joined.withColumns({n: F.col(n) + F.col(f"_o_{n}") for n in values})
-            .drop("_block", *[f"_k_{c}" for c in [*by, "_block"]], *[f"_o_{n}" for n in values]))
+            .drop("_block", "_top", *[f"_k_{c}" for c in [*by, "_block"]], *[f"_o_{n}" for n in values]))
 
 
 def carry_forward(df: DataFrame, by: Sequence[str], pos: str, value: Column | str, name: str,
                   block: int = BLOCK_ROWS) -> DataFrame:
-    """Adds the last non-null ``value`` at or before each row, in ``pos`` order within ``by`` (C-30)."""
+    """Adds the last non-null ``value`` at or before each row, in ``pos`` order within ``by`` (C-30).
+
+    In blocks, groups of blocks and the whole, like ``running_sum``.
+    """
     by = list(by)
     value = F.col(value) if isinstance(value, str) else value
-    rows = df.withColumn("_block", F.floor(F.col(pos) / block)).withColumn("_value", value)
-    tails = (rows.filter(F.col("_value").isNotNull()).groupBy(*by, "_block")
-             .agg(F.max_by("_value", pos).alias("_tail")))
-    blocks = rows.select(*by, "_block").distinct().join(tails, [*by, "_block"], "left")
-    before = Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = blocks.select(*by, "_block", F.last("_tail", ignorenulls=True).over(before).alias("_carried"))
+    at, top = _blocks(by, pos, block)
+    rows = df.withColumn("_block", at).withColumn("_top", top).withColumn("_value", value)
+    last = lambda column, keys, order: F.last(column, ignorenulls=True).over(
+        Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    # a value may be a structure of NULLs, so blocks without one are told apart by the position
+    held = F.max(F.when(F.col("_value").isNotNull(), F.struct(F.col(pos).alias("_at"), F.col("_value"))))
+    tails = rows.groupBy(*by, "_top", "_block").agg(held.alias("_tail"))
+    tops = tails.groupBy(*by, "_top").agg(F.max("_tail").alias("_tail"))
+    tops = tops.select(*[F.col(c).alias(f"_u_{c}") for c in [*by, "_top"]], last("_tail", by, "_top").alias("_before"))
+    offsets = tails.withColumn("_carried", last("_tail", [*by, "_top"], "_block"))
+    offsets = offsets.join(tops, [F.col(c).eqNullSafe(F.col(f"_u_{c}")) for c in [*by, "_top"]]).select(
+        *[F.col(c).alias(f"_k_{c}") for c in [*by, "_block"]], F.coalesce("_carried", "_before")["_value"].alias("_carried"))
     inside = Window.partitionBy(*by, "_block").orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
     local = rows.withColumn("_local", F.last("_value", ignorenulls=True).over(inside))
-    return (local.join(offsets, [*by, "_block"], "left")
-            .withColumn(name, F.coalesce("_local", "_carried")).drop("_block", "_value", "_local", "_carried"))
+    return (local.join(offsets, [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in [*by, "_block"]], "left")
+            .withColumn(name, F.coalesce("_local", "_carried"))
+            .drop("_block", "_top", "_value", "_local", "_carried", *[f"_k_{c}" for c in [*by, "_block"]]))
 
 
 def position_in_order(df: DataFrame, order: Sequence[Column], name: str, by: Sequence[str] = ()) -> DataFrame:
@@ -81,93 +101,6 @@ def position_in_order(df: DataFrame, order: Sequence[Column], name: str, by: Seq
             .drop("_piece", "_local", "_shift", *[f"_k_{c}" for c in [*by, "_piece"]]))
 
 
-def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probabilities: dict[str, float]) -> DataFrame:
-    """One row per group: ``n`` and each linearly interpolated quantile, exact for groups of any size.
-
-    Groups of up to ``ONE_TASK_ROWS`` rows are ordered in one task each. Larger groups are cut into slices of
-    the value range first (``_sliced_quantiles``).
-    """
-    by = list(by)
-    rows = df.filter(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v"))
-    sizes = rows.groupBy(*by).agg(F.count("*").alias("n"))
-    large = materialize(sizes.filter(F.col("n") > ONE_TASK_ROWS).select(*by))
-    if large.isEmpty():
-        return _ordered_quantiles(rows, by, probabilities)
-    small = rows.join(large, by, "left_anti")
-    return _ordered_quantiles(small, by, probabilities).unionByName(
-        _sliced_quantiles(rows.join(large, by, "left_semi"), by, probabilities))
-
-
-def _interpolate(low: Column, high: Column, h: Column) -> Column:
-    return low + (h - F.floor(h)) * (high - low)
-
-
-def _ordered_quantiles(rows: DataFrame, by: list[str], probabilities: dict[str, float]) -> DataFrame:
-    """Quantiles by numbering each group; the group count and the pick share the window's partitioning."""
-    group = Window.partitionBy(*by)
-    ranked = rows.withColumn("n", F.count("*").over(group)).withColumn("_at", F.row_number().over(group.orderBy("_v")) - 1)
-    picks = []
-    for name, p in probabilities.items():
-        h = F.lit(p) * (F.col("n") - 1)
-        picks += [F.max(F.when(F.col("_at") == F.floor(h), F.col("_v"))).alias(f"_l_{name}"),
-                  F.max(F.when(F.col("_at") == F.ceil(h), F.col("_v"))).alias(f"_h_{name}")]
-    picked = ranked.groupBy(*by).agg(F.max("n").alias("n"), *picks)
-    return picked.select(*by, "n", *[
-        _interpolate(F.col(f"_l_{name}"), F.col(f"_h_{name}"), F.lit(p) * (F.col("n") - 1)).alias(name) for name, p in probabilities.items()])
-
-
-def _sliced_quantiles(rows: DataFrame, by: list[str], probabilities: dict[str, float], width: int = 16) -> DataFrame:
-    """Quantiles of very large groups.
-
-    Equal values are first counted together. A bounded sketch gives each group ``width * width`` slices of its value
-    range; the counts of the slices tell which of them hold the wanted ranks. Only those slices go on, and are cut
-    again until each is small enough for one task to order: each round leaves about one part in ``width * width``.
-    """
-    counted = materialize(rows.groupBy(*by, "_v").agg(F.count("*").alias("_n")).withColumn("_path", F.lit("")))
-    totals = counted.groupBy(*by).agg(F.sum("_n").alias("n"))
-    wanted = totals.select("*", F.explode(F.array(*[
-        F.struct(F.lit(name).alias("q"), (F.lit(p) * (F.col("n") - 1)).alias("h")) for name, p in probabilities.items()
-    ])).alias("_w")).select(*by, "n", "_w.q", "_w.h", F.lit("").alias("_path"))
-    # _rank counts from the start of the slice the rank lies in
-    wanted = materialize(wanted.withColumn("_at", F.explode(F.array_distinct(F.array(F.floor("h"), F.ceil("h"))))).withColumn("_rank", F.col("_at")))
-    piece = [*by, "_path"]
-    while True:
-        sizes = counted.groupBy(*piece).agg(F.count("*").alias("_rows"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-        if sizes.filter((F.col("_rows") > ONE_TASK_ROWS) & (F.col("_lo") < F.col("_hi"))).isEmpty():
-            break
-        counted, wanted = _cut_again(counted, wanted, piece, width)
-    inside = Window.partitionBy(*piece).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ordered = counted.withColumn("_last", F.sum("_n").over(inside)).withColumn("_first", F.col("_last") - F.col("_n"))
-    hits = (wanted.join(ordered, piece)
-            .filter((F.col("_rank") >= F.col("_first")) & (F.col("_rank") < F.col("_last"))))
-    low = F.max(F.when(F.col("_at") == F.floor("h"), F.col("_v")))
-    high = F.max(F.when(F.col("_at") == F.ceil("h"), F.col("_v")))
-    per_q = hits.groupBy(*by, "n", "q").agg(_interpolate(low, high, F.max("h")).alias("_x"))
-    return per_q.groupBy(*by, "n").pivot("q", list(probabilities)).agg(F.max("_x"))
-
-
-def _cut_again(counted: DataFrame, wanted: DataFrame, piece: list[str], width: int) -> tuple[DataFrame, DataFrame]:
-    """One round: slice every piece, move each wanted rank into its slice, keep only the slices that are wanted."""
-    slices = width * width
-    steps = [i / slices for i in range(1, slices)]
-    bounds = materialize(counted.groupBy(*piece).agg(F.percentile_approx("_v", steps, 10 * slices).alias("_cuts"))
-                         .withColumn("_coarse", F.array(*[F.element_at("_cuts", i * width) for i in range(1, width)])))
-    # the slice is the number of cuts below the value, found in two short searches
-    below = lambda cuts: F.size(F.filter(cuts, lambda c: c < F.col("_v")))
-    sliced = (counted.join(bounds, piece).withColumn("_major", below("_coarse"))
-              .withColumn("_slice", F.col("_major") * width + below(F.slice("_cuts", F.col("_major") * width + 1, width - 1)))
-              .drop("_cuts", "_coarse", "_major"))
-    up_to = Window.partitionBy(*piece).orderBy("_slice").rowsBetween(Window.unboundedPreceding, 0)
-    ends = sliced.groupBy(*piece, "_slice").agg(F.sum("_n").alias("_size")).withColumn("_end", F.sum("_size").over(up_to))
-    located = wanted.join(ends, piece).filter(
-        (F.col("_rank") >= F.col("_end") - F.col("_size")) & (F.col("_rank") < F.col("_end")))
-    path = F.concat_ws("/", "_path", F.col("_slice").cast("string"))
-    moved = materialize(located.withColumn("_rank", F.col("_rank") - (F.col("_end") - F.col("_size")))
-                        .withColumn("_path", path).drop("_slice", "_size", "_end"))
-    kept = materialize(sliced.withColumn("_path", path).drop("_slice").join(moved.select(*piece).distinct(), piece, "left_semi"))
-    return kept, moved
-
-
 def tie_ranked_first(df: DataFrame, by: Sequence[str], latest: str) -> DataFrame:
     """Rows holding the highest ``latest`` of their key, ties kept (rank = 1), by aggregate and join."""
     top = df.groupBy(*by).agg(F.max(latest).alias("_top"))

@@ -117,7 +117,7 @@ def k02(spark, sf):
 
 @register("k03_exact_quantiles", "SELECT l_returnflag, count(l_extendedprice) AS n, round(quantile_cont(l_extendedprice, 0.1), 4) AS p10, round(quantile_cont(l_extendedprice, 0.5), 4) AS p50, round(quantile_cont(l_extendedprice, 0.99), 4) AS p99 FROM lineitem GROUP BY 1")
 def k03(spark, sf):
-    from placegrid.operators.scale import exact_quantiles
+    from placegrid.operators.quantiles import exact_quantiles
 
     q = exact_quantiles(read(spark, sf, "lineitem"), ["l_returnflag"], "l_extendedprice", {"p10": 0.1, "p50": 0.5, "p99": 0.99})
     return q.select("l_returnflag", "n", *[F.round(c, 4).alias(c) for c in ("p10", "p50", "p99")])

@@ -1,7 +1,6 @@
 """Pieces and whole must agree: every split path against a plain window or a brute-force answer."""
 
 import random
-import statistics
 
 import pytest
 from pyspark.sql import Window, functions as F
@@ -41,20 +40,6 @@ def test_position(numbered, monkeypatch, limit):
         assert rows(scale.position_in_order(numbered, order, "p", by)) == rows(numbered.withColumn("p", F.row_number().over(w)))
 
 
-@pytest.mark.parametrize("limit", [40, 100_000])
-def test_quantiles_match_the_inclusive_rule(spark, monkeypatch, limit):
-    monkeypatch.setattr(scale, "ONE_TASK_ROWS", limit)
-    rng = random.Random(3)
-    groups = {"hot": [rng.choice([1.0, 2.0, rng.random() * 9]) for _ in range(700)], "small": [3.0, 1.0, 2.0, 10.0], "one": [4.5], "flat": [2.0] * 60}
-    df = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in vs] + [("hot", None)], "g string, v double")
-    got = {r["g"]: r for r in scale.exact_quantiles(df, ["g"], "v", {"q1": 0.25, "q3": 0.75}).collect()}
-    assert set(got) == set(groups)
-    for g, vs in groups.items():
-        q = statistics.quantiles(vs, n=4, method="inclusive") if len(vs) > 1 else [vs[0]] * 3
-        assert got[g]["n"] == len(vs)
-        assert (got[g]["q1"], got[g]["q3"]) == pytest.approx((q[0], q[2]))
-
-
 def test_ties_are_kept(spark):
     df = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("a", 2, "z"), (None, 1, "n")], "k string, t int, v string")
     assert rows(scale.tie_ranked_first(df, ["k"], "t"), "v") == [("n",), ("y",), ("z",)]
@@ -97,6 +82,59 @@ def test_tree_from_sums(spark, block):
     assert got["h"] == ("city_municipality", "R3", "R3", None)
 
 
+def _plain_spans(values):
+    """Pass by pass: the last j with running(j) = running(i) + value(i); what lies inside a span counts no more."""
+    covered, done, out = set(), {}, {}
+    while True:
+        running, total = [], [0] * len(values[0])
+        for k, v in enumerate(values):
+            if k not in covered:
+                total = [a + b for a, b in zip(total, v)]
+            running.append(total)
+        found = {}
+        for k, v in enumerate(values):
+            if k not in covered and k not in done:
+                goal = [a + b for a, b in zip(running[k], v)]
+                ends = [j for j in range(k + 1, len(values)) if running[j] == goal]
+                if ends:
+                    found[k] = max(ends)
+        if not found:
+            return {(k + 1, j + 1) for k, j in out.items()}
+        done.update(found), out.update(found)
+        covered.update(p for k, j in found.items() for p in range(k + 1, j + 1))
+
+
+def _forest(rng, depth):
+    """Values of a random list in publication order, down to ``depth`` levels, single children and zeros among them."""
+    if depth == 0 or rng.random() < 0.15:
+        return [[rng.choice([0, rng.randint(1, 9)]), rng.randint(1, 99)]]
+    children = [_forest(rng, depth - 1) for _ in range(rng.choice([1, 2, 2, 3]))]
+    return [[sum(c[0][k] for c in children) for k in range(2)]] + [v for c in children for v in c]
+
+
+@pytest.mark.parametrize("block", [3, 100_000])
+def test_spans_of_deep_lists(spark, block):
+    rng = random.Random(2)
+    lists = {"deep": [[7, 7]] * 13, "a": _forest(rng, 4), "b": _forest(rng, 5) + [[3, 4], [0, 5]], "c": [[5, 1], [0, 0], [0, 0], [2, 2]], "one": [[1, 1]]}
+    nested, total = [], [0, 0]
+    for k in range(12):  # every level holds one leaf and the next level
+        total = [total[0] + k + 1, total[1] + 2]
+        nested = [list(total), [k + 1, 2], *nested]
+    lists["twelve"] = nested
+    data = [(s, k, *v) for s, vs in lists.items() for k, v in enumerate(vs, 1)]
+    places = spark.createDataFrame(data, "sheet string, pos long, x long, y long")
+    got = hierarchy.spans_from_sums(places, ["sheet"], "pos", ["x", "y"], block).collect()
+    for s, vs in lists.items():
+        assert {(r["start_pos"], r["end_pos"]) for r in got if r["sheet"] == s} == _plain_spans(vs), s
+    assert max(r["found_in_pass"] for r in got) >= 3
+    spans = hierarchy.close_spans(hierarchy.spans_from_sums(places.where("sheet = 'twelve'"), ["sheet"], "pos", ["x", "y"], block), ["sheet"])
+    tree = hierarchy.tree_from_spans(places.selectExpr("*", "'n' || pos AS name").where("sheet = 'twelve'"), spans, ["sheet"], "pos", "name", block).collect()
+    assert max(r["depth"] for r in tree) >= 11
+    around = {r["pos"]: sorted(s["start_pos"] for s in spans.collect() if s["start_pos"] < r["pos"] <= s["end_pos"]) for r in tree}
+    assert all(r["depth"] == len(around[r["pos"]]) and r["parent_pos"] == (around[r["pos"]] or [None])[-1] for r in tree)
+    assert all(r["region_name"] == (f"n{around[r['pos']][1]}" if r["depth"] > 1 else r["name"] if r["depth"] == 1 and r["is_aggregate"] else None) for r in tree)
+
+
 def test_long_chain_of_spans_closes(spark):
     """Each span ends where the next one starts: more links than a few fixed rounds could follow."""
     chain = spark.createDataFrame([("s", i, i + 1) for i in range(1, 41)], "sheet string, start_pos long, end_pos long")
@@ -108,13 +146,3 @@ def test_parents_of_a_deep_tree(spark):
     spans = spark.createDataFrame([("s", i, 8) for i in range(1, 8)], "sheet string, start_pos long, end_pos long")
     got = {r["pos"]: r["parent_pos"] for r in hierarchy.tree_from_spans(places, spans, ["sheet"], "pos", "name", block=3).collect()}
     assert got == {1: None} | {i: i - 1 for i in range(2, 9)}
-
-
-def test_quantiles_in_several_rounds(spark, monkeypatch):
-    monkeypatch.setattr(scale, "ONE_TASK_ROWS", 30)
-    rng = random.Random(11)
-    groups = {"hot": [rng.random() * 9 for _ in range(600)] + [4.0] * 300, "other": [rng.randint(0, 90) * 1.0 for _ in range(200)]}
-    df = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in vs], "g string, _v double")
-    got = {r["g"]: r for r in scale._sliced_quantiles(df, ["g"], {"q1": 0.25, "m": 0.5, "q3": 0.75}, width=2).collect()}
-    for g, vs in groups.items():
-        assert (got[g]["q1"], got[g]["m"], got[g]["q3"]) == pytest.approx(tuple(statistics.quantiles(vs, n=4, method="inclusive")))
