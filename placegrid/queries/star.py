@@ -271,8 +271,8 @@ FROM population_summed s LEFT JOIN (
   GROUP BY place_code HAVING count(DISTINCT reference_year) = 2) b USING (place_code)""")
 
 def first_label(cases: dict[str, str], otherwise: str = "NULL") -> str:
-    """The label of the first condition that holds, out of labels in order of precedence."""
-    return f"coalesce(list_extract([{', '.join(repr(c) for c in cases)}], list_position([{', '.join(f'coalesce({c}, false)' for c in cases.values())}], true)), {otherwise})"
+    """A CASE over labels in order of precedence. The labels are fixed values of the results."""
+    return "CASE " + " ".join(f"WHEN {condition} THEN {label!r}" for label, condition in cases.items()) + f" ELSE {otherwise} END"
 
 
 def every_label(cases: dict[str, str], between: str) -> str:
@@ -331,140 +331,125 @@ SELECT *, not_assessed_reason IS NULL AS is_assessed FROM (
     FROM (SELECT place_code, {_per_measure} FROM provision_measures GROUP BY place_code) m
     JOIN lgu USING (place_code) JOIN state_counts c USING (place_code) LEFT JOIN school_age a USING (place_code)))""")
 
-_sql("screen", ("lgu", "rollup", "rooms"), f"""
-SELECT *, not_assessed_reason IS NULL AS is_assessed,
-       CASE WHEN not_assessed_reason IS NOT NULL THEN 'not assessed' WHEN congested_count > 0 THEN 'reported congestion identified'
-            ELSE 'no reported congestion identified' END AS benchmark_status
+# Learners against rooms (an entity as a whole) and against teachers (an entity's level). A suspected figure has no ratio in
+# the scenario that leaves suspects out; everything else is the same statement for both scenarios.
+_sql("units", ("public_levels", "rollup", "capacity", "suspects"), """
+SELECT scenario, measure, level_code, place_code, active, learners, denominator, annexed, if(scenario = 'kept' AND suspected, NULL, learners::DOUBLE / nullif(denominator, 0)) AS ratio
 FROM (
-SELECT *, CASE WHEN active_count = 0 THEN 'no active public school' WHEN learners_per_room IS NULL THEN 'no usable classroom denominator'
-               WHEN learner_coverage_pct < 90 THEN 'learner coverage below 90%' END AS not_assessed_reason
-FROM (
-SELECT *, CAST(eligible_learners AS DOUBLE) / nullif(reported_rooms, 0) AS learners_per_room,
-       100.0::DOUBLE * congested_learners / nullif(public_enrollment, 0) AS congested_share_pct,
-       100.0::DOUBLE * ratio_count / nullif(active_count + blank_count, 0) AS school_coverage_pct,
-       100.0::DOUBLE * eligible_learners / nullif(public_enrollment, 0) AS learner_coverage_pct
-FROM (
-SELECT g.place_code, g.place_name, g.place_type, g.province_code, g.province_name, g.region_code, g.region_name, '{PERIOD}' AS period,
-       count(*) FILTER (WHERE s.is_active) AS active_count, count(*) FILTER (WHERE s.is_active AND s.rooms > 0) AS usable_room_count,
-       count(*) FILTER (WHERE s.usable) AS ratio_count, count(*) FILTER (WHERE s.is_active AND s.incomplete_levels > 0) AS incomplete_count,
-       count(*) FILTER (WHERE s.is_blank) AS blank_count, count(*) FILTER (WHERE s.is_active AND s.rooms IS NULL) AS missing_room_count,
-       count(*) FILTER (WHERE s.is_active AND s.rooms = 0) AS zero_room_count,
-       CAST(coalesce(sum(s.complete_learners) FILTER (WHERE s.is_active AND s.incomplete_levels = 0), 0) AS BIGINT) AS public_enrollment,
-       CAST(coalesce(sum(s.complete_learners) FILTER (WHERE s.usable), 0) AS BIGINT) AS eligible_learners,
-       CAST(coalesce(sum(s.rooms) FILTER (WHERE s.usable), 0) AS BIGINT) AS reported_rooms,
-       count(*) FILTER (WHERE s.usable AND CAST(s.complete_learners AS DOUBLE) / s.rooms >= {SCREEN}) AS congested_count,
-       CAST(coalesce(sum(s.complete_learners) FILTER (WHERE s.usable AND CAST(s.complete_learners AS DOUBLE) / s.rooms >= {SCREEN}), 0) AS BIGINT) AS congested_learners
-FROM lgu g LEFT JOIN (
-  SELECT r.*, c.rooms, coalesce(r.is_active AND r.incomplete_levels = 0 AND c.rooms > 0, false) AS usable
-  FROM rollup r LEFT JOIN rooms c ON c.entity_id = r.entity_id AND c.period = '{PERIOD}') s ON s.place_code = g.place_code
-GROUP BY ALL)))""")
-
-_sql("level_grid", ("lgu", "fact", "teachers"), f"""
-SELECT *, coalesce(offered_count > 0 AND learners_per_teacher IS NOT NULL AND learner_coverage_pct >= 90, false) AS passes_gate
-FROM (
-SELECT *, CAST(eligible_learners AS DOUBLE) / nullif(teacher_count, 0) AS learners_per_teacher,
-       100.0::DOUBLE * usable_count / nullif(offered_count, 0) AS school_coverage_pct,
-       100.0::DOUBLE * eligible_learners / nullif(public_enrollment, 0) AS learner_coverage_pct
-FROM (
-SELECT g.*, v.level_code, v.reference, count(s.entity_id) AS offered_count,
-       count(*) FILTER (WHERE s.entity_id IS NOT NULL AND s.learner_count IS NULL) AS incomplete_count,
-       count(*) FILTER (WHERE s.usable) AS usable_count, count(*) FILTER (WHERE s.zero_annex) AS zero_annex_count,
-       CAST(coalesce(sum(s.learner_count) FILTER (WHERE s.zero_annex), 0) AS BIGINT) AS zero_annex_learners,
-       CAST(coalesce(sum(s.learner_count), 0) AS BIGINT) AS public_enrollment,
-       CAST(coalesce(sum(s.learner_count) FILTER (WHERE s.usable OR s.zero_annex), 0) AS BIGINT) AS eligible_learners,
-       CAST(coalesce(sum(s.teacher_count) FILTER (WHERE s.usable), 0) AS BIGINT) AS teacher_count
-FROM lgu g CROSS JOIN (VALUES {', '.join(f"('{k}', {v}::DOUBLE)" for k, v in REFERENCES.items())}) v(level_code, reference)
-LEFT JOIN (
-  SELECT f.entity_id, f.place_code, f.level_code, f.learner_count, t.teacher_count,
-         coalesce(t.teacher_count > 0 AND f.learner_count IS NOT NULL, false) AS usable,
-         coalesce(f.annex_status = '{ANNEX}' AND t.teacher_count = 0 AND f.learner_count IS NOT NULL, false) AS zero_annex
-  FROM fact f JOIN (
-    SELECT entity_id FROM fact WHERE period = '{PERIOD}' AND sector = 'Public' AND match_status = 'matched' AND is_offered
-    GROUP BY entity_id HAVING bool_or(coalesce(learner_count > 0, false)) OR count(learner_count) = 0) a USING (entity_id)
-  LEFT JOIN teachers t ON t.entity_id = f.entity_id AND t.period = f.period AND t.level_code = f.level_code
-  WHERE f.period = '{PERIOD}' AND f.sector = 'Public' AND f.match_status = 'matched' AND f.is_offered) s
-  ON s.place_code = g.place_code AND s.level_code = v.level_code
-GROUP BY ALL))""")
-
-_sql("level_status", ("level_grid",), """
-SELECT *, CASE WHEN offered_count = 0 THEN 'not applicable' WHEN NOT passes_gate THEN 'not assessed'
-               WHEN learners_per_teacher > reference THEN 'above reference' ELSE 'at or below reference' END AS benchmark_status
-FROM level_grid""")
+  SELECT u.*, denominator, measure = 'teacher' AND annex AND denominator = 0 AND learners IS NOT NULL AS annexed, suspects.entity_id IS NOT NULL AS suspected
+  FROM (
+    SELECT 'room' AS measure, 'ALL' AS level_code, entity_id, place_code, is_annex AS annex, is_active AS active, if(is_active AND incomplete_levels = 0, complete_learners, NULL) AS learners
+    FROM rollup WHERE is_active OR is_blank
+    UNION ALL
+    SELECT 'teacher', level_code, entity_id, place_code, annex, true, counted FROM public_levels SEMI JOIN (FROM rollup WHERE is_active OR is_blank) reporting USING (entity_id) WHERE offered) u
+  LEFT JOIN capacity USING (entity_id, measure, level_code) LEFT JOIN suspects USING (entity_id, measure, level_code)),
+  (VALUES ('all'), ('kept')) s(scenario)""")
+
+_over = f"ratio >= {SCREEN}"
+_sql("unit_sums", ("units",), f"""
+SELECT scenario, measure, level_code, place_code, count_if(active)::BIGINT AS members, count_if(NOT active)::BIGINT AS blanks, count_if(active AND learners IS NULL)::BIGINT AS silent,
+       count_if(active AND denominator > 0)::BIGINT AS able, count_if(active AND denominator = 0)::BIGINT AS at_zero, count_if(active AND denominator IS NULL)::BIGINT AS unstated,
+       coalesce(sum(learners), 0)::BIGINT AS learners, count(ratio) AS rated, coalesce(sum(if(ratio IS NULL, 0, learners)), 0)::BIGINT AS rated_learners,
+       coalesce(sum(if(ratio IS NULL, 0, denominator)), 0)::BIGINT AS rated_capacity, count_if(annexed)::BIGINT AS annexes, coalesce(sum(if(annexed, learners, 0)), 0)::BIGINT AS annexed_learners,
+       count_if({_over})::BIGINT AS over, coalesce(sum(if({_over}, learners, 0)), 0)::BIGINT AS over_learners
+FROM units GROUP BY ALL""")
+
+_none = ("members", "blanks", "silent", "able", "at_zero", "unstated", "learners", "rated", "rated_learners", "rated_capacity", "annexes", "annexed_learners", "over", "over_learners")
+_zero = lambda table: ", ".join(f"coalesce({table}.{c}, 0) AS {c}" for c in _none)
+_share = lambda part, whole: f"100.0::DOUBLE * {part} / nullif({whole}, 0)"
+_sql("room_sums", ("lgu", "unit_sums"), f"""
+SELECT lgu.place_code, s.scenario, {_zero('u')} FROM lgu CROSS JOIN (VALUES ('all'), ('kept')) s(scenario)
+LEFT JOIN (FROM unit_sums WHERE measure = 'room') u ON (u.place_code, u.scenario) = (lgu.place_code, s.scenario)""")
+
+_no_room = first_label({"no active public school": "active_count = 0", "no usable classroom denominator": "learners_per_room IS NULL", "learner coverage below 90%": "learner_coverage_pct < 90"})
+_sql("screen", ("lgu", "room_sums"), f"""
+SELECT lgu.*, '{PERIOD}' AS period, told.* EXCLUDE (place_code), not_assessed_reason IS NULL AS is_assessed,
+       {first_label({'not assessed': 'not_assessed_reason IS NOT NULL', 'reported congestion identified': 'congested_count > 0'}, "'no reported congestion identified'")} AS benchmark_status
+FROM lgu JOIN (
+  SELECT *, {_no_room} AS not_assessed_reason FROM (
+    SELECT place_code, over AS congested_count, over_learners AS congested_learners, rated AS ratio_count, rated_learners AS eligible_learners, rated_capacity AS reported_rooms,
+           learners AS public_enrollment, members AS active_count, blanks AS blank_count, silent AS incomplete_count, able AS usable_room_count, at_zero AS zero_room_count,
+           unstated AS missing_room_count, rated_learners::DOUBLE / nullif(rated_capacity, 0) AS learners_per_room, {_share('over_learners', 'learners')} AS congested_share_pct,
+           {_share('rated_learners', 'learners')} AS learner_coverage_pct, {_share('rated', 'members + blanks')} AS school_coverage_pct
+    FROM room_sums WHERE scenario = 'all')) told USING (place_code)""")
+
+_at_level = first_label({"not applicable": "offered_count = 0", "not assessed": "NOT passes_gate", "above reference": "learners_per_teacher > reference"}, "'at or below reference'")
+_sql("level_results", ("lgu", "unit_sums"), f"""
+SELECT *, {_at_level} AS benchmark_status FROM (
+  SELECT *, coalesce(least(offered_count, 1) = 1 AND learner_coverage_pct >= 90 AND learners_per_teacher >= 0, false) AS passes_gate FROM (
+    SELECT place_code, scenario, r.level_code, r.reference, members AS offered_count, silent AS incomplete_count, rated AS usable_count, annexes AS zero_annex_count,
+           annexed_learners AS zero_annex_learners, learners AS public_enrollment, rated_learners + annexed_learners AS eligible_learners, rated_capacity AS teacher_count,
+           (rated_learners + annexed_learners)::DOUBLE / nullif(rated_capacity, 0) AS learners_per_teacher, {_share('rated', 'members')} AS school_coverage_pct,
+           {_share('(rated_learners + annexed_learners)', 'learners')} AS learner_coverage_pct
+    FROM (
+      SELECT lgu.place_code, s.scenario, r.level_code, r.reference, {_zero('u')}
+      FROM lgu, (VALUES ('all'), ('kept')) s(scenario), {rule_table('r', 'level_code, reference', [(k, v) for k, v in REFERENCES.items()])}
+      LEFT JOIN (FROM unit_sums WHERE measure = 'teacher') u ON (u.place_code, u.scenario, u.level_code) = (lgu.place_code, s.scenario, r.level_code)) r))""")
+
+_sql("level_status", ("lgu", "level_results"), "SELECT lgu.*, r.* EXCLUDE (place_code, scenario) REPLACE (reference::DOUBLE AS reference) FROM level_results r JOIN lgu USING (place_code) WHERE scenario = 'all'")
+_sql("level_grid", ("level_status",), "SELECT * EXCLUDE (benchmark_status) FROM level_status")
 
 _measures = ("offered_count", "incomplete_count", "usable_count", "zero_annex_count", "zero_annex_learners", "public_enrollment", "eligible_learners",
              "teacher_count", "learners_per_teacher", "school_coverage_pct", "learner_coverage_pct", "passes_gate", "benchmark_status")
-_wide = ",\n".join(f"max({m}) FILTER (WHERE level_code = '{v}') AS {v.lower()}_{m}" if m != "passes_gate" else f"bool_or(passes_gate) FILTER (WHERE level_code = '{v}') AS {v.lower()}_passes_gate"
-                   for v in LEVELS for m in _measures)
-_sql("levels", ("level_status",), f"""
-SELECT *, CASE WHEN offered_level_count = 0 THEN 'no active public school level' WHEN passing_level_count < offered_level_count
-               THEN 'an offered level is below 90% learner coverage' END AS not_assessed_reason,
-       offered_level_count > 0 AND passing_level_count = offered_level_count AS is_assessed,
-       CASE WHEN offered_level_count = 0 THEN 'not assessed' WHEN pressured_level_count > 0 THEN 'pressure signal identified'
-            WHEN passing_level_count < offered_level_count THEN 'not fully assessed' ELSE 'no pressure signal identified' END AS benchmark_status
+_by_level = lambda measures, after="": ", ".join(f"any_value({m}) FILTER (level_code = '{v}') AS {v.lower()}_{m}{after}" for v in LEVELS for m in measures)
+_sql("level_counts", ("level_results",), """
+SELECT place_code, scenario, count_if(benchmark_status <> 'not applicable')::BIGINT AS offered, count_if(passes_gate)::BIGINT AS passing, count_if(benchmark_status = 'above reference')::BIGINT AS above,
+       coalesce(sum(if(benchmark_status = 'above reference', eligible_learners, 0)), 0)::BIGINT AS above_learners,
+       min(if(benchmark_status = 'not applicable', NULL, learner_coverage_pct)) AS lowest
+FROM level_results GROUP BY place_code, scenario""")
+
+_sql("levels", ("lgu", "level_results", "level_counts"), f"""
+SELECT lgu.*, '{PERIOD}' AS period, offered AS offered_level_count, passing AS passing_level_count, above AS pressured_level_count, above_learners AS pressured_learners, w.* EXCLUDE (place_code),
+       {first_label({'no active public school level': 'offered = 0', 'an offered level is below 90% learner coverage': 'passing < offered'})} AS not_assessed_reason, offered > 0 AND passing = offered AS is_assessed,
+       {first_label({'not assessed': 'offered = 0', 'pressure signal identified': 'above > 0', 'not fully assessed': 'passing < offered'}, "'no pressure signal identified'")} AS benchmark_status
+FROM lgu JOIN level_counts c USING (place_code)
+JOIN (SELECT place_code, {_by_level(_measures)} FROM level_results WHERE scenario = 'all' GROUP BY place_code) w USING (place_code)
+WHERE scenario = 'all'""")
+
+# Learners of an entity in a year, counted once for all and once more where it is public.
+_sql("scope_years", ("fact",), """
+SELECT scope, place_code, period, coalesce(sum(learners), 0)::BIGINT AS total, count(learners) AS known, count(*) - count(learners) AS unknown
+FROM (
+  SELECT entity_id, place_code, period, unnest(if(sector = 'Public', ['whole', 'public'], ['whole'])) AS scope,
+         if(count_if(is_offered IS NULL) + count_if(is_offered AND learner_count IS NULL) = 0, sum(if(is_offered, learner_count, 0)), NULL) AS learners
+  FROM fact GROUP BY entity_id, place_code, period, sector)
+GROUP BY scope, place_code, period""")
+
+_sql("census", ("population",), """
+SELECT place_code, reference_year, sum(population)::BIGINT AS school_age_population, bool_and(is_geography_comparable) AS comparable
+FROM population WHERE age BETWEEN 5 AND 17 AND sex <> 'both' GROUP BY place_code, reference_year""")
+
+# Every place in every period; its first and last period and the year before are read along the row of its periods.
+_sql("periods", ("scope_years", "census"), """
+SELECT *, if(lag(year) OVER along = year - 1, lag(all_enrollment) OVER along, NULL) AS previous_enrollment,
+       arg_min(row_of, period) OVER whole AS head, arg_max(row_of, period) OVER whole AS tail
 FROM (
-SELECT place_code, place_name, place_type, province_code, province_name, region_code, region_name, '{PERIOD}' AS period,
-       count(*) FILTER (WHERE offered_count > 0) AS offered_level_count, count(*) FILTER (WHERE offered_count > 0 AND passes_gate) AS passing_level_count,
-       count(*) FILTER (WHERE benchmark_status = 'above reference') AS pressured_level_count,
-       CAST(coalesce(sum(eligible_learners) FILTER (WHERE benchmark_status = 'above reference'), 0) AS BIGINT) AS pressured_learners,
-       {_wide}
-FROM level_status GROUP BY ALL)""")
-
-_sql("trend_grid", ("fact", "population"), """
-SELECT m.place_code, y.period, CAST(left(y.period, 4) AS INTEGER) AS start_year,
-       coalesce(e.all_enrollment, 0) AS all_enrollment, coalesce(e.public_enrollment, 0) AS public_enrollment,
-       coalesce(e.counted, 0) AS counted, coalesce(e.incomplete, 0) AS incomplete,
-       coalesce(e.public_counted, 0) AS public_counted, coalesce(e.public_incomplete, 0) AS public_incomplete
-FROM (SELECT place_code FROM fact UNION SELECT place_code FROM population WHERE sex IN ('male', 'female') AND age BETWEEN 5 AND 17) m
-CROSS JOIN (SELECT DISTINCT period FROM fact) y
-LEFT JOIN (
-  SELECT place_code, period, CAST(coalesce(sum(learners), 0) AS BIGINT) AS all_enrollment,
-         CAST(coalesce(sum(learners) FILTER (WHERE sector = 'Public'), 0) AS BIGINT) AS public_enrollment,
-         count(learners) AS counted, count(*) - count(learners) AS incomplete,
-         count(learners) FILTER (WHERE sector = 'Public') AS public_counted,
-         count(*) FILTER (WHERE sector = 'Public' AND learners IS NULL) AS public_incomplete
+  SELECT *, struct_pack(at := period, all_learners := all_enrollment, public_learners := public_enrollment, complete := public_counted > 0 AND public_incomplete = 0) AS row_of
   FROM (
-    SELECT entity_id, place_code, period, sector,
-           CASE WHEN bool_or(is_offered IS NULL OR (is_offered AND learner_count IS NULL)) THEN NULL
-                ELSE coalesce(sum(learner_count) FILTER (WHERE is_offered), 0) END AS learners
-    FROM fact GROUP BY ALL) GROUP BY place_code, period) e USING (place_code, period)""")
-
-_sql("residents", ("population",), """
-SELECT place_code, reference_year AS census_year, CAST(sum(population) AS BIGINT) AS school_age_population, bool_and(is_geography_comparable) AS comparable
-FROM population WHERE sex IN ('male', 'female') AND age BETWEEN 5 AND 17 GROUP BY 1, 2""")
-
-_sql("trend_raw", ("trend_grid", "residents"), """
-SELECT g.*, g2.*, CASE WHEN p.start_year IS NOT NULL THEN p.all_enrollment END AS previous_enrollment,
-       CASE g.place_code WHEN 'UNKNOWN' THEN 'unknown' WHEN 'EXCLUDED' THEN 'excluded' ELSE 'regular' END AS member_type,
-       CASE g.period WHEN '1996' THEN 1996 WHEN '2000' THEN 2000 END AS census_year, r.school_age_population,
-       g.place_code NOT IN ('UNKNOWN', 'EXCLUDED') AND coalesce(k.comparable, false) AS is_geography_comparable
-FROM trend_grid g
-JOIN (SELECT f.place_code AS pc, f.period AS first_period, l.period AS latest_period, f.all_enrollment AS first_enrollment, l.all_enrollment AS latest_enrollment,
-             f.public_enrollment AS first_public, l.public_enrollment AS latest_public,
-             f.public_counted > 0 AND f.public_incomplete = 0 AND l.public_counted > 0 AND l.public_incomplete = 0 AS endpoints_complete
-      FROM trend_grid f JOIN trend_grid l ON l.place_code = f.place_code
-      WHERE f.period = (SELECT min(period) FROM trend_grid) AND l.period = (SELECT max(period) FROM trend_grid)) g2 ON g2.pc = g.place_code
-LEFT JOIN trend_grid p ON p.place_code = g.place_code AND p.start_year = g.start_year - 1
-LEFT JOIN residents r ON r.place_code = g.place_code AND CAST(r.census_year AS VARCHAR) = g.period
-LEFT JOIN (SELECT place_code, bool_and(comparable) AS comparable FROM residents GROUP BY 1) k ON k.place_code = g.place_code""")
-
-_dir = lambda a, b: f"CASE WHEN {a} > {b} THEN 'increasing' WHEN {a} < {b} THEN 'decreasing' ELSE 'no change' END"
-_sql("trend", ("trend_raw",), f"""
-SELECT place_code, CAST(census_year AS INTEGER) AS census_year, period, first_period, latest_period, all_enrollment, public_enrollment, counted, incomplete,
-       public_counted, public_incomplete, start_year, previous_enrollment, first_enrollment, latest_enrollment, first_public, latest_public, endpoints_complete,
-       school_age_population, member_type, CAST(public_enrollment AS DOUBLE) / nullif(all_enrollment, 0) AS public_share,
-       all_enrollment - previous_enrollment AS change_from_previous,
-       CAST(all_enrollment - previous_enrollment AS DOUBLE) / nullif(previous_enrollment, 0) AS change_share_from_previous,
-       latest_enrollment - first_enrollment AS change_first_to_latest,
-       CAST(latest_enrollment - first_enrollment AS DOUBLE) / nullif(first_enrollment, 0) AS change_share_first_to_latest,
-       CASE WHEN member_type = 'regular' THEN {_dir('latest_enrollment', 'first_enrollment')} END AS enrollment_trend,
-       latest_public - first_public AS public_change, CAST(latest_public - first_public AS DOUBLE) / nullif(first_public, 0) AS public_change_share,
-       CASE WHEN member_type = 'regular' AND endpoints_complete AND first_public <> 0 THEN {_dir('latest_public', 'first_public')} END AS public_trend,
-       school_age_population - all_enrollment AS population_gap,
-       CAST(school_age_population - all_enrollment AS DOUBLE) / nullif(school_age_population, 0) AS gap_share,
-       CASE WHEN census_year IS NULL THEN 'not available: no census in this period'
-            WHEN school_age_population IS NULL THEN 'not available: no census population for this member' ELSE 'available' END AS census_context,
-       is_geography_comparable
-FROM trend_raw""")
+    SELECT place_code, period, left(period, 4)::INTEGER AS year, coalesce(w.total, 0) AS all_enrollment, coalesce(w.known, 0) AS counted, coalesce(w.unknown, 0) AS incomplete,
+           coalesce(p.total, 0) AS public_enrollment, coalesce(p.known, 0) AS public_counted, coalesce(p.unknown, 0) AS public_incomplete
+    FROM (SELECT place_code, unnest((SELECT list(DISTINCT period) FROM scope_years)) AS period FROM (SELECT place_code FROM scope_years UNION SELECT place_code FROM census))
+    LEFT JOIN (FROM scope_years WHERE scope = 'whole') w USING (place_code, period)
+    LEFT JOIN (FROM scope_years WHERE scope = 'public') p USING (place_code, period)))
+WINDOW whole AS (PARTITION BY place_code ORDER BY period ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), along AS (PARTITION BY place_code ORDER BY period)""")
+
+_change = lambda new, old, name: f"{new} - {old} AS {name.format('change')}, ({new} - {old})::DOUBLE / nullif({old}, 0) AS {name.format('change_share')}"
+_way = lambda new, old: f"list_extract(['decreasing', 'no change', 'increasing'], 2 + sign({new} - {old})::INTEGER)"
+_sql("trend", ("periods", "census"), f"""
+SELECT t.* EXCLUDE (year, head, tail, row_of, is_place), year AS start_year, census_years.y AS census_year, head['at'] AS first_period, tail['at'] AS latest_period,
+       head.all_learners AS first_enrollment, tail.all_learners AS latest_enrollment, head.public_learners AS first_public, tail.public_learners AS latest_public,
+       head.complete AND tail.complete AS endpoints_complete, public_enrollment::DOUBLE / nullif(all_enrollment, 0) AS public_share,
+       {_change('all_enrollment', 'previous_enrollment', '{}_from_previous')}, {_change('tail.all_learners', 'head.all_learners', '{}_first_to_latest')},
+       {_change('tail.public_learners', 'head.public_learners', 'public_{}')},
+       if(is_place, {_way('tail.all_learners', 'head.all_learners')}, NULL) AS enrollment_trend,
+       if(is_place AND head.complete AND tail.complete AND head.public_learners <> 0, {_way('tail.public_learners', 'head.public_learners')}, NULL) AS public_trend,
+       if(is_place, 'regular', lower(t.place_code)) AS member_type, is_place AND coalesce(both_comparable, false) AS is_geography_comparable, school_age_population,
+       school_age_population - all_enrollment AS population_gap, (school_age_population - all_enrollment)::DOUBLE / nullif(school_age_population, 0) AS gap_share,
+       {first_label({'not available: no census in this period': 'census_years.y IS NULL', 'not available: no census population for this member': 'school_age_population IS NULL'}, "'available'")} AS census_context
+FROM (SELECT *, place_code NOT IN ('UNKNOWN', 'EXCLUDED') AS is_place FROM periods) t
+LEFT JOIN {rule_table('census_years', 'period, y', sorted(CENSUSES.items()))} USING (period)
+LEFT JOIN census ON census.place_code = t.place_code AND census.reference_year = census_years.y
+LEFT JOIN (SELECT place_code AS of_place, bool_and(comparable) AS both_comparable FROM census GROUP BY place_code) ON of_place = t.place_code""")
 
 # The category by the number of pressures and the state of growth.
 _CATEGORIES = [(2, "up", "Priority 1"), (2, "flat", "Priority 2"), (2, "unknown", "Priority 2"), (1, "up", "Priority 2"), (1, "flat", "Priority 3"), (1, "unknown", "Priority 3"),
@@ -540,6 +525,8 @@ SELECT sided.* EXCLUDE (side), side > 0 AS is_above, side < 0 AS is_below, suspe
 FROM (SELECT *, coalesce((ratio > upper_fence)::INT - (ratio < lower_fence)::INT, 0) AS side FROM ratios JOIN fences USING (measure, level_code, place_type)) sided
 LEFT JOIN {rule_table('suspect', 'measure, side', _SUSPECT_SIDES)} USING (measure, side)""")
 
+_sql("suspects", ("flags",), "SELECT entity_id, measure, level_code FROM flags WHERE is_suspected")
+
 _sql("affected", ("flags",), """
 SELECT place_code, count(*) AS outlier_count, CAST(sum(learners) AS BIGINT) AS outlier_learners, CAST(sum(rooms) AS BIGINT) AS room_outlier_count,
        CAST(sum(levels) AS BIGINT) AS teacher_outlier_count
@@ -547,48 +534,27 @@ FROM (SELECT place_code, entity_id, coalesce(max(learners) FILTER (WHERE measure
              count(*) FILTER (WHERE measure = 'room') AS rooms, count(*) FILTER (WHERE measure = 'teacher') AS levels
       FROM flags WHERE is_suspected GROUP BY place_code, entity_id) GROUP BY place_code""")
 
-_sql("room_b", ("flags", "screen"), f"""
-SELECT s.place_code, coalesce(k.n, 0) AS ratio_count_b, CAST(coalesce(k.learners, 0) AS BIGINT) AS room_eligible_b, CAST(coalesce(k.rooms, 0) AS BIGINT) AS reported_rooms_b,
-       CAST(coalesce(k.learners, 0) AS DOUBLE) / nullif(coalesce(k.rooms, 0), 0) AS learners_per_room_b,
-       100.0::DOUBLE * CAST(coalesce(k.learners, 0) AS BIGINT) / nullif(s.public_enrollment, 0) AS room_coverage_pct_b,
-       coalesce(k.hits, 0) AS room_affected_count_b, CAST(coalesce(k.hit_learners, 0) AS BIGINT) AS room_affected_learners_b,
-       100.0::DOUBLE * CAST(coalesce(k.hit_learners, 0) AS BIGINT) / nullif(s.public_enrollment, 0) AS room_affected_share_pct_b,
-       coalesce(s.active_count > 0 AND k.learners > 0 AND 100.0::DOUBLE * CAST(k.learners AS BIGINT) / nullif(s.public_enrollment, 0) >= 90, false) AS room_assessed_b
-FROM screen s LEFT JOIN (
-  SELECT place_code, count(*) AS n, sum(learners) AS learners, sum(denominator) AS rooms, count(*) FILTER (WHERE ratio >= {SCREEN}) AS hits,
-         sum(learners) FILTER (WHERE ratio >= {SCREEN}) AS hit_learners
-  FROM flags WHERE measure = 'room' AND NOT is_suspected GROUP BY place_code) k USING (place_code)""")
-
-_sql("level_b", ("flags", "level_grid"), """
-SELECT *, CASE WHEN offered_count = 0 THEN 'not applicable' WHEN NOT passes_gate THEN 'not assessed' WHEN learners_per_teacher > reference THEN 'above reference'
-               ELSE 'at or below reference' END AS benchmark_status
-FROM (SELECT *, coalesce(offered_count > 0 AND learners_per_teacher IS NOT NULL AND learner_coverage_pct >= 90, false) AS passes_gate
-FROM (SELECT *, CAST(eligible_learners AS DOUBLE) / nullif(teacher_count, 0) AS learners_per_teacher,
-             100.0::DOUBLE * eligible_learners / nullif(public_enrollment, 0) AS learner_coverage_pct
-FROM (SELECT l.place_code, l.level_code, l.reference, l.offered_count, l.public_enrollment, l.learner_coverage_pct AS published_coverage_pct,
-             CAST(coalesce(t.learners, 0) + l.zero_annex_learners AS BIGINT) AS eligible_learners, CAST(coalesce(t.teachers, 0) AS BIGINT) AS teacher_count
-      FROM level_grid l LEFT JOIN (
-        SELECT place_code, level_code, sum(learners) AS learners, sum(denominator) AS teachers FROM flags WHERE measure = 'teacher' AND NOT is_suspected GROUP BY 1, 2) t
-      USING (place_code, level_code))))""")
-
+# The figures of the scenario without suspects stand beside the published ones, under names that end in _b.
 _lb = ("eligible_learners", "teacher_count", "learners_per_teacher", "learner_coverage_pct", "passes_gate", "benchmark_status")
-_wide_b = ",\n".join(f"{'bool_or' if m == 'passes_gate' else 'max'}({m}) FILTER (WHERE level_code = '{v}') AS {v.lower()}_{m}_b" for v in LEVELS for m in _lb)
-_sql("teacher_b", ("level_b",), f"""
-SELECT place_code, count(*) FILTER (WHERE offered_count > 0) > 0 AND count(*) FILTER (WHERE offered_count > 0 AND NOT passes_gate) = 0 AS teacher_assessed_b,
-       count(*) FILTER (WHERE benchmark_status = 'above reference') AS pressured_level_count_b,
-       CAST(coalesce(sum(eligible_learners) FILTER (WHERE benchmark_status = 'above reference'), 0) AS BIGINT) AS teacher_affected_learners_b,
-       min(published_coverage_pct) FILTER (WHERE offered_count > 0) AS lowest_coverage_pct,
-       min(learner_coverage_pct) FILTER (WHERE offered_count > 0) AS lowest_coverage_pct_b, {_wide_b}
-FROM level_b GROUP BY place_code""")
+_sql("second", ("room_sums", "level_results", "level_counts"), f"""
+SELECT room.*, teacher.* EXCLUDE (place_code), lowest_coverage_pct, wide.* EXCLUDE (place_code)
+FROM (
+  SELECT place_code, rated AS ratio_count_b, rated_learners AS room_eligible_b, rated_capacity AS reported_rooms_b, rated_learners::DOUBLE / nullif(rated_capacity, 0) AS learners_per_room_b,
+         {_share('rated_learners', 'learners')} AS room_coverage_pct_b, over AS room_affected_count_b, over_learners AS room_affected_learners_b,
+         {_share('over_learners', 'learners')} AS room_affected_share_pct_b, coalesce(members > 0 AND rated_learners > 0 AND {_share('rated_learners', 'learners')} >= 90, false) AS room_assessed_b
+  FROM room_sums WHERE scenario = 'kept') room
+JOIN (SELECT place_code, offered > 0 AND passing = offered AS teacher_assessed_b, above AS pressured_level_count_b, above_learners AS teacher_affected_learners_b, lowest AS lowest_coverage_pct_b
+      FROM level_counts WHERE scenario = 'kept') teacher USING (place_code)
+JOIN (SELECT place_code, lowest AS lowest_coverage_pct FROM level_counts WHERE scenario = 'all') USING (place_code)
+JOIN (SELECT place_code, {_by_level(_lb, '_b')} FROM level_results WHERE scenario = 'kept' GROUP BY place_code) wide USING (place_code)""")
 
 # The first change decides the status; with no learners affected before, any that are affected now are a change.
 _changes = dict(zip(rules.SENSITIVITY_STATUSES, ("outlier_count = 0", "category_changed", "room_flag_changed OR teacher_flag_changed", "coverage_gate_changed", "affected_changed", "true")))
-_sql("without_outliers", ("matrix", "affected", "room_b", "teacher_b"), _classified("""
+_sql("without_outliers", ("matrix", "affected", "second"), _classified("""
 SELECT *, room_flag_b + teacher_flag_b AS pressure_count_b, list_max([room_affected_learners_b, teacher_affected_learners_b, 0]) AS affected_learners_b,
        room_assessed_b AND teacher_assessed_b AS fully
 FROM matrix
-JOIN (SELECT *, (room_assessed_b AND room_affected_count_b > 0)::INT AS room_flag_b FROM room_b) USING (place_code)
-JOIN (SELECT *, (pressured_level_count_b > 0)::INT AS teacher_flag_b FROM teacher_b) USING (place_code)
+JOIN (SELECT *, (room_assessed_b AND room_affected_count_b > 0)::INT AS room_flag_b, (pressured_level_count_b > 0)::INT AS teacher_flag_b FROM second) USING (place_code)
 LEFT JOIN affected USING (place_code)""", "_b"))
 _sql("sensitivity", ("without_outliers",), f"""
 SELECT *, {first_label(_changes)} AS sensitivity_status
