@@ -6,6 +6,9 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from placegrid.operators.scale import position_in_order, running_sum
+from placegrid.session import materialize
+
 # Which source key meets which reference key, and the tier of that meeting.
 NAME_LADDER = (
     ("exact", "k_exact", "k_exact", 1), ("exact", "k_exact", "ok_exact", 2),
@@ -123,18 +126,27 @@ def first_code_rule(records: DataFrame, record_key: Sequence[str], units: DataFr
 
 
 def prefix_match(records: DataFrame, record_key: Sequence[str], name: str, units: DataFrame, unit_name: str, code: str,
-                 parent: str, shortest: int, longest: int) -> DataFrame:
-    """I-8: a cut-off name equals the first characters of a unit's name inside the same parent.
+                 parent: str) -> DataFrame:
+    """I-8: a cut-off name of any length equals the first characters of a unit's name inside the same parent.
 
-    Each unit offers its prefixes of the lengths a cut name can have, counted once, so this stays an equi-join.
+    Units and cut names are put in one order of (parent, name). The units that begin with a cut name lie between the
+    name itself and the name with the last character behind it, so counting units up to both places gives the hits, and
+    the only hit is the unit that was counted last. No prefixes are made, and no pairs. ``code`` is unique in a parent.
     """
-    lengths = F.sequence(F.lit(shortest), F.least(F.length(unit_name), F.lit(longest)))
-    offered = (units.filter(F.length(unit_name) >= shortest)
-               .select(parent, code, unit_name, F.explode(lengths).alias("_n"))
-               .select(parent, code, F.substring(F.col(unit_name), F.lit(1), F.col("_n")).alias("_key"))
-               .groupBy(parent, "_key").agg(F.count_distinct(code).alias("hits"), F.min(code).alias("code")))
-    cut = records.filter(F.length(name).between(shortest, longest)).withColumn("_key", F.col(name))
-    return cut.join(offered, [parent, "_key"]).select(*record_key, "hits", F.when(F.col("hits") == 1, F.col("code")).alias("code"))
+    listed = units.where(F.col(unit_name).isNotNull()).select(F.col(parent).alias("_parent"), F.col(unit_name).alias("_name"), F.col(code).alias("_code")).distinct()
+    asked = records.where(F.col(name).isNotNull() & F.col(parent).isNotNull())
+    cut = asked.select(F.col(parent).alias("_parent"), F.col(name).alias("_cut")).distinct()
+    ends = F.array(F.struct(F.lit(0).alias("_kind"), F.col("_cut").alias("_name")), F.struct(F.lit(2).alias("_kind"), F.concat("_cut", F.lit(chr(0x10FFFF))).alias("_name")))
+    rows = listed.withColumn("_kind", F.lit(1)).unionByName(cut.select("_parent", "_cut", F.inline(ends)), allowMissingColumns=True)
+    placed = position_in_order(rows, [F.col(c).asc_nulls_first() for c in ("_parent", "_name", "_kind", "_code", "_cut")], "_at")
+    counted = materialize(running_sum(placed, [], "_at", {"_units": (F.col("_kind") == 1).cast("bigint")}))
+    before = F.max(F.when(F.col("_kind") == 0, F.col("_units")))
+    found = (counted.where("_kind <> 1").groupBy("_parent", "_cut").agg(F.max("_units").alias("_units"), before.alias("_before"))
+             .select("_parent", "_cut", "_units", (F.col("_units") - F.col("_before")).alias("hits")).where("hits > 0"))
+    only = counted.where("_kind = 1").select("_units", F.col("_code").alias("code"))
+    single = found.where("hits = 1").join(only, "_units").select("_parent", "_cut", "hits", "code")
+    found = single.unionByName(found.where("hits > 1").select("_parent", "_cut", "hits", F.lit(None).cast(units.schema[code].dataType).alias("code")))
+    return (asked.join(found, (F.col(parent) == F.col("_parent")) & (F.col(name) == F.col("_cut"))).select(*record_key, "hits", "code"))
 
 
 def apply_reviewed(matched: DataFrame, reviewed: DataFrame, key: Sequence[str], code: str = "code") -> DataFrame:

@@ -57,13 +57,13 @@ def match_city_names(names: DataFrame, units: DataFrame, aliases: DataFrame, reg
         *key, F.col("code").alias("name_city_code"), F.col("level").alias("name_city_level"), F.col("match_method").alias("name_city_method"), F.col("hits").alias("name_city_hits"))
 
 
-def match_sub_unit_names(places: DataFrame, units: DataFrame, cap: int = 40, shortest: int = 1) -> DataFrame:
+def match_sub_unit_names(places: DataFrame, units: DataFrame) -> DataFrame:
     """Barangay of each distinct (city found by name, barangay name); a cut-off name may match by its beginning."""
     subs = units.filter(F.col("geographic_level") == "Bgy").withColumn("name_city_code", F.col("city_municipality_code"))
     key = ["name_city_code", "barangay"]
     keyed = keys.name_keys(places.filter(F.col("name_city_code").isNotNull()).select(*key, "barangay_possibly_truncated").distinct(), "barangay")
     result = matching.resolve(keyed, key, matching.reference_keys(subs, "psgc_code", ["name_city_code"]), ["name_city_code"])
-    cut = matching.prefix_match(keyed.filter("barangay_possibly_truncated"), key, "k_folded", subs, "k_folded", "psgc_code", "name_city_code", shortest, cap)
+    cut = matching.prefix_match(keyed.filter("barangay_possibly_truncated"), key, "k_folded", subs, "k_folded", "psgc_code", "name_city_code")
     joined = result.alias("r").join(cut.alias("c"), [F.col(f"r.{k}").eqNullSafe(F.col(f"c.{k}")) for k in key], "left")
     by_name = F.col("r.tier").isNotNull()
     return joined.select("r.name_city_code", "r.barangay", F.when(by_name, F.col("r.code")).otherwise(F.col("c.code")).alias("name_bgy_code"),

@@ -168,12 +168,12 @@ def i07(spark, sf):
 
 
 @register("i08_cut_off_names", f"""WITH {UNITS_SQL},
-cut AS (SELECT record_id, parent, left(k_exact, 6) AS cut_name FROM r)
+cut AS (SELECT record_id, parent, left(k_exact, 1 + CAST(record_id % 40 AS INTEGER)) AS cut_name FROM r)
 SELECT record_id, count(DISTINCT u.code) AS hits, CASE WHEN count(DISTINCT u.code) = 1 THEN min(u.code) END AS code
-FROM cut JOIN u ON u.parent = cut.parent AND starts_with(u.k_folded, cut_name) AND length(u.k_folded) >= 6 GROUP BY 1""")
+FROM cut JOIN u ON u.parent = cut.parent AND starts_with(u.k_folded, cut_name) GROUP BY 1""")
 def i08(spark, sf):
-    cut = keyed_records(spark, sf).select("record_id", "parent", F.substring("k_exact", 1, 6).alias("cut_name"))
-    return matching.prefix_match(cut, ["record_id"], "cut_name", keyed_units(spark, sf), "k_folded", "code", "parent", 6, 6)
+    cut = keyed_records(spark, sf).select("record_id", "parent", F.substring(F.col("k_exact"), F.lit(1), 1 + (F.col("record_id") % 40).cast("int")).alias("cut_name"))
+    return matching.prefix_match(cut, ["record_id"], "cut_name", keyed_units(spark, sf), "k_folded", "code", "parent")
 
 
 @register("i09_reviewed_decisions", f"""WITH {_RESOLVED_SQL},

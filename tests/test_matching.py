@@ -118,3 +118,21 @@ def test_nearby_uses_every_neighbouring_cell(table):
     points = table([(i, 10 + dx * 0.03, 5 + dy * 0.03) for i, (dx, dy) in enumerate([(0, 0), (1, 1), (-1, 1), (1.01, 0), (0.5, -0.99), (0, 2)])], "id int, longitude double, latitude double")
     got = spatial.nearby(points, points.filter("id = 0"), "id", 0.0300001)
     assert rows(got, "id") == [(0,), (1,), (2,), (4,)]
+
+
+def test_cut_off_names_of_any_length(spark):
+    import random
+
+    rng = random.Random(6)
+    names = ["".join(rng.choice("ABÑ ") for _ in range(rng.choice([1, 2, 3, 5, 80]))) for _ in range(300)]
+    units = [(f"c{k}", n, f"p{k % 3}") for k, n in enumerate(names)] + [("x", None, "p0"), ("y", "A" * 90, None)]
+    cuts = [(k, n[:rng.randint(0, len(n))] if k % 5 else n, f"p{rng.randint(0, 3)}") for k, n in enumerate(names)] + [(900, None, "p0"), (901, "A", None), (902, "A" * 80, "p1")]
+    units.append(("long", "A" * 80 + "B", "p1"))
+    got = {r["id"]: (r["hits"], r["code"]) for r in matching.prefix_match(
+        spark.createDataFrame(cuts, "id int, cut string, parent string"), ["id"], "cut", spark.createDataFrame(units, "code string, name string, parent string"), "name", "code", "parent").collect()}
+    want = {}
+    for k, cut, parent in cuts:
+        codes = {c for c, n, p in units if None not in (cut, n, parent) and p == parent and n.startswith(cut)}
+        if codes:
+            want[k] = len(codes), codes.pop() if len(codes) == 1 else None
+    assert got == want and got[902] == (1, "long") and any(h == 1 for h, _ in want.values())
