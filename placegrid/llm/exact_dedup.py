@@ -10,13 +10,15 @@ from __future__ import annotations
 import heapq
 from itertools import groupby
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from placegrid.llm.common import GAPS
 from placegrid.session import materialize
 
-_RUN = "range int, run long, digest string, check_hash long, check_bytes long, points long, id long, place long, copies long"
+_RUN = pa.schema([("range", pa.int32()), ("run", pa.int64()), ("digest", pa.string()), ("check_hash", pa.int64()), ("check_bytes", pa.int64()),
+                  ("points", pa.int64()), ("id", pa.int64()), ("place", pa.int64()), ("copies", pa.int64())])
+_RUN_TEXT = "range int, run long, digest string, check_hash long, check_bytes long, points long, id long, place long, copies long"
 
 
 def normalised(text: str) -> Column:
@@ -28,23 +30,25 @@ def _merge(batches):
     """Multiway merge of the sorted runs of each (range, target run) in a partition.
 
     An entry is the same text only if digest, second hash and length agree; of the same text the longest original,
-    then the smallest identifier (a missing one last), then the first place stays.
+    then the smallest identifier (a missing one last), then the first place stays. Identifiers stay whole numbers.
     """
     runs: dict[tuple, dict] = {}
-    for pdf in batches:
-        for row in pdf.itertuples(index=False, name=None):
-            part, target, source = row[0], row[1], row[2]
-            runs.setdefault((part, target), {}).setdefault(source, []).append(row[3:])
+    for batch in batches:
+        for part, target, source, *entry in zip(*[c.to_pylist() for c in batch.columns]):
+            runs.setdefault((part, target), {}).setdefault(source, []).append(entry)
     for (part, target), sources in runs.items():
         out = []
-        merged = heapq.merge(*[sorted(run) for run in sources.values()])
+        merged = heapq.merge(*[sorted(run, key=_order) for run in sources.values()], key=_order)
         for key, same in groupby(merged, key=lambda e: e[:3]):
             same = list(same)
-            best = min(same, key=lambda e: (-e[3], e[4] is None or e[4] != e[4], e[4] if e[4] is not None else 0, e[5]))
+            best = min(same, key=lambda e: (-e[3], e[4] is None, e[4] or 0, e[5]))
             out.append((part, target, *key, *best[3:6], sum(e[6] for e in same)))
-        frame = pd.DataFrame(out, columns=["range", "run", "digest", "check_hash", "check_bytes", "points", "id", "place", "copies"])
-        frame["id"] = frame["id"].astype("Int64")
-        yield frame
+        yield pa.RecordBatch.from_arrays([pa.array(list(column), kind) for column, kind in zip(zip(*out), _RUN.types)], schema=_RUN)
+
+
+def _order(entry: list) -> tuple:
+    """Entries by digest, second hash and length."""
+    return tuple(entry[:3])
 
 
 def text_groups(marked: DataFrame, ranges: int, fan_in: int = 16) -> DataFrame:
@@ -63,7 +67,7 @@ def text_groups(marked: DataFrame, ranges: int, fan_in: int = 16) -> DataFrame:
         dealt = (runs.select("range", F.floor(F.col("run") / fan_in).alias("target"), F.col("run").alias("source"), "digest",
                              "check_hash", "check_bytes", "points", "id", "place", "copies")
                  .repartition(ranges, "range", "target"))
-        runs = dealt.mapInPandas(_merge, _RUN)
+        runs = dealt.mapInArrow(_merge, _RUN_TEXT)
         left = -(-left // fan_in)
         if left == 1:
             return runs.drop("range", "run")
@@ -95,13 +99,15 @@ def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", fan_in
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents that ``exact_dedup`` keeps, with all their columns.
+    """The documents that ``exact_dedup`` keeps, with all their columns, whatever these are called.
 
     The kept (key, digest) pairs are joined back. Repeated rows share one pair, so one of them is picked afterwards.
     """
-    kept = exact_dedup(docs, key, text).where("kept").select(F.col(key).alias("__id"), F.col("text_sha256").alias("__sum"))
-    marked = docs.withColumn("__sum", F.sha2(normalised(text), 256)).withColumn("__points", F.coalesce(F.length(text), F.lit(0)))
-    joined = marked.join(kept.withColumnRenamed("__sum", "__kept_sum"),
-                         F.col(key).eqNullSafe(F.col("__id")) & (F.col("__sum") == F.col("__kept_sum")), "left_semi")
-    one = Window.partitionBy(key, "__sum").orderBy(F.desc("__points"))
-    return joined.withColumn("__n", F.row_number().over(one)).where("__n = 1").select(*docs.columns)
+    columns = docs.columns
+    wide = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(columns)])
+    own, body = f"c{columns.index(key)}", f"c{columns.index(text)}"
+    kept = exact_dedup(wide, own, body).where("kept").select(F.col(own).alias("kept_id"), F.col("text_sha256").alias("kept_sum"))
+    marked = wide.withColumn("digest", F.sha2(normalised(body), 256)).withColumn("points", F.coalesce(F.length(body), F.lit(0)))
+    joined = marked.join(kept, F.col(own).eqNullSafe(F.col("kept_id")) & (F.col("digest") == F.col("kept_sum")), "left_semi")
+    one = Window.partitionBy(own, "digest").orderBy(F.desc("points"))
+    return joined.withColumn("turn", F.row_number().over(one)).where("turn = 1").select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(columns)])

@@ -82,21 +82,21 @@ def _piece_rows(path: str, end_id: int, capacity: int):
 
 def _pack(capacity: int, max_docs: int, max_cost: int, score: str):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "id", "piece", "ids_crc32", "place"], ascending=[False, True, True, True, True], kind="stable")
+        pdf = pdf.sort_values(["length", "place"], ascending=[False, True], kind="stable")
         to, at = vector_best_fit(pdf["length"].to_numpy(), capacity, max_docs, max_cost, score)
-        pdf["sequence_id"], pdf["offset"] = pdf["deal"].to_numpy() * (1 << 32) + to, at
-        pdf["id"] = pdf["id"].astype("Int64")
-        return pdf.drop(columns=["deal", "place"])
+        return pd.DataFrame({"place": pdf["place"], "length": pdf["length"], "sequence_id": pdf["deal"].to_numpy() * (1 << 32) + to, "offset": at})
     return run
 
 
 def pack(docs: DataFrame, capacity: int = 4096, max_docs: int | None = None, max_cost: int | None = None, end_id: int = 1,
-         tokenizer: str | None = None, key: str = "doc_id", text: str = "text", deal_size: int = 20_000, score: str = "residual") -> DataFrame:
+         tokenizer: str | None = None, key: str = "doc_id", text: str = "text", deal_sequences: int = 2_000, deal_pieces: int = 100_000,
+         score: str = "residual") -> DataFrame:
     """One row per piece: key, piece, start, length, ids_crc32, sequence_id, offset.
 
     Documents longer than ``capacity`` tokens are cut into full pieces and a rest. Pieces are dealt by a hash into
-    groups of about ``deal_size``, so large that what a group loses in its last sequences is far below one in a
-    thousand, and each group is packed by best fit.
+    groups of about ``deal_sequences`` full sequences and at most about ``deal_pieces`` pieces, and each group is packed by
+    best fit. The sequences of a group that are not filled to half, few beside those that are, are taken apart, and
+    their pieces of all groups are dealt and packed once more.
     Unset document and cost capacities are ``capacity`` documents and ``capacity`` squared, which tokens alone keep.
     A null text is empty and has one piece, the end id. Null keys and repeated rows are packed like others; an empty
     table gives no rows. Other columns are ignored. The key must be an integer.
@@ -105,7 +105,17 @@ def pack(docs: DataFrame, capacity: int = 4096, max_docs: int | None = None, max
     pieces = materialize(docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
                          .mapInArrow(_piece_rows(tokenizer or word_bpe_path(), end_id, capacity), _PIECES)
                          .withColumn("place", F.monotonically_increasing_id()))
-    deals = -(-pieces.count() // deal_size)
-    dealt = pieces.withColumn("deal", F.pmod(F.xxhash64("place"), F.lit(max(1, deals))))
-    packed = dealt.groupBy("deal").applyInPandas(_pack(*limits, score), _PIECES + ", sequence_id long, offset long")
-    return packed.withColumnRenamed("id", key)
+
+    def placed(rows: DataFrame, first_deal: int) -> tuple[DataFrame, int]:
+        many, total = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first()
+        deals = max(1, -(-total // (deal_sequences * capacity)), -(-many // deal_pieces))
+        dealt = rows.select("place", "length", (F.pmod(F.xxhash64("place"), F.lit(deals)) + first_deal).alias("deal"))
+        return materialize(dealt.groupBy("deal").applyInPandas(_pack(*limits, score), "place long, length long, sequence_id long, offset long")), deals
+
+    first, deals = placed(pieces, 0)
+    if deals > 1:
+        half = first.groupBy("sequence_id").agg(F.sum("length").alias("filled")).where(F.col("filled") * 2 <= capacity).select("sequence_id")
+        again, _ = placed(materialize(first.join(half, "sequence_id", "left_semi").select("place", "length")), deals)
+        first = first.join(half, "sequence_id", "left_anti").unionByName(again)
+    return (pieces.join(first.select("place", "sequence_id", "offset"), "place")
+            .select(F.col("id").alias(key), "piece", "start", "length", "ids_crc32", "sequence_id", "offset"))

@@ -11,7 +11,6 @@ import struct
 import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -221,19 +220,18 @@ def write_tokens(docs: DataFrame, folder: str | None = None, tokenizer: str | No
 
 
 def _read(batches):
-    for pdf in batches:
-        for file, address, base in pdf[["file", "address", "base"]].itertuples(index=False, name=None):
+    for batch in batches:
+        for address, base in zip(*[batch.column(c).to_pylist() for c in ("address", "base")]):
             with open_file(address) as source:
-                rows = pd.DataFrame(Reader(source).digests(), columns=["id", "start", "n_tokens", "ids_crc32"])
-            rows["id"] = rows["id"].astype("Int64")
-            rows["start"] += base
-            yield rows
+                keys, starts, counts, crcs = [list(column) for column in zip(*Reader(source).digests())]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([base + s for s in starts], pa.int64()), pa.array(counts, pa.int64()),
+                                              pa.array(crcs, pa.int64())], names=["id", "start", "n_tokens", "ids_crc32"])
 
 
 def read_tokens(files: DataFrame, key: str = "doc_id") -> DataFrame:
     """Every document of the listed files: key, start (ids of all documents before it), n_tokens, ids_crc32."""
     spread = files.where("docs > 0").repartition(max(1, files.count()), "file")
-    return spread.mapInPandas(_read, "id long, start long, n_tokens long, ids_crc32 long").withColumnRenamed("id", key)
+    return spread.mapInArrow(_read, "id long, start long, n_tokens long, ids_crc32 long").withColumnRenamed("id", key)
 
 
 def round_trip(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
