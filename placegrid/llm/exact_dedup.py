@@ -106,8 +106,10 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     columns = docs.columns
     wide = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(columns)])
     own, body = f"c{columns.index(key)}", f"c{columns.index(text)}"
-    kept = exact_dedup(wide, own, body).where("kept").select(F.col(own).alias("kept_id"), F.col("text_sha256").alias("kept_sum"))
-    marked = wide.withColumn("digest", F.sha2(normalised(body), 256)).withColumn("points", F.coalesce(F.length(body), F.lit(0)))
-    joined = marked.join(kept, F.col(own).eqNullSafe(F.col("kept_id")) & (F.col("digest") == F.col("kept_sum")), "left_semi")
-    one = Window.partitionBy(own, "digest").orderBy(F.desc("points"))
+    same = ["id", "missing", "digest"]  # one dealing of the rows serves the join and the window
+    named = lambda column: [F.coalesce(F.col(column).cast("long"), F.lit(0)).alias("id"), F.col(column).isNull().alias("missing")]
+    kept = exact_dedup(wide, own, body).where("kept").select(*named(own), F.col("text_sha256").alias("digest"))
+    marked = wide.select("*", *named(own), F.sha2(normalised(body), 256).alias("digest"), F.coalesce(F.length(body), F.lit(0)).alias("points"))
+    joined = marked.join(kept, same, "left_semi")
+    one = Window.partitionBy(*same).orderBy(F.desc("points"))
     return joined.withColumn("turn", F.row_number().over(one)).where("turn = 1").select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(columns)])
