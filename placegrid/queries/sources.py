@@ -34,9 +34,13 @@ def s01(spark, sf):
 
 @register("s02_feature_scan", """
 SELECT 'C' || c_custkey AS code, c_nationkey || '.2460' AS area, CASE WHEN c_mktsegment = 'BUILDING' THEN NULL ELSE c_name END AS name,
-       '{"type":"Point","coordinates":[' || c_nationkey || '.50,' || c_custkey || ']}' AS geometry FROM customer""")
+       '{"type":"Point","coordinates":[' || c_nationkey || '.50,' || c_custkey || ']}' AS geometry FROM customer
+UNION ALL
+SELECT 'S' || s_suppkey, s_nationkey || '.10', s_name || ' {"[', '{"type": "GeometryCollection",' || chr(10) || '"geometries": [{"type":"Point","coordinates":[' || s_nationkey || ',1.0]},'
+       || chr(10) || '{"type":"Polygon","coordinates":[[[0,0],[1,0],' || chr(10) || '[1,1],[0,0]]]}]}' FROM supplier""")
 def s02(spark, sf):
-    """Customers delivered as GeoJSON features, one per line or a collection on one line; digits come back as published."""
+    """Customers delivered as GeoJSON features, one per line or a collection on one line, and suppliers as pretty-printed
+    collections of nested geometries; digits come back as published."""
     key, nation = F.col("c_custkey").cast("string"), F.col("c_nationkey").cast("string")
     name = F.when(F.col("c_mktsegment") == "BUILDING", "null").otherwise(F.concat(F.lit('"'), F.col("c_name"), F.lit('"')))
     line = F.concat(F.lit('{"type":"Feature","properties":{"code":"C'), key, F.lit('","area":'), nation, F.lit('.2460,"name":'), name,
@@ -46,6 +50,14 @@ def s02(spark, sf):
     together = lines.where("c_custkey % 3 = 0").groupBy(F.floor(F.col("c_custkey") / 50)).agg(F.concat(
         F.lit('{"type":"FeatureCollection","features":['), F.rtrim(F.concat_ws("", F.collect_list("value")), F.lit(",")), F.lit("]}")).alias("value"))
     lines.where("c_custkey % 3 <> 0").select("value").unionByName(together.select("value")).write.text(path)
+    key, nation = F.col("s_suppkey").cast("string"), F.col("s_nationkey").cast("string")
+    pretty = F.concat(F.lit('{ "type":\n"Feature", "properties": {"code": "S'), key, F.lit('",\n "area": '), nation, F.lit('.10, "name": "'), F.col("s_name"), F.lit(' {\\"["}, "geometry":\n'),
+                      F.lit('{"type": "GeometryCollection",\n"geometries": [{"type":"Point","coordinates":['), nation,
+                      F.lit(',1.0]},\n{"type":"Polygon","coordinates":[[[0,0],[1,0],\n[1,1],[0,0]]]}]} }'))
+    collected = read(spark, sf, "supplier").groupBy(F.floor(F.col("s_suppkey") / 20).alias("file")).agg(F.concat(
+        F.lit('{\n "type": "FeatureCollection",\n "crs": {"type": "name", "properties": {"name": {"a": 1}}},\n "features": [\n'), F.concat_ws(",\n", F.collect_list(pretty)), F.lit("\n]}")).alias("value"))
+    collected.write.partitionBy("file").text(f"{path}/collections")
+    path = [path, f"{path}/collections/*"]
     return files.read_features(spark, path, ["code", "area", "name"]).select("code", "area", "name", "geometry")
 
 

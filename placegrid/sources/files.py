@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from placegrid.operators.scale import running_sum
 from placegrid.sources.contract import text_schema
 
 
@@ -58,21 +59,76 @@ _MEMBER = rf'(?:(?!{_IS_FEATURE})(?:[^{{}}"\[\]]++|{_TEXT}|\[[^\[\]{{}}"]*+\]|{_
 _FEATURE = rf'\{{{_MEMBER}{_IS_FEATURE}{_MEMBER}\}}'
 
 
+_PROPERTIES = rf'"properties"\s*:\s*({_object(5)})'
+_GEOMETRY = rf'"geometry"\s*:\s*({_object(5)})'
+#: A line in parts: texts, brackets, and what is between; an array of plain numbers is one part.
+_PARTS = rf'({_TEXT}|\[[^\[\]{{}}"]*+\]|[{{}}\[\]]|[^"{{}}\[\]]++)'
+
+
+def _spread_features(lines: DataFrame) -> DataFrame:
+    """Features of collections that are laid out freely over lines: source_file, source_row_number, _place and value.
+
+    A text never goes over the end of a line, so every line is cut into its parts alone. Running sums over the lines
+    give the depth that a line starts at and the features before it, windows inside a line the rest. The objects that
+    open at the third depth are put together, each in its own group.
+    """
+    step = F.when(F.col("_part").isin("{", "["), 1).when(F.col("_part").isin("}", "]"), -1).otherwise(0)
+    parts = lines.select("source_file", "source_row_number", F.posexplode(F.regexp_extract_all("value", F.lit(_PARTS), 1)).alias("_k", "_part"))
+    inside = Window.partitionBy("source_file", "source_row_number").orderBy("_k").rowsBetween(Window.unboundedPreceding, 0)
+    parts = parts.withColumn("_step", step).withColumn("_inside", F.sum("_step").over(inside))
+    turns = parts.groupBy("source_file", "source_row_number").agg(F.sum("_step").alias("_turn"))
+    starts = running_sum(turns, ["source_file"], "source_row_number", {"_end": "_turn"})
+    line = ["source_file", "source_row_number"]
+    parts = parts.join(starts.select(*line, (F.col("_end") - F.col("_turn")).alias("_start")), line)
+    after = F.col("_start") + F.col("_inside")
+    parts = parts.withColumn("_after", after).withColumn("_before", after - F.col("_step"))
+    parts = parts.where("_after >= 3 OR _before >= 3").withColumn("_opens", ((F.col("_part") == "{") & (F.col("_before") == 2)).cast("int"))
+    parts = parts.withColumn("_opened", F.sum("_opens").over(inside))
+    opened = parts.groupBy(*line).agg(F.sum("_opens").alias("_own"))
+    before = running_sum(opened, ["source_file"], "source_row_number", {"_all": "_own"}).select(*line, (F.col("_all") - F.col("_own")).alias("_earlier"))
+    parts = parts.join(before, line).withColumn("_feature", F.col("_earlier") + F.col("_opened"))
+    text = F.when(F.col("_k") == 0, F.concat(F.lit("\n"), F.col("_part"))).otherwise(F.col("_part"))
+    whole = parts.groupBy("source_file", "_feature").agg(
+        F.min("source_row_number").alias("source_row_number"), F.array_sort(F.collect_list(F.struct("source_row_number", "_k", text.alias("t")))).alias("_all"),
+        F.min_by("_opened", F.struct("source_row_number", "_k")).alias("_opened"))
+    value = F.ltrim(F.array_join(F.transform("_all", lambda p: p["t"]), ""), F.lit("\n "))
+    return (whole.select(*line, (F.col("_opened") - 1).alias("_place"), value.alias("value")).where(F.get_json_object("value", "$.type") == "Feature"))
+
+
 def read_features(spark: SparkSession, path: str, properties: Sequence[str]) -> DataFrame:
-    """S-2: one row per GeoJSON feature, properties and geometry as exact text, line and place in the line from 1.
+    """S-2: one row per GeoJSON feature, properties and geometry as exact text, first line and place in that line from 1.
 
-    A line may hold a feature, several or a whole collection; a feature that does not end on its line is refused.
+    A line may hold a feature, several or a whole collection. Where a feature does not end on its line, the file must
+    be one collection, laid out over lines in any way. Features that cannot be told apart, and properties that hold an
+    object or an array, are refused. A geometry keeps its own text, whatever it nests.
     """
-    lines = spark.read.text(path)
-    rows = _numbered(lines, ["value"], 1).filter(F.contains("value", F.lit('"Feature"')))
+    rows = _numbered(spark.read.text(path), ["value"], 1)
     found = F.regexp_extract_all("value", F.lit(f"({_FEATURE})"), 1)
-    whole = F.size(found) == F.regexp_count("value", F.lit(_IS_FEATURE))
-    told = F.raise_error(F.concat(F.lit("features not told apart in line "), F.col("source_row_number").cast("string"), F.lit(" of "), F.col("source_file")))
-    rows = rows.select("source_file", "source_row_number", F.posexplode(F.when(whole, found).otherwise(told.cast("array<string>"))).alias("_place", "value"))
+    rows = rows.withColumn("_marks", F.regexp_count("value", F.lit(_IS_FEATURE)).cast("long")).withColumn("_found", F.when(F.col("_marks") > 0, found).otherwise(F.array().cast("array<string>")))
+    # a type may stand on the line after its name
+    whole = (F.size("_found") == F.col("_marks")) & (F.regexp_count("value", F.lit('"Feature"')) <= F.col("_marks"))
+    layout = rows.groupBy("source_file").agg(F.sum("_marks").alias("_told"), F.min(F.when(~whole, F.col("source_row_number"))).alias("_torn"))
+    rows = rows.join(layout, "source_file")
+    flat = rows.where("_torn IS NULL AND _marks > 0").select("source_file", "source_row_number", F.posexplode("_found").alias("_place", "value"))
+    torn = rows.where("_torn IS NOT NULL")
+    spread = _spread_features(torn)
+    counts = spread.groupBy("source_file").agg(F.count(F.lit(1)).alias("_got"))
+    told = F.raise_error(F.concat(F.lit("features not told apart in line "), F.col("_torn").cast("string"), F.lit(" of "), F.col("source_file")))
+    missing = F.coalesce("_got", F.lit(0)) < F.greatest("_told", F.lit(1))
+    refused = layout.where("_torn IS NOT NULL").join(counts, "source_file", "left").select(
+        "source_file", F.col("_torn").alias("source_row_number"), F.lit(0).alias("_place"), F.when(missing, told.cast("string")).alias("value"))
+    rows = flat.unionByName(spread.withColumn("_place", F.col("_place").cast("int"))).unionByName(refused)
     rows = rows.withColumn("source_feature_number", F.col("_place") + 1).drop("_place").filter(F.contains("value", F.lit('"geometry"')))
-    out = {p: feature_property(F.col("value"), p) for p in properties}
-    out["geometry"] = F.nullif(F.regexp_extract("value", '"geometry"[ ]*:[ ]*([{][^{}]*[}])', 1), F.lit(""))
-    return rows.withColumns(out).drop("value")
+    held = F.regexp_extract("value", _PROPERTIES, 1)
+    plain = F.regexp_replace(held, _TEXT, "")
+    nested = F.regexp_count(plain, F.lit(r"[\{\[]")) > 1
+    stop = F.raise_error(F.concat(F.lit("nested property in the feature of line "), F.col("source_row_number").cast("string"), F.lit(" of "), F.col("source_file")))
+    rows = rows.withColumn("_held", F.when(nested, stop.cast("string")).otherwise(held))
+    out = {p: feature_property(F.col("_held"), p) for p in properties}
+    out["geometry"] = F.nullif(F.regexp_extract("value", _GEOMETRY, 1), F.lit(""))
+    # the check of the properties holds even where no property is asked for
+    rows = rows.where(F.col("_held").isNotNull())
+    return rows.withColumns(out).drop("value", "_held")
 
 
 def classify_rows(df: DataFrame, id_col: str, label_col: str, value_cols: Sequence[str],

@@ -202,7 +202,7 @@ def test_all_failures_are_told(spark, table):
 
 
 def test_every_feature_of_a_line_is_read(spark, tmp_path):
-    one = '{"type":"Feature","properties":{"code":"%s","more":{"at":[{"x":"}\\""}]}},"geometry":{"type":"Point","coordinates":[1,2.50]}}'
+    one = '{"type":"Feature","more":{"at":[{"x":"}\\""}]},"properties":{"code":"%s"},"geometry":{"type":"Point","coordinates":[1,2.50]}}'
     last = '{"geometry":{"type":"Point","coordinates":[3,4]},"bbox":[1,2],"properties":{"code":"D"},"type": "Feature"}'
     many = ",".join(one % f"M{k}" for k in range(3000))
     (tmp_path / "f.geojson").write_text("\n".join(['{"type":"FeatureCollection","features":[' + one % "A" + "," + one % "B" + ", " + last + "]}", one % "C" + ",",
@@ -220,6 +220,24 @@ def test_a_feature_over_two_lines_is_refused(spark, tmp_path):
         files.read_features(spark, str(tmp_path / "f.geojson"), []).collect()
 
 
+def test_features_laid_out_freely(spark, tmp_path):
+    one = '{"type": "Feature",\n "properties": {"code": "P%d", "note": "a { [ \\" } ,"},\n "geometry": {"type": "GeometryCollection", "geometries": [\n  {"type": "Point", "coordinates": [1, 2.50]}]}\n}'
+    text = '{"type": "FeatureCollection",\n"name": "x", "crs": {"type": "name", "properties": {"name": {"deep": "Feature"}}},\n"features":\n[' + ", ".join(one % k for k in range(7)) + ',\n{"type":"Feature","properties":{"code":"Q","note":null},"geometry":null}\n]}\n'
+    (tmp_path / "a.geojson").write_text(text)
+    (tmp_path / "b.geojson").write_text('{"type":"Feature","properties":{"code":"B","note":"n"},"geometry":{"type":"Point","coordinates":[3,4]}}\n')
+    got = rows(files.read_features(spark, str(tmp_path), ["code", "note"]), "code", "note", "geometry", "source_feature_number")
+    shape = '{"type": "GeometryCollection", "geometries": [\n  {"type": "Point", "coordinates": [1, 2.50]}]}'
+    assert got == [("B", "n", '{"type":"Point","coordinates":[3,4]}', 1), *[(f"P{k}", 'a { [ " } ,', shape, 1) for k in range(7)], ("Q", None, None, 1)]
+
+
+@pytest.mark.parametrize("line", ['{"type":"Feature","properties":{"a":{"b":2},"code":"X"},"geometry":null}', '{"type":"Feature","properties":{"a":[1],"code":"X"},"geometry":null}'])
+def test_nested_properties_are_refused(spark, tmp_path, line):
+    (tmp_path / "f.geojson").write_text(line)
+    for asked in (["code"], ["a"], []):
+        with pytest.raises(Exception, match="nested property in the feature of line 1"):
+            files.read_features(spark, str(tmp_path / "f.geojson"), asked).collect()
+
+
 def test_a_turn_that_begins_with_blanks_is_a_banner(spark, table, tmp_path):
     from placegrid.queries.sources import s03
 
