@@ -156,11 +156,12 @@ def c14(spark, sf):
 
 @register("c15_copies_and_conflicts", """
 SELECT doc_id, key_rows, key_versions, CASE WHEN key_rows > 1 AND key_versions > 1 THEN 'key_conflicting' WHEN key_rows > 1 AND doc_id <> first_id THEN 'key_identical_copy' ELSE '' END AS reasons
-FROM documents d JOIN (SELECT lang, left(text, 40) AS head, count(*) AS key_rows, count(DISTINCT md5(text)) AS key_versions, min(doc_id) AS first_id FROM documents GROUP BY 1, 2) g
-  ON g.lang = d.lang AND g.head = left(d.text, 40)""")
+FROM documents d JOIN (SELECT lang, source, n_chars, count(*) AS key_rows, count(DISTINCT md5(text)) AS key_versions, min(doc_id) AS first_id FROM documents GROUP BY 1, 2, 3) g
+  ON (g.lang, g.source, g.n_chars) IS NOT DISTINCT FROM (d.lang, d.source, d.n_chars)""")
 def c15(spark, sf):
-    rows = read(spark, sf, "documents").select("doc_id", "lang", F.substring("text", 1, 40).alias("head"), "text")
-    counted = cleaning.with_versions(rows, ["lang", "head"], ["text"], "doc_id").drop("text")
+    """Documents by language, source and length: the same text again is a copy, another one a conflict."""
+    rows = read(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars", "text")
+    counted = cleaning.with_versions(rows, ["lang", "source", "n_chars"], ["text"], "doc_id").drop("text")
     return cleaning.with_reasons(counted, cleaning.duplicate_rules()).select(
         "doc_id", "key_rows", "key_versions", F.array_join("quarantine_reasons", ",").alias("reasons"))
 

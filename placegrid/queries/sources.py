@@ -285,11 +285,19 @@ def s20(spark, sf):
     return publish.read_published(spark, root, "nations")
 
 
-@register("s21_content_hash", """
-WITH rows AS (SELECT md5(CASE WHEN o_custkey IS NULL THEN 'n' ELSE 'v' || length(CAST(o_custkey AS VARCHAR)) || ':' || CAST(o_custkey AS VARCHAR) END || CASE WHEN o_orderkey IS NULL THEN 'n' ELSE 'v' || length(CAST(o_orderkey AS VARCHAR)) || ':' || CAST(o_orderkey AS VARCHAR) END || CASE WHEN o_orderpriority IS NULL THEN 'n' ELSE 'v' || length(CAST(o_orderpriority AS VARCHAR)) || ':' || CAST(o_orderpriority AS VARCHAR) END || CASE WHEN o_orderstatus IS NULL THEN 'n' ELSE 'v' || length(CAST(o_orderstatus AS VARCHAR)) || ':' || CAST(o_orderstatus AS VARCHAR) END) AS d FROM orders)
+_FRAMED = " || ".join(f"CASE WHEN {c} IS NULL THEN 'n' ELSE 'v' || length({c}) || ':' || {c} END" for c in (
+    "o_custkey", "o_orderdate", "o_orderkey", "o_orderpriority", "o_orderstatus", "o_totalprice"))
+
+
+@register("s21_content_hash", f"""
+WITH texts AS (SELECT o_custkey::VARCHAR AS o_custkey, strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate, o_orderkey::VARCHAR AS o_orderkey, o_orderpriority, o_orderstatus,
+                      o_totalprice::DECIMAL(18, 2)::VARCHAR AS o_totalprice FROM orders),
+rows AS (SELECT md5({_FRAMED}) AS d FROM texts)
 SELECT count(*) AS row_count, CAST(sum(CAST(('0x' || substr(d, 1, 16)) AS HUGEINT)) AS VARCHAR) || '-' || CAST(sum(CAST(('0x' || substr(d, 17, 16)) AS HUGEINT)) AS VARCHAR) AS content_sum FROM rows""")
 def s21(spark, sf):
-    return publish.content_hash(read(spark, sf, "orders"), without=["o_totalprice", "o_orderdate"])
+    """Every column takes part; price and date have one written form, as a decimal and an ISO day."""
+    rows = read(spark, sf, "orders").withColumn("o_totalprice", F.col("o_totalprice").cast("decimal(18,2)")).withColumn("o_orderdate", F.date_format("o_orderdate", "yyyy-MM-dd"))
+    return publish.content_hash(rows)
 
 
 @register("s22_publisher_summary", """
