@@ -255,3 +255,17 @@ def values_preserved(before: DataFrame, after: DataFrame, key: Sequence[str], pa
     joined = left.join(right, [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in key], "full_outer")
     lost = F.col("a._in").isNull() | F.col("b._in").isNull()
     return run_checks(joined, [zero(f"{a}_preserved", lost | ~F.col(f"a.{a}").eqNullSafe(F.col(f"b.{b}"))) for a, b in pairs.items()])
+
+
+def batches_reconcile(rows: DataFrame, batches: DataFrame, name: str = "succeeded_batches_reconcile", content: str = "source_sha256",
+                      status: str = "status", source_rows: str = "source_rows", expected_rows: str = "expected_rows") -> DataFrame:
+    """Q-24: every succeeded batch has as many rows as its file had, and the file as many as were expected.
+
+    Rows are counted per file before they meet the batches; a count that is missing on either side is a mismatch.
+    """
+    counted = rows.groupBy(F.col(content).alias("_content")).agg(F.count(F.lit(1)).alias("_n"))
+    met = batches.where(F.col(status) == "succeeded").join(counted, F.col(content).eqNullSafe(F.col("_content")), "left")
+    right = F.coalesce((F.col("_n") == F.col(source_rows)) & (F.col(source_rows) == F.col(expected_rows)), F.lit(False))
+    wrong = met.agg(F.count_if(~right).alias("_wrong"))
+    return wrong.select(F.lit(name).alias("check_name"), F.when(F.col("_wrong") == 0, "PASS").otherwise("FAIL").alias("status"),
+                        F.lit("0").alias("expected"), F.col("_wrong").cast("string").alias("actual"))

@@ -13,9 +13,9 @@ STATUSES = ("matched", "ambiguous", "unmatched", "excluded")
 
 
 def bronze_gate(rows: DataFrame, batches: DataFrame, identity: Sequence[str] = ("source_sha256", "source_row_number")) -> DataFrame:
-    """No row twice, every row of a known batch."""
+    """No row twice, every row of a known batch, every succeeded batch with the rows of its file."""
     return gates.all_checks(gates.key_checks(rows, identity, "no_pipeline_duplicates"),
-                            gates.foreign_key(rows, "batch_id", batches, "batch_id", "rows_have_a_known_batch"))
+                            gates.foreign_key(rows, "batch_id", batches, "batch_id", "rows_have_a_known_batch"), gates.batches_reconcile(rows, batches))
 
 
 def silver_gate(source: DataFrame, clean: DataFrame, quarantine: DataFrame, key: Sequence[str], run_id: str, reasons: Sequence[str],

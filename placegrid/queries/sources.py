@@ -247,6 +247,32 @@ def s16(spark, sf):
     return ingest.batch_state(waiting, checks, finished)
 
 
+# Every order is a batch and every line an event of its log, with retries, illegal steps and unknown events among them.
+_EVENTS = ("start", "load", "succeed", "fail", "block", "rerun", "start", "load", "other")
+_EVENT_LIST = ", ".join(f"'{e}'" for e in _EVENTS)
+_STEP_ROWS = ", ".join(f"('{a}', '{e}', '{b}')" for (a, e), b in ingest.BATCH_STEPS.items())
+
+
+@register("s16_batch_log", f"""
+WITH RECURSIVE log AS (
+  SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY l_linenumber, event) AS n
+  FROM (SELECT l_orderkey AS batch_id, l_linenumber, [{_EVENT_LIST}][1 + (l_partkey + l_linenumber * l_suppkey) % {len(_EVENTS)}] AS event FROM lineitem)),
+steps(state, event, next) AS (VALUES {_STEP_ROWS}),
+fold AS (
+  SELECT DISTINCT batch_id, 0::BIGINT AS n, 'new' AS status, 0::BIGINT AS attempts, 0::BIGINT AS refused FROM log
+  UNION ALL
+  SELECT f.batch_id, l.n, coalesce(s.next, f.status), f.attempts + (s.next IS NOT NULL AND l.event IN ('start', 'rerun'))::BIGINT, f.refused + (s.next IS NULL)::BIGINT
+  FROM fold f JOIN log l ON l.batch_id = f.batch_id AND l.n = f.n + 1 LEFT JOIN steps s ON s.state = f.status AND s.event = l.event)
+SELECT batch_id, arg_max(status, n) AS status, max(attempts) AS attempts, max(refused) AS refused FROM fold GROUP BY batch_id""")
+def s16_log(spark, sf):
+    """The first lines of every log are folded first, and the fold goes on from there with the rest."""
+    names = F.array(*[F.lit(e) for e in _EVENTS])
+    log = read(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("batch_id"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("event_number"), "l_linenumber",
+        F.get(names, ((F.col("l_partkey") + F.col("l_linenumber") * F.col("l_suppkey")) % len(_EVENTS)).cast("int")).alias("event"))
+    return ingest.batch_life_cycle(log.where("l_linenumber > 3"), ingest.batch_life_cycle(log.where("l_linenumber <= 3")))
+
+
 @register("s17_current_version_per_period", """
 SELECT batch_id, source_id, period, delivery_version FROM (SELECT o_orderkey AS batch_id, o_custkey AS source_id, strftime(o_orderdate, '%Y-%m') AS period, o_orderkey AS delivery_version,
   row_number() OVER (PARTITION BY o_custkey, strftime(o_orderdate, '%Y-%m') ORDER BY o_orderkey DESC) AS r FROM orders WHERE o_orderstatus <> 'F') WHERE r = 1""")

@@ -136,6 +136,54 @@ def batch_state(batches: DataFrame, checks: DataFrame, reconciled: DataFrame, ba
                         .when(F.col("_ok"), "succeeded").otherwise("failed")).drop("_blocked", "_ok"))
 
 
+# The states of a batch and the event that leads from one to another. Anything else is refused.
+BATCH_STATES = ("new", "validating", "loading", "succeeded", "failed", "blocked")
+BATCH_STEPS = {
+    ("new", "start"): "validating", ("validating", "start"): "validating", ("loading", "start"): "validating", ("failed", "start"): "validating",
+    ("blocked", "start"): "validating", ("succeeded", "rerun"): "validating", ("validating", "block"): "blocked", ("validating", "load"): "loading",
+    ("validating", "fail"): "failed", ("loading", "fail"): "failed", ("loading", "succeed"): "succeeded",
+}
+_TOLD = "struct<first:string,status:string,attempts:bigint,refused:bigint>"
+
+
+def batch_life_cycle(events: DataFrame, before: DataFrame | None = None, batch: str = "batch_id", number: str = "event_number",
+                     event: str = "event", block: int = 100_000) -> DataFrame:
+    """S-16: status, attempts and refused events of every batch of an append-only log, in the order of ``number``.
+
+    An event that the state does not allow is refused: it changes nothing and is counted. Each (re)start is an attempt.
+    ``before`` is an earlier result of this function, from which the fold goes on with later events. What a run of
+    events does to every possible state is itself a step, and steps can be put together in any grouping: so runs of
+    ``block`` log numbers are folded apart, and then one row for each run. A missing or unknown event is refused; events with one
+    number go by name.
+    """
+    steps = F.create_map(*[F.lit(x) for (state, name), to in BATCH_STEPS.items() for x in (f"{state}/{name}", to)])
+    told = lambda first, status, attempts, refused: F.struct(
+        first.alias("first"), status.alias("status"), attempts.alias("attempts"), refused.alias("refused")).cast(_TOLD)
+    start = F.array(*[told(F.lit(s), F.lit(s), F.lit(0), F.lit(0)) for s in BATCH_STATES])
+
+    def after(acc, e):
+        def moved(x):
+            to = F.try_element_at(steps, F.concat(x["status"], F.lit("/"), F.coalesce(e, F.lit(""))))
+            opened = (to.isNotNull() & e.isin("start", "rerun")).cast("bigint")
+            return told(x["first"], F.coalesce(to, x["status"]), x["attempts"] + opened, x["refused"] + to.isNull().cast("bigint"))
+        return F.transform(acc, moved)
+
+    runs = events.groupBy(F.col(batch).alias("_batch"), F.floor(F.col(number) / block).alias("_run")).agg(
+        F.array_sort(F.collect_list(F.struct(F.col(number).alias("n"), F.col(event).alias("e")))).alias("_events"))
+    runs = runs.select("_batch", "_run", F.aggregate(F.transform("_events", lambda x: x["e"]), start, after).alias("_steps"))
+    known = before.select(F.col(batch).alias("_batch"), told(F.lit("new"), F.col("status"), F.col("attempts"), F.col("refused")).alias("_known")) if before is not None else None
+    whole = runs.groupBy("_batch").agg(F.array_sort(F.collect_list(F.struct("_run", "_steps"))).alias("_runs"))
+    whole = whole.join(known, "_batch", "full_outer") if known is not None else whole.withColumn("_known", F.lit(None).cast(_TOLD))
+
+    def then(acc, run):
+        x = F.filter(run["_steps"], lambda s: s["first"] == acc["status"])[0]
+        return told(acc["first"], x["status"], acc["attempts"] + x["attempts"], acc["refused"] + x["refused"])
+
+    fresh = told(F.lit("new"), F.lit("new"), F.lit(0), F.lit(0))
+    end = F.aggregate(F.coalesce("_runs", F.array().cast("array<struct<_run:bigint,_steps:array<" + _TOLD + ">>>")), F.coalesce("_known", fresh), then)
+    return whole.select(F.col("_batch").alias(batch), end.alias("_end")).select(batch, "_end.status", "_end.attempts", "_end.refused")
+
+
 def reconcile_summary(rows: DataFrame, summary: DataFrame, level: str, value: str) -> DataFrame:
     """S-22: units and totals per level beside the publisher's own summary, WARN only."""
     counted = rows.groupBy(level).agg(F.count("*").alias("units"), F.sum(value).alias("total"))

@@ -23,8 +23,11 @@ def test_layer_gates(table):
     broken = clean.withColumn("std", F.when(F.col("id") != "000001", F.col("std"))).withColumn("id", F.when(F.col("id") == "000002", "000003").otherwise(F.col("id")))
     assert failed(gate(broken)) == {"pub_mapped", "key_unique"}
     assert failed(gate(clean.limit(298))) == {"rows_reconcile"}
-    assert failed(plan.bronze_gate(clean, table([("b1",)], "batch_id string"))) == set()
-    assert failed(plan.bronze_gate(clean.union(clean.limit(1)), table([("b2",)], "batch_id string"))) == {"no_pipeline_duplicates_unique", "rows_have_a_known_batch"}
+    batches = lambda *r: table(list(r), "batch_id string, source_sha256 string, status string, source_rows int, expected_rows int")
+    assert failed(plan.bronze_gate(clean, batches(("b1", "h", "succeeded", 299, 299), ("b0", "g", "failed", 5, 5)))) == set()
+    assert failed(plan.bronze_gate(clean.union(clean.limit(1)), batches(("b2", "h", "succeeded", 299, 299)))) == {
+        "no_pipeline_duplicates_unique", "rows_have_a_known_batch", "succeeded_batches_reconcile"}
+    assert failed(plan.bronze_gate(clean, batches(("b1", "h", "succeeded", 299, 300)))) == {"succeeded_batches_reconcile"}
 
 
 def test_map_and_model_gates(table):

@@ -243,3 +243,32 @@ def test_a_turn_that_begins_with_blanks_is_a_banner(spark, table, tmp_path):
 
     table([("c", 2, "assistant", "     and so on")], "conv_id string, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
     assert rows(s03(spark, str(tmp_path)), "source_row_kind") == [("banner",)]
+
+
+@pytest.mark.parametrize("block", [4, 100_000])
+def test_batch_log_is_folded_in_any_grouping(table, block):
+    import random
+
+    from placegrid.sources import ingest
+
+    rng = random.Random(1)
+    log = [(n, rng.choice("abc"), rng.choice(["start", "start", "load", "succeed", "fail", "block", "rerun", "other", None])) for n in range(400)] + [(401, "d", "load")]
+    want = {}
+    for _, batch, event in log:
+        status, attempts, refused = want.get(batch, ("new", 0, 0))
+        to = ingest.BATCH_STEPS.get((status, event))
+        want[batch] = (to or status, attempts + (to is not None and event in ("start", "rerun")), refused + (to is None))
+    rows_of = lambda some: table(rng.sample(some, len(some)), "event_number long, batch_id string, event string")
+    half = ingest.batch_life_cycle(rows_of(log[:150]), block=block)
+    for found in (ingest.batch_life_cycle(rows_of(log), block=block), ingest.batch_life_cycle(rows_of(log[150:]), half, block=block)):
+        assert {r["batch_id"]: (r["status"], r["attempts"], r["refused"]) for r in found.collect()} == want
+
+
+def test_succeeded_batches_reconcile(table):
+    from placegrid.operators import gates
+
+    stored = table([("f1",), ("f1",), ("f2",), ("f4",), (None,)], "source_sha256 string")
+    batches = lambda *r: table(list(r), "source_sha256 string, status string, source_rows int, expected_rows int")
+    check = lambda b: tuple(gates.batches_reconcile(stored, b).first())[1:]
+    assert check(batches(("f1", "succeeded", 2, 2), ("f2", "failed", 9, 9))) == ("PASS", "0", "0")
+    assert check(batches(("f1", "succeeded", 3, 3), ("f2", "succeeded", 1, 2), ("f3", "succeeded", 0, 0), ("f4", "succeeded", 1, None))) == ("FAIL", "0", "4")
