@@ -272,7 +272,7 @@ def c29(spark, sf):
 @register("c30_banner_carry_forward", """
 SELECT conv_id, turn, role, md5(last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)) AS banner FROM conversations""")
 def c30(spark, sf):
-    rows = reshape.carry_banner(read(spark, sf, "conversations"), ["conv_id"], "turn", F.col("role") == "user", "text", "banner", block=2)
+    rows = reshape.carry_banner(read(spark, sf, "conversations"), ["conv_id"], "turn", F.col("role") == "user", "text", "banner")
     return rows.select("conv_id", "turn", "role", F.md5("banner").alias("banner"))
 
 
@@ -280,7 +280,7 @@ def c30(spark, sf):
 SELECT event_id, last_value(CASE WHEN event_type = 'purchase' THEN user_id END IGNORE NULLS) OVER (ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS last_buyer FROM events""")
 def c30_whole(spark, sf):
     rows = read(spark, sf, "events").select("event_id", "event_type", "user_id").withColumn("sheet", F.lit("events"))
-    return reshape.carry_banner(rows, ["sheet"], "event_id", F.col("event_type") == "purchase", "user_id", "last_buyer", block=1000).select("event_id", "last_buyer")
+    return reshape.carry_banner(rows, ["sheet"], "event_id", F.col("event_type") == "purchase", "user_id", "last_buyer").select("event_id", "last_buyer")
 
 
 @register("c31_section_grouping", """
@@ -289,7 +289,7 @@ SELECT n.conv_id, n.turn, n.section, h.turn AS head_turn FROM (
 LEFT JOIN (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS section FROM conversations WHERE role = 'user') h ON h.conv_id = n.conv_id AND h.section = n.section""")
 def c31(spark, sf):
     rows = read(spark, sf, "conversations").select("conv_id", "turn", "role")
-    return reshape.sections_with_head(rows, ["conv_id"], "turn", F.col("role") == "user", {"head_turn": "turn"}, block=2).select("conv_id", "turn", "section", "head_turn")
+    return reshape.sections_with_head(rows, ["conv_id"], "turn", F.col("role") == "user", {"head_turn": "turn"}).select("conv_id", "turn", "section", "head_turn")
 
 
 @register("c32_periods_to_rows", """

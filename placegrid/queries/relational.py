@@ -182,7 +182,7 @@ def w05(spark, sf):
     from placegrid.operators.scale import running_sum
 
     rows = read(spark, sf, "orders").select("o_orderkey", "o_custkey").withColumn("sheet", F.lit(1))
-    return running_sum(rows, ["sheet"], "o_orderkey", {"running": "o_custkey"}, block=2000).select("o_orderkey", "running")
+    return running_sum(rows, ["sheet"], "o_orderkey", {"running": "o_custkey"}).select("o_orderkey", "running")
 
 
 @register("w06_top_k", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC NULLS LAST, o_orderkey LIMIT 25")

@@ -146,3 +146,18 @@ def test_parents_of_a_deep_tree(spark):
     spans = spark.createDataFrame([("s", i, 8) for i in range(1, 8)], "sheet string, start_pos long, end_pos long")
     got = {r["pos"]: r["parent_pos"] for r in hierarchy.tree_from_spans(places, spans, ["sheet"], "pos", "name", block=3).collect()}
     assert got == {1: None} | {i: i - 1 for i in range(2, 9)}
+
+
+@pytest.mark.parametrize("block", [2, 100_000])
+def test_banners_and_sections_go_over_blocks(numbered, block):
+    from placegrid.operators import reshape
+
+    w = Window.partitionBy("g").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    starts = F.coalesce(F.col("v") > 40, F.lit(False))
+    label = F.when(starts, F.col("pos").cast("string"))
+    texts = numbered.withColumn("label", F.col("pos").cast("string"))
+    want = numbered.withColumn("banner", F.last(label, ignorenulls=True).over(w))
+    assert rows(reshape.carry_banner(texts, ["g"], "pos", starts, "label", "banner", block), "g", "pos", "banner") == rows(want, "g", "pos", "banner")
+    got = reshape.sections_with_head(numbered, ["g"], "pos", starts, {"head": "pos"}, block)
+    want = want.withColumn("section", F.coalesce(F.sum(starts.cast("int")).over(w), F.lit(0))).withColumn("head", F.col("banner").cast("bigint"))
+    assert rows(got, "g", "pos", "section", "head") == rows(want, "g", "pos", "section", "head")
