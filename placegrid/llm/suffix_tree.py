@@ -43,46 +43,91 @@ def _from_planes(data: bytes, kind: str) -> np.ndarray:
 
 
 def _requests(block: str, keys: np.ndarray, sums: np.ndarray, bits: int):
-    """Rows for each shard of the sorted ``keys``; ``sums`` has a row for each quantity."""
+    """Rows for each shard of the sorted ``keys``; ``sums`` are counts, or have a row for each real quantity."""
     cuts = np.searchsorted(keys >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
     for shard in np.flatnonzero(np.diff(cuts)):
         own = slice(cuts[shard], cuts[shard + 1])
-        yield block, int(shard), _planes(np.diff(keys[own], prepend=np.uint64(0))), _planes(np.ascontiguousarray(sums[:, own].ravel()))
+        told = _counts_as_bytes(sums[own]) if sums.ndim == 1 else _planes(np.ascontiguousarray(sums[:, own].ravel()))
+        yield block, int(shard), _planes(np.diff(keys[own], prepend=np.uint64(0))), told
 
 
-def _answer(quantities: int):
+def _counts_as_bytes(values: np.ndarray) -> bytes:
+    """Whole numbers in as few planes as the largest needs, with the number of planes in front."""
+    width = max(1, (int(values.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([width]) + np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T[:width]).tobytes()
+
+
+def _counts_from_bytes(data: bytes) -> np.ndarray:
+    width = data[0]
+    planes = np.frombuffer(data, np.uint8, offset=1).reshape(width, -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, :width] = planes.T
+    return out.view("<u8").ravel()
+
+
+def _answer(least: int):
+    """Adds up counts of one shard: every block gets those of its keys that are ``least`` or more, and which of these it
+    is the first to hold. A bit map tells which keys they are; the others count as zero from then on."""
     def run(asked: pd.DataFrame) -> pd.DataFrame:
-        """Adds up one shard: every block gets the sums of its keys, and which of them it is the first to hold."""
         asked = asked.sort_values("block")
         keys = [np.cumsum(_from_planes(k, "<u8"), dtype=np.uint64) for k in asked["keys"]]
-        sums = [_from_planes(s, "<f8").reshape(quantities, -1) for s in asked["sums"]]
         cuts = np.cumsum([0] + [len(k) for k in keys])
         distinct, first, place = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
-        total = np.stack([np.bincount(place, weights=q, minlength=len(distinct)) for q in np.concatenate(sums, axis=1)])
+        total = np.bincount(place, weights=np.concatenate([_counts_from_bytes(s) for s in asked["sums"]]), minlength=len(distinct)).astype(np.int64)
         own = np.zeros(len(place), np.uint8)
         own[first] = 1
-        rows = [(b, s, _planes(np.ascontiguousarray(total[:, place[i:j]].ravel())), np.packbits(own[i:j]).tobytes(), j - i)
-                for b, s, i, j in zip(asked["block"], asked["shard"], cuts, cuts[1:])]
+        told = total[place]
+        rows = []
+        for b, s, i, j in zip(asked["block"], asked["shard"], cuts, cuts[1:]):
+            kept = told[i:j] >= least
+            rows.append((b, s, _counts_as_bytes(told[i:j][kept]), np.packbits(kept).tobytes() + np.packbits(own[i:j]).tobytes(), j - i))
         out = pd.DataFrame(rows, columns=["block", "shard", "sums", "own", "n"])
         out["types"], out["tokens"] = 0, 0.0
-        out.loc[0, "types"], out.loc[0, "tokens"] = int((total[0] > 0).sum()), float(total[0].sum())
+        out.loc[0, "types"], out.loc[0, "tokens"] = int((total > 0).sum()), float(total.sum())
         return out
     return run
 
 
-def _exchange(asked: DataFrame, quantities: int) -> DataFrame:
+def _answer_sums(quantities: int):
+    """Adds up several real quantities of one shard for every block that asks."""
+    def run(asked: pd.DataFrame) -> pd.DataFrame:
+        asked = asked.sort_values("block")
+        keys = [np.cumsum(_from_planes(k, "<u8"), dtype=np.uint64) for k in asked["keys"]]
+        sums = [_from_planes(s, "<f8").reshape(quantities, -1) for s in asked["sums"]]
+        cuts = np.cumsum([0] + [len(k) for k in keys])
+        distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
+        total = np.stack([np.bincount(place, weights=q, minlength=len(distinct)) for q in np.concatenate(sums, axis=1)])
+        return pd.DataFrame([(b, s, _planes(np.ascontiguousarray(total[:, place[i:j]].ravel())), b"", j - i, 0, 0.0)
+                             for b, s, i, j in zip(asked["block"], asked["shard"], cuts, cuts[1:])],
+                            columns=["block", "shard", "sums", "own", "n", "types", "tokens"])
+    return run
+
+
+def _exchange(asked: DataFrame, answer) -> DataFrame:
     return materialize(asked.groupBy("shard").applyInPandas(
-        _answer(quantities), "block string, shard int, sums binary, own binary, n long, types long, tokens double"))
+        answer, "block string, shard int, sums binary, own binary, n long, types long, tokens double"))
 
 
-def _answered(pdf: pd.DataFrame, quantities: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sums and first-holder marks in the order of the block's sorted keys."""
+def _counted(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Counts and first-holder marks in the order of the block's sorted keys."""
+    pdf = pdf[pdf["shard"] >= 0].sort_values("shard")
+    counts, marks = [np.zeros(0, np.int64)], [np.zeros(0, bool)]
+    for sums, bits, n in zip(pdf["sums"], pdf["own"], pdf["n"]):
+        half = (n + 7) // 8
+        kept = np.unpackbits(np.frombuffer(bits, np.uint8, half), count=n).astype(bool)
+        own = np.zeros(n, np.int64)
+        own[kept] = _counts_from_bytes(sums)
+        counts.append(own)
+        marks.append(np.unpackbits(np.frombuffer(bits, np.uint8, half, half), count=n).astype(bool))
+    return np.concatenate(counts), np.concatenate(marks)
+
+
+def _answered(pdf: pd.DataFrame, quantities: int) -> np.ndarray:
+    """Sums in the order of the block's sorted keys."""
     pdf = pdf[pdf["shard"] >= 0].sort_values("shard")
     if pdf.empty:
-        return np.zeros((quantities, 0)), np.zeros(0, bool)
-    sums = [_from_planes(s, "<f8").reshape(quantities, -1) for s in pdf["sums"]]
-    own = [np.unpackbits(np.frombuffer(o, np.uint8), count=n) for o, n in zip(pdf["own"], pdf["n"])]
-    return np.concatenate(sums, axis=1), np.concatenate(own).astype(bool)
+        return np.zeros((quantities, 0))
+    return np.concatenate([_from_planes(s, "<f8").reshape(quantities, -1) for s in pdf["sums"]], axis=1)
 
 
 # --- blocks --------------------------------------------------------------------------------------------------------
@@ -157,7 +202,7 @@ def _cut(folder: str, bits: int):
         put_file(f"{folder}/{name}.vocabulary", lambda sink: pq.write_table(vocab, sink, compression="zstd", use_dictionary=False, column_encoding="DELTA_BINARY_PACKED"))
         _save(f"{folder}/{name}.tokens", token=tokens.astype(np.int32))
         trained = np.bincount(tokens, weights=np.repeat(~held, lengths), minlength=len(vocabulary))
-        rows = list(_requests(name, vocabulary, trained[None, :], bits))
+        rows = list(_requests(name, vocabulary, trained, bits))
         return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), (pa.string(), pa.int32(), pa.binary(), pa.binary()))],
                                           names=["block", "shard", "keys", "sums"])
 
@@ -184,20 +229,20 @@ def _grow(folder: str, n: int, frequent: int, bits: int):
         places = block.asked(n, frequent)
         keys, place = np.unique(block.grams(n)[places], return_inverse=True)
         seen = np.bincount(place, weights=block.trained[places], minlength=len(keys))
-        return pd.DataFrame(list(_requests(block.name, keys, seen[None, :], bits)), columns=["block", "shard", "keys", "sums"])
+        return pd.DataFrame(list(_requests(block.name, keys, seen, bits)), columns=["block", "shard", "keys", "sums"])
     return run
 
 
 def _take(block: Block, pdf: pd.DataFrame, n: int, frequent: int) -> None:
     """Stores the counts of n words at each place, and where a gram stands that this block is the first to hold."""
-    sums, own = _answered(pdf, 1)
+    found, own = _counted(pdf)
     if n == 1:
-        block.put("count1", count=sums[0].astype(np.int64))
+        block.put("count1", count=found)
         return
     places = block.asked(n, frequent)
     _, first, place = np.unique(block.grams(n)[places], return_index=True, return_inverse=True)
     counts, mine = np.zeros(len(block.tokens), np.int64), np.zeros(len(block.tokens), bool)
-    counts[places] = sums[0].astype(np.int64)[place]
+    counts[places] = found[place]
     mine[places[first[own]]] = True
     block.put(f"count{n}", count=counts, own=mine)
 
@@ -238,7 +283,7 @@ def _scores(folder: str, depth: int, frequent: int, discount: float, threshold:
         cuts = np.cumsum(block.lengths) - block.lengths
         base = np.add.reduceat(np.log10(chance), cuts)
         known = np.add.reduceat((counts > 0).astype(np.int64), cuts)
-        (gain, seen, kinds), _ = _answered(pdf, 3)
+        gain, seen, kinds = _answered(pdf, 3)
         keys, places = _contexts(block, depth, frequent)
         before = counts
         for n, at in enumerate(places, 2):
@@ -278,14 +323,14 @@ def score(docs: DataFrame, depth: int = 2, frequent: int = 16, threshold: float
     def by_block(answers):  # a block that had nothing to ask takes part all the same
         return answers.select("block", "shard", "sums", "own", "n").unionByName(waiting).groupBy("block")
 
-    answers = _exchange(asked, 1)
+    answers = _exchange(asked, _answer(1))
     forget(asked)
     types, tokens = answers.agg(F.sum("types"), F.sum("tokens")).first()
     if types is None:
         return spark.createDataFrame([], schema).withColumnRenamed("id", key)
     for n in range(2, depth + 2):
-        taken, answers = answers, _exchange(by_block(answers).applyInPandas(_grow(folder, n, frequent, bits), _ASK), 1)
+        taken, answers = answers, _exchange(by_block(answers).applyInPandas(_grow(folder, n, frequent, bits), _ASK), _answer(2))
         forget(taken)
-    taken, answers = answers, _exchange(by_block(answers).applyInPandas(_gains(folder, depth, frequent, discount, bits, tokens), _ASK), 3)
+    taken, answers = answers, _exchange(by_block(answers).applyInPandas(_gains(folder, depth, frequent, discount, bits, tokens), _ASK), _answer_sums(3))
     forget(taken)
     return by_block(answers).applyInPandas(_scores(folder, depth, frequent, discount, threshold, tokens, types), schema).withColumnRenamed("id", key)
