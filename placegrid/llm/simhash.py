@@ -176,7 +176,7 @@ def links(prints: DataFrame, radius: int = RADIUS, tree: int = TREE) -> DataFram
 
 # --- the operator --------------------------------------------------------------------------------------------------
 
-def _piece_of(marked: DataFrame, radius: int) -> DataFrame:
+def components_of(marked: DataFrame, radius: int = RADIUS) -> DataFrame:
     """fp and root for every distinct fingerprint; the root is some fingerprint of the component."""
     prints = materialize(marked.select("fp").distinct())
     found = roots(links(prints, radius))
@@ -191,7 +191,7 @@ def near_groups(docs: DataFrame, radius: int = RADIUS, size: int = 3, key: str =
     gives no rows. Other columns are ignored. The key must be an integer.
     """
     marked = materialize(docs.select(F.col(text).alias("text"), F.col(key).cast("long").alias("id")).mapInArrow(_fingerprints(size), "fp long, id long"))
-    pieces = materialize(_piece_of(marked, radius))
+    pieces = materialize(components_of(marked, radius))
     least = marked.groupBy("fp").agg(F.min("id").alias("id")).join(pieces, "fp").groupBy("root").agg(F.min("id").alias("component_id"))
     named = pieces.join(least, "root").select("fp", "component_id")
     return marked.join(named, "fp").select(F.col("id").alias(key), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -206,5 +206,5 @@ def keep_one(docs: DataFrame, radius: int = RADIUS, size: int = 3, key: str = "d
     own = F.col(f"c{columns.index(key)}")
     order = F.struct(own.isNull().alias("missing"), own.alias("id"), F.col("place").alias("place"))
     first = marked.groupBy("fp").agg(F.min(order).alias("best"))
-    kept = first.join(_piece_of(marked, radius), "fp").groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.place").alias("place"))
+    kept = first.join(components_of(marked, radius), "fp").groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.place").alias("place"))
     return marked.join(kept, "place", "left_semi").select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(columns)])
