@@ -86,15 +86,16 @@ def with_scopes(records: DataFrame, scopes: Sequence[tuple[int, Column]], scope:
 
 def first_code_rule(records: DataFrame, record_key: Sequence[str], units: DataFrame, code: str,
                     rules: Sequence[tuple[str, Column, str]], names_agree: Column | None = None,
-                    name_columns: Sequence[str] = ()) -> DataFrame:
+                    name_columns: Sequence[str] = (), same_names: Sequence[str] = ()) -> DataFrame:
     """I-6/I-7: ordered code rules ``(method, record expression, unit column)``; the first that names a unit wins.
 
     ``names_agree`` may read ``l.*`` (the record's ``name_columns``) and ``u.*`` (unit); a rule whose names disagree
-    does not count. Each distinct (code, names) is looked up once, whatever the number of records that carry it, and
+    does not count. Where names agree if they are equal, ``same_names`` lists them instead: records and units then meet
+    on code and names, and no pair is made of a code that many carry. Each distinct (code, names) is looked up once, whatever the number of records that carry it, and
     without names the units are reduced to one row per code first. Adds ``rule, hits, code, any_code`` (the first
     code named, agreeing or not).
     """
-    names = list(name_columns)
+    names = list(dict.fromkeys([*name_columns, *same_names]))
     wanted = F.array(*[F.struct(F.lit(i + 1).alias("rule"), F.lit(col).alias("via"), expr.alias("wanted"))
                        for i, (_, expr, col) in enumerate(rules)])
     asked = (records.withColumn("_w", F.explode(wanted)).select(*dict.fromkeys([*record_key, *names]), "_w.*")
@@ -105,7 +106,12 @@ def first_code_rule(records: DataFrame, record_key: Sequence[str], units: DataFr
     offered = units.withColumn("_o", F.explode(F.array(*[
         F.struct(F.lit(v).alias("via"), F.col(v).alias("wanted")) for v in vias]))).select(
         *units.columns, "_o.*").filter(F.col("wanted").isNotNull())
-    if names_agree is None:
+    if same_names and names_agree is None:
+        by_code = offered.groupBy("via", "wanted").agg(F.min(code).alias("any_code"))
+        by_name = offered.groupBy("via", "wanted", *same_names).agg(F.count_distinct(code).alias("hits"), F.min(code).alias("code"))
+        found = (distinct.join(by_code, ["via", "wanted"]).join(by_name, ["via", "wanted", *same_names], "left")
+                 .select(*lookup, F.coalesce("hits", F.lit(0)).alias("hits"), "code", "any_code"))
+    elif names_agree is None:
         per_code = offered.groupBy("via", "wanted").agg(F.count_distinct(code).alias("hits"), F.min(code).alias("_code"))
         found = distinct.join(per_code, ["via", "wanted"]).select(
             *lookup, "hits", F.col("_code").alias("code"), F.col("_code").alias("any_code"))

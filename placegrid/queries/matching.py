@@ -152,7 +152,7 @@ SELECT record_id, min(rule) FILTER (WHERE hits > 0) AS rule, min_by(hits, rule)
 FROM per_rule GROUP BY 1""")
 def i06(spark, sf):
     rules = [("code", F.col("direct"), "code"), ("correspondence_code", F.col("older"), "correspondence")]
-    return matching.first_code_rule(_code_records(spark, sf), ["record_id"], _code_units(spark, sf), "code", rules, F.col("l.k_wordless") == F.col("u.k_wordless"), ["k_wordless"])
+    return matching.first_code_rule(_code_records(spark, sf), ["record_id"], _code_units(spark, sf), "code", rules, same_names=["k_wordless"])
 
 
 @register("i07_code_crosswalk", f"""WITH {_CODES_SQL}

@@ -19,3 +19,14 @@ def test_lines_are_summed_per_order_once(spark):
     for build in (star.wide_cells, star.rooms, star.teachers):
         read = build(spark, SF).inputFiles()
         assert read and not any("lineitem" in name for name in read)
+
+
+def test_same_names_give_what_compared_pairs_give(spark):
+    rng = random.Random(3)
+    pick = lambda most: rng.choice([None, *[f"n{k}" for k in range(most)]])
+    records = spark.createDataFrame([(k, pick(40), pick(5), pick(6)) for k in range(200)], "id long, direct string, older string, name string")
+    units = spark.createDataFrame([(f"n{k}", pick(5), pick(6)) for k in range(60)], "code string, older string, name string")
+    rules = [("code", F.col("direct"), "code"), ("older", F.col("older"), "older")]
+    pairs = matching.first_code_rule(records, ["id"], units, "code", rules, F.col("l.name") == F.col("u.name"), ["name"])
+    equal = matching.first_code_rule(records, ["id"], units, "code", rules, same_names=["name"])
+    assert equal.columns == pairs.columns and sorted(map(str, equal.collect())) == sorted(map(str, pairs.collect())) and pairs.where("hits > 1").count() > 5
