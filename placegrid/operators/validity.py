@@ -7,7 +7,7 @@ of edges is tested once, in the first band that both reach.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from placegrid.functions import geo
 from placegrid.session import materialize
@@ -35,21 +35,23 @@ def _edge_array(shape: Column) -> Column:
 
 
 def banded_edges(shapes: DataFrame, key: str, geometry: str, per_band: int = 4) -> DataFrame:
-    """One row per edge and band it reaches: key, number in the shape, ring and place, end points, first and last band.
+    """One row per edge and band it reaches; ``geometry`` is text or parsed by ``polygons``. Columns: key, number in the shape, ring and place, end points, first and last band.
 
     x and y are exchanged for shapes that are wider than high, which no test here minds.
     """
+    parsed = F.col(geometry) if isinstance(shapes.schema[geometry].dataType, T.ArrayType) else polygons(geometry)
     reach = lambda pick, a, b: F.transform("_edges", lambda e: pick(e[a], e[b]))
     side = lambda a, b: F.array_max(reach(F.greatest, a, b)) - F.array_min(reach(F.least, a, b))
-    rows = shapes.select(key, _edge_array(polygons(geometry)).alias("_edges")).where(F.size("_edges") > 0)
+    # written, so that the edges are made once: filters below would be pushed to the shapes and make them again for each use
+    rows = materialize(shapes.select(key, _edge_array(parsed).alias("_edges")))
     rows = rows.withColumn("_edges", F.when(side("x1", "x2") > side("y1", "y2"), F.transform("_edges", lambda e: F.struct(
         e["polygon"].alias("polygon"), e["ring"].alias("ring"), e["edge"].alias("edge"), e["edges"].alias("edges"),
         e["y1"].alias("x1"), e["x1"].alias("y1"), e["y2"].alias("x2"), e["x2"].alias("y2")))).otherwise(F.col("_edges")))
     rise = F.aggregate("_edges", F.lit(0.0), lambda total, e: total + F.abs(e["y2"] - e["y1"]))
-    rows = rows.withColumns({"_base": F.array_min(reach(F.least, "y1", "y2")), "_high": side("y1", "y2"), "_rise": rise}).where("_high > 0")
+    rows = rows.withColumns({"_base": F.array_min(reach(F.least, "y1", "y2")), "_high": side("y1", "y2"), "_rise": rise})
     many = F.size("_edges")
     bands = F.greatest(F.lit(1.0), F.floor(F.least(many / F.lit(per_band), many * F.col("_high") / F.col("_rise"))))
-    rows = rows.withColumn("_band_high", F.col("_high") / bands).select(key, "_base", "_band_high", F.posexplode("_edges").alias("number", "_edge"))
+    rows = rows.withColumn("_band_high", F.col("_high") / bands).select(key, "_base", "_band_high", F.posexplode(F.when(F.col("_high") > 0, F.col("_edges"))).alias("number", "_edge"))
     edges = rows.select(key, "number", "_base", "_band_high", "_edge.*")
     at = lambda y: F.floor((y - F.col("_base")) / F.col("_band_high")).cast("int")
     edges = edges.withColumn("low", at(F.least("y1", "y2"))).withColumn("high", at(F.greatest("y1", "y2")))
@@ -123,9 +125,9 @@ def with_validity(df: DataFrame, geometry: str, name: str) -> DataFrame:
     point at most; holes lie in their shell and not in each other; no polygon lies in another one. A chain of several
     holes that touch one another and cut a polygon in two is not told.
     """
-    rows = materialize(df.withColumn("_shape_row", F.monotonically_increasing_id()))
-    formed = rows.where(geo.rings_formed(geo.rings(geometry))).select("_shape_row", geometry)
-    edges = materialize(banded_edges(formed, "_shape_row", geometry))
+    rows = materialize(df.withColumn("_shape_row", F.monotonically_increasing_id()).withColumn("_polygons", polygons(geometry)))
+    formed = rows.where(geo.rings_formed(F.flatten("_polygons"))).select("_shape_row", "_polygons")
+    edges = materialize(banded_edges(formed, "_shape_row", "_polygons"))
     met = meeting_edges(edges, "_shape_row")
     met = met.where(~F.col("neighbours") | F.col("overlapping"))
     wrong = F.col("crossing") | F.col("overlapping") | F.col("same_ring")
@@ -134,4 +136,4 @@ def with_validity(df: DataFrame, geometry: str, name: str) -> DataFrame:
     twice = (F.col("polygon") == F.col("other_polygon")) & (F.col("_first") != F.col("_last"))
     bad = met.where(F.col("_wrong") | twice).select("_shape_row").unionByName(misplaced_corners(edges, "_shape_row")).distinct()
     good = formed.select("_shape_row").join(bad, "_shape_row", "left_anti").withColumn(name, F.lit(True))
-    return rows.join(good, "_shape_row", "left").withColumn(name, F.coalesce(name, F.lit(False))).drop("_shape_row")
+    return rows.drop("_polygons").join(good, "_shape_row", "left").withColumn(name, F.coalesce(name, F.lit(False))).drop("_shape_row")

@@ -30,3 +30,10 @@ def test_same_names_give_what_compared_pairs_give(spark):
     pairs = matching.first_code_rule(records, ["id"], units, "code", rules, F.col("l.name") == F.col("u.name"), ["name"])
     equal = matching.first_code_rule(records, ["id"], units, "code", rules, same_names=["name"])
     assert equal.columns == pairs.columns and sorted(map(str, equal.collect())) == sorted(map(str, pairs.collect())) and pairs.where("hits > 1").count() > 5
+
+
+def test_shapes_are_parsed_once(spark):
+    square = '{"type":"Polygon","coordinates":[[[0,0],[1,0],[1,1],[0,0]]]}'
+    flat = '{"type":"Polygon","coordinates":[[[0,0],[1,0],[2,0],[0,0]]]}'
+    edges = validity.banded_edges(spark.createDataFrame([(1, square), (2, flat), (3, None)], "id long, geometry string"), "id", "geometry")
+    assert "from_json" not in _plan(edges) and {r.id for r in edges.collect()} == {1, 2}
