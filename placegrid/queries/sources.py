@@ -56,8 +56,9 @@ def s02(spark, sf):
                       F.lit(',1.0]},\n{"type":"Polygon","coordinates":[[[0,0],[1,0],\n[1,1],[0,0]]]}]} }'))
     collected = read(spark, sf, "supplier").groupBy(F.floor(F.col("s_suppkey") / 20).alias("file")).agg(F.concat(
         F.lit('{\n "type": "FeatureCollection",\n "crs": {"type": "name", "properties": {"name": {"a": 1}}},\n "features": [\n'), F.concat_ws(",\n", F.collect_list(pretty)), F.lit("\n]}")).alias("value"))
-    collected.write.partitionBy("file").text(f"{path}/collections")
-    path = [path, f"{path}/collections/*"]
+    # a file for each collection, all in one folder
+    collected.select("value").write.option("maxRecordsPerFile", 1).text(f"{path}/collections")
+    path = [path, f"{path}/collections"]
     return files.read_features(spark, path, ["code", "area", "name"]).select("code", "area", "name", "geometry")
 
 

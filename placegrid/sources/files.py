@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from placegrid.operators.scale import running_sum
+from placegrid.session import materialize
 from placegrid.sources.contract import text_schema
 
 
@@ -107,11 +108,13 @@ def read_features(spark: SparkSession, path: str, properties: Sequence[str]) ->
     rows = rows.withColumn("_marks", F.regexp_count("value", F.lit(_IS_FEATURE)).cast("long")).withColumn("_found", F.when(F.col("_marks") > 0, found).otherwise(F.array().cast("array<string>")))
     # a type may stand on the line after its name
     whole = (F.size("_found") == F.col("_marks")) & (F.regexp_count("value", F.lit('"Feature"')) <= F.col("_marks"))
+    # lines are matched once, and features put together once: both are read again
+    rows = materialize(rows)
     layout = rows.groupBy("source_file").agg(F.sum("_marks").alias("_told"), F.min(F.when(~whole, F.col("source_row_number"))).alias("_torn"))
     rows = rows.join(layout, "source_file")
     flat = rows.where("_torn IS NULL AND _marks > 0").select("source_file", "source_row_number", F.posexplode("_found").alias("_place", "value"))
     torn = rows.where("_torn IS NOT NULL")
-    spread = _spread_features(torn)
+    spread = materialize(_spread_features(torn))
     counts = spread.groupBy("source_file").agg(F.count(F.lit(1)).alias("_got"))
     told = F.raise_error(F.concat(F.lit("features not told apart in line "), F.col("_torn").cast("string"), F.lit(" of "), F.col("source_file")))
     missing = F.coalesce("_got", F.lit(0)) < F.greatest("_told", F.lit(1))

@@ -37,3 +37,11 @@ def test_shapes_are_parsed_once(spark):
     flat = '{"type":"Polygon","coordinates":[[[0,0],[1,0],[2,0],[0,0]]]}'
     edges = validity.banded_edges(spark.createDataFrame([(1, square), (2, flat), (3, None)], "id long, geometry string"), "id", "geometry")
     assert "from_json" not in _plan(edges) and {r.id for r in edges.collect()} == {1, 2}
+
+
+def test_lines_of_a_delivery_are_matched_once(spark, tmp_path):
+    feature = '{"type":"Feature","properties":{"code":"%d"},"geometry":{"type":"Point","coordinates":[%d,1]}}'
+    (tmp_path / "a.geojson").write_text("\n".join(feature % (k, k) for k in range(3)))
+    (tmp_path / "b.geojson").write_text('{"type":"FeatureCollection","features":[\n' + ",\n".join((feature % (k, k)).replace(",", ",\n", 1) for k in range(3, 6)) + "\n]}")
+    found = files.read_features(spark, str(tmp_path), ["code"])
+    assert "regexp_extract_all(value" not in _plan(found) and sorted(r.code for r in found.collect()) == [str(k) for k in range(6)]
