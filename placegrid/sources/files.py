@@ -109,8 +109,8 @@ def read_features(spark: SparkSession, path: str, properties: Sequence[str]) ->
     # a type may stand on the line after its name
     whole = (F.size("_found") == F.col("_marks")) & (F.regexp_count("value", F.lit('"Feature"')) <= F.col("_marks"))
     # lines are matched once, and features put together once: both are read again
-    rows = materialize(rows)
-    layout = rows.groupBy("source_file").agg(F.sum("_marks").alias("_told"), F.min(F.when(~whole, F.col("source_row_number"))).alias("_torn"))
+    rows = materialize(rows.withColumn("_whole", whole))
+    layout = rows.groupBy("source_file").agg(F.sum("_marks").alias("_told"), F.min(F.when(~F.col("_whole"), F.col("source_row_number"))).alias("_torn"))
     rows = rows.join(layout, "source_file")
     flat = rows.where("_torn IS NULL AND _marks > 0").select("source_file", "source_row_number", F.posexplode("_found").alias("_place", "value"))
     torn = rows.where("_torn IS NOT NULL")
