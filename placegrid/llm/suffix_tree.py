@@ -43,11 +43,11 @@ def _from_planes(data: bytes, kind: str) -> np.ndarray:
 
 
 def _requests(block: str, keys: np.ndarray, sums: np.ndarray, bits: int):
-    """Rows for each shard of the sorted ``keys``; ``sums`` are counts, or have a row for each real quantity."""
+    """Rows for each shard of the sorted ``keys``; ``sums`` are counts, or the rows that ``_gains_as_bytes`` takes."""
     cuts = np.searchsorted(keys >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
     for shard in np.flatnonzero(np.diff(cuts)):
         own = slice(cuts[shard], cuts[shard + 1])
-        told = _counts_as_bytes(sums[own]) if sums.ndim == 1 else _planes(np.ascontiguousarray(sums[:, own].ravel()))
+        told = _counts_as_bytes(sums[own]) if sums.ndim == 1 else _gains_as_bytes(sums[:, own])
         yield block, int(shard), _planes(np.diff(keys[own], prepend=np.uint64(0))), told
 
 
@@ -57,14 +57,33 @@ def _counts_as_bytes(values: np.ndarray) -> bytes:
     return bytes([width]) + np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T[:width]).tobytes()
 
 
-def _counts_from_bytes(data: bytes) -> np.ndarray:
-    width = data[0]
-    planes = np.frombuffer(data, np.uint8, offset=1).reshape(width, -1)
+def _counts_from_bytes(data: bytes, many: int = -1, start: int = 0) -> np.ndarray:
+    """``many`` whole numbers from ``start`` on, or all that follow."""
+    width = data[start]
+    planes = np.frombuffer(data, np.uint8, many * width if many >= 0 else -1, start + 1).reshape(width, -1)
     out = np.zeros((planes.shape[1], 8), np.uint8)
     out[:, :width] = planes.T
     return out.view("<u8").ravel()
 
 
+def _gains_as_bytes(rows: np.ndarray) -> bytes:
+    """Gain, seen, types and count of contexts: a bit map of those that have any, and the four of these alone."""
+    told = rows[2] > 0
+    return np.packbits(told).tobytes() + _planes(rows[0, told]) + b"".join(_counts_as_bytes(row) for row in rows[1:, told])
+
+
+def _gains_from_bytes(data: bytes, n: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Which of ``n`` contexts have any, and the four rows of these."""
+    told, place = np.unpackbits(np.frombuffer(data, np.uint8, (n + 7) // 8), count=n).astype(bool), (n + 7) // 8
+    many = int(told.sum())
+    rows = [_from_planes(data[place:place + 8 * many], "<f8")]
+    place += 8 * many
+    for _ in range(3):
+        rows.append(_counts_from_bytes(data, many, place))
+        place += 1 + many * data[place]
+    return told, rows
+
+
 def _answer(least: int):
     """Adds up counts of one shard: every block gets those of its keys that are ``least`` or more, and which of these it
     is the first to hold. A bit map tells which keys they are; the others count as zero from then on."""
@@ -88,18 +107,30 @@ def _answer(least: int):
     return run
 
 
-def _answer_sums(quantities: int):
-    """Adds up several real quantities of one shard for every block that asks."""
+def _answer_kept(discount: float, threshold: float):
+    """Adds up what the blocks tell of the contexts of one shard and decides which are kept: every block that asks gets
+    a bit map of these, and what was seen after them and of how many types."""
     def run(asked: pd.DataFrame) -> pd.DataFrame:
         asked = asked.sort_values("block")
         keys = [np.cumsum(_from_planes(k, "<u8"), dtype=np.uint64) for k in asked["keys"]]
-        sums = [_from_planes(s, "<f8").reshape(quantities, -1) for s in asked["sums"]]
         cuts = np.cumsum([0] + [len(k) for k in keys])
         distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.stack([np.bincount(place, weights=q, minlength=len(distinct)) for q in np.concatenate(sums, axis=1)])
-        return pd.DataFrame([(b, s, _planes(np.ascontiguousarray(total[:, place[i:j]].ravel())), b"", j - i, 0, 0.0)
-                             for b, s, i, j in zip(asked["block"], asked["shard"], cuts, cuts[1:])],
-                            columns=["block", "shard", "sums", "own", "n", "types", "tokens"])
+        gain, seen, types, whole = np.zeros((4, len(distinct)))
+        for sums, i, j in zip(asked["sums"], cuts, cuts[1:]):
+            told, rows = _gains_from_bytes(sums, j - i)
+            at = place[i:j][told]  # once each, as the keys of a block are distinct
+            gain[at] += rows[0]
+            seen[at] += rows[1]
+            types[at] += rows[2]
+            whole[at] = rows[3]
+        mass, whole = seen - discount * types, np.maximum(whole, 1)
+        kept = (mass > 0) & (gain + (whole - seen) * np.log(np.maximum(1 - mass / whole, 1e-12)) > threshold)
+        out = []
+        for b, s, i, j in zip(asked["block"], asked["shard"], cuts, cuts[1:]):
+            own = place[i:j]
+            some = own[kept[own]]
+            out.append((b, s, _counts_as_bytes(seen[some]) + _counts_as_bytes(types[some]), np.packbits(kept[own]).tobytes(), j - i, 0, 0.0))
+        return pd.DataFrame(out, columns=["block", "shard", "sums", "own", "n", "types", "tokens"])
     return run
 
 
@@ -122,12 +153,19 @@ def _counted(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(counts), np.concatenate(marks)
 
 
-def _answered(pdf: pd.DataFrame, quantities: int) -> np.ndarray:
-    """Sums in the order of the block's sorted keys."""
+def _decided(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which contexts are kept, in the order of the block's sorted keys; what was seen after these and of how many types."""
     pdf = pdf[pdf["shard"] >= 0].sort_values("shard")
-    if pdf.empty:
-        return np.zeros((quantities, 0))
-    return np.concatenate([_from_planes(s, "<f8").reshape(quantities, -1) for s in pdf["sums"]], axis=1)
+    kept, seen, types = [np.zeros(0, bool)], [np.zeros(0)], [np.zeros(0)]
+    for sums, bits, n in zip(pdf["sums"], pdf["own"], pdf["n"]):
+        own = np.unpackbits(np.frombuffer(bits, np.uint8), count=n).astype(bool)
+        many = int(own.sum())
+        for rows, start in ((seen, 0), (types, 1 + many * sums[0])):
+            row = np.zeros(n)
+            row[own] = _counts_from_bytes(sums, many, start)
+            rows.append(row)
+        kept.append(own)
+    return np.concatenate(kept), np.concatenate(seen), np.concatenate(types)
 
 
 # --- blocks --------------------------------------------------------------------------------------------------------
@@ -255,14 +293,14 @@ def _contexts(block: Block, depth: int, frequent: int) -> tuple[np.ndarray, list
 
 def _gains(folder: str, depth: int, frequent: int, discount: float, bits: int, tokens: float):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Takes in the last counts and asks for what the corpus says of every context: gain, seen, types.
+        """Takes in the last counts and asks which contexts are kept; tells of them gain, seen, types and count.
 
         Each repeated n-gram is put in by the block that is first to hold it, so it counts once.
         """
         block = Block(folder, pdf["block"].iloc[0])
         _take(block, pdf, depth + 1, frequent)
         keys, _ = _contexts(block, depth, frequent)
-        sums = np.zeros((3, len(keys)))
+        sums = np.zeros((4, len(keys)))
         counts = {n: block.counts(n) for n in range(1, depth + 2)}
         for n in range(2, depth + 2):
             at = np.flatnonzero(block.get(f"count{n}")["own"] & (counts[n] >= 2))
@@ -271,11 +309,12 @@ def _gains(folder: str, depth: int, frequent: int, discount: float, bits: int, t
             k = np.searchsorted(keys, block.grams(n - 1)[at - 1])
             for row, value in enumerate((c * np.log((c - discount) / whole / parent), c, np.ones(len(at)))):
                 sums[row] += np.bincount(k, weights=value, minlength=len(keys))
+            sums[3, k] = whole
         return pd.DataFrame(list(_requests(block.name, keys, sums, bits)), columns=["block", "shard", "keys", "sums"])
     return run
 
 
-def _scores(folder: str, depth: int, frequent: int, discount: float, threshold: float, tokens: float, types: int):
+def _scores(folder: str, depth: int, frequent: int, discount: float, tokens: float, types: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         block = Block(folder, pdf["block"].iloc[0])
         counts = block.counts(1)
@@ -283,15 +322,15 @@ def _scores(folder: str, depth: int, frequent: int, discount: float, threshold:
         cuts = np.cumsum(block.lengths) - block.lengths
         base = np.add.reduceat(np.log10(chance), cuts)
         known = np.add.reduceat((counts > 0).astype(np.int64), cuts)
-        gain, seen, kinds = _answered(pdf, 3)
+        chosen, seen, kinds = _decided(pdf)
         keys, places = _contexts(block, depth, frequent)
         before = counts
         for n, at in enumerate(places, 2):
             now, k = block.counts(n), np.searchsorted(keys, block.grams(n - 1)[at - 1])
-            whole, mass = before[at - 1], seen[k] - discount * kinds[k]
-            rest = 1 - mass / whole
-            kept = (mass > 0) & (gain[k] + (whole - seen[k]) * np.log(np.maximum(rest, 1e-12)) > threshold)
-            at, rest, whole = at[kept], rest[kept], whole[kept]
+            kept = chosen[k]
+            at, k = at[kept], k[kept]
+            whole = before[at - 1]
+            rest = 1 - (seen[k] - discount * kinds[k]) / whole
             chance[at] = np.where(now[at] >= 2, now[at] - discount, 0) / whole + rest * chance[at]
             before = now
         return pd.DataFrame({"id": pd.array(block.keys, dtype="Int64"), "held_out": block.held, "n_tokens": block.lengths, "n_known": known,
@@ -331,6 +370,6 @@ def score(docs: DataFrame, depth: int = 2, frequent: int = 16, threshold: float
     for n in range(2, depth + 2):
         taken, answers = answers, _exchange(by_block(answers).applyInPandas(_grow(folder, n, frequent, bits), _ASK), _answer(2))
         forget(taken)
-    taken, answers = answers, _exchange(by_block(answers).applyInPandas(_gains(folder, depth, frequent, discount, bits, tokens), _ASK), _answer_sums(3))
+    taken, answers = answers, _exchange(by_block(answers).applyInPandas(_gains(folder, depth, frequent, discount, bits, tokens), _ASK), _answer_kept(discount, threshold))
     forget(taken)
-    return by_block(answers).applyInPandas(_scores(folder, depth, frequent, discount, threshold, tokens, types), schema).withColumnRenamed("id", key)
+    return by_block(answers).applyInPandas(_scores(folder, depth, frequent, discount, tokens, types), schema).withColumnRenamed("id", key)

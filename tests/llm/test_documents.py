@@ -239,3 +239,14 @@ def test_contexts_do_not_have_to_grow_with_the_corpus(spark):
     lambda d: sharding.assign(d, 16), lambda d: token_file.round_trip(d.sparkSession, d), lambda d: language.predict(d, language.train(d))])
 def test_empty_table(none, run):
     assert run(none).count() == 0
+
+
+def test_what_a_block_tells_of_contexts_is_short_and_comes_back():
+    rows = np.zeros((4, 1000))
+    rows[:, 500:510] = [np.linspace(-3, 90, 10), np.arange(10) + 300, np.arange(10) + 1, np.arange(10) + 70_000]
+    data = suffix_tree._gains_as_bytes(rows)
+    told, back = suffix_tree._gains_from_bytes(data, 1000)
+    assert len(data) < 300 and np.flatnonzero(told).tolist() == list(range(500, 510))
+    assert all((a == b[500:510]).all() for a, b in zip(back, rows))
+    told, back = suffix_tree._gains_from_bytes(suffix_tree._gains_as_bytes(rows[:, :3]), 3)
+    assert not told.any() and not any(len(r) for r in back)
