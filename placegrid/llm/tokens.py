@@ -4,15 +4,24 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import string
 from array import array
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 from placegrid.llm.common import held
 
 #: Distinct pieces a worker keeps; when more come, it starts anew. This bounds memory at about 250 MB, results do not depend on it.
 KEPT = 1_200_000
 
 _MARKS = string.punctuation.encode()
+#: Words of ASCII and Latin-1 letters in UTF-8. They are composed already, so that lower case is all that a normaliser makes of them.
+_LATIN = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+#: Words that are encoded as one text.
+_TOGETHER = 32
 
 
 def _tokenizer(path: str):
@@ -55,50 +64,99 @@ def splits_at_marks(path: str) -> bool:
     return plain and runs == {r"[\p{L}]+", r"[\p{N}]", r"[^\s\p{L}\p{N}]+"} and any(s["type"] == "Lowercase" for s in normal.get("normalizers", [normal]))
 
 
+def word_ends(path: str) -> np.ndarray | None:
+    """For each id whether it ends a run that is encoded by itself; None for a model that does not mark these ends."""
+    with open(path, encoding="utf-8") as source:
+        model = json.load(source)["model"]
+    suffix = model.get("end_of_word_suffix")
+    if not suffix or model.get("unk_token") is not None:
+        return None
+    ends = np.zeros(max(model["vocab"].values()) + 1, bool)
+    ends[[k for token, k in model["vocab"].items() if token.endswith(suffix)]] = True
+    return ends
+
+
 class PieceCoder:
     """Ids of whole texts as little-endian 32-bit bytes. Pieces met before are looked up, new ones encoded in one call.
 
-    Where the tokenizer allows it, what is kept are plain words in lower case and the punctuation after them.
+    Where the tokenizer allows it, what is kept are plain words in lower case and the punctuation after them, and many
+    words of letters are encoded as one text, as the model marks where each ends.
     """
 
     def __init__(self, path: str):
         self._tokenizer = _tokenizer(path)
         self._whole = not splits_at_gaps(path)
         self._marks = not self._whole and splits_at_marks(path)
+        self._ends = word_ends(path) if self._marks else None
         self._known: dict[bytes, bytes] = {}
 
     def _encode(self, pieces: list[bytes]) -> list[bytes]:
         found = self._tokenizer.encode_batch_fast([p.decode("utf-8") for p in pieces], add_special_tokens=False)
         return [array("I", e.ids).tobytes() for e in found]
 
-    def _parts(self, piece: bytes) -> tuple[bytes, bytes]:
-        """The piece as a word and the marks after it; a piece of another form is all word."""
-        word = piece.rstrip(_MARKS)
-        if word.isalnum():  # ASCII only
-            return word.lower(), piece[len(word):]
-        if word[-1:].isalnum() and b"<" not in piece:
-            return word, piece[len(word):]
-        return piece, b""
+    def _encode_words(self, words: list[bytes]) -> list[bytes]:
+        """Ids of words of letters alone."""
+        found = self._tokenizer.encode_batch_fast([b" ".join(words[k:k + _TOGETHER]).decode("utf-8") for k in range(0, len(words), _TOGETHER)], add_special_tokens=False)
+        ids = np.concatenate([np.array(e.ids, "<u4") for e in found])
+        cuts = 4 * (np.flatnonzero(self._ends[ids]) + 1)
+        if len(cuts) != len(words) or cuts[-1] != 4 * len(ids):  # a byte that the model does not know
+            return self._encode(words)
+        raw, cuts = ids.tobytes(), cuts.tolist()
+        return [raw[a:b] for a, b in zip([0, *cuts], cuts)]
+
+    def _parts(self, pieces: list[bytes]) -> list[tuple[bytes, bytes]]:
+        """Each piece as a word and the marks after it; a piece of another form is all word."""
+        out = []
+        for piece in pieces:
+            word = piece.rstrip(_MARKS)
+            if word.isalnum():  # ASCII only
+                out.append((word.lower(), piece[len(word):]))
+            elif _LATIN.fullmatch(word):
+                out.append((word.decode("utf-8").lower().encode("utf-8"), piece[len(word):]))
+            elif word[-1:].isalnum() and b"<" not in piece:
+                out.append((word, piece[len(word):]))
+            else:
+                out.append((piece, b""))
+        return out
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         if self._whole:
             return self._encode(texts)
-        cut = [t.split() for t in texts]
-        met, known = set().union(*cut), self._known
+        cut = pc.ascii_split_whitespace(pa.array(texts, pa.large_binary()).view(pa.large_string()))
+        pieces = cut.flatten().dictionary_encode()
+        met, known = pieces.dictionary.cast(pa.large_binary()).to_pylist(), self._known
         for _ in range(2):
-            fresh = list(met.difference(known))
-            parts = list(map(self._parts, fresh)) if self._marks else [(p, b"") for p in fresh]
+            found = list(map(known.get, met))
+            absent = [k for k, ids in enumerate(found) if ids is None]
+            fresh = [met[k] for k in absent]
+            parts = self._parts(fresh) if self._marks else [(p, b"") for p in fresh]
             new = list(set().union(*parts).difference(known))
             if len(known) + len(new) <= KEPT:
                 break
             known.clear()
+        if self._ends is not None:
+            words = list(filter(_LATIN.fullmatch, new))
+            for first in range(0, len(words), 1 << 14):
+                some = words[first:first + (1 << 14)]
+                known.update(zip(some, self._encode_words(some)))
+            new = [p for p in new if p not in known]
         for first in range(0, len(new), 4096):
             some = new[first:first + 4096]
             known.update(zip(some, self._encode(some)))
-        ids = {p: known[word] + known[marks] if marks else known[word] for p, (word, marks) in zip(fresh, parts)}
-        ids.update((p, known[p]) for p in met.difference(ids))
-        get = ids.__getitem__
-        return [b"".join(map(get, pieces)) for pieces in cut]
+        for k, (word, marks) in zip(absent, parts):
+            found[k] = known[word] + known[marks] if marks else known[word]
+        return _joined(found, pieces.indices.to_numpy(), cut.offsets.to_numpy())
+
+
+def _joined(found: list[bytes], turns: np.ndarray, cuts: np.ndarray) -> list[bytes]:
+    """The ids of every text, of whose pieces ``turns`` tells which of ``found`` they are; ``cuts`` bound its pieces."""
+    flat = np.frombuffer(b"".join(found), "<u4")
+    sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+    starts, sizes = (np.cumsum(sizes) - sizes)[turns], sizes[turns]
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    place = np.arange(ends[-1]) + np.repeat(starts - ends[:-1], sizes)
+    raw, ends = flat[place].tobytes(), (4 * ends[cuts]).tolist()
+    return [raw[a:b] for a, b in zip(ends, ends[1:])]
 
 
 def coder(path: str) -> PieceCoder:

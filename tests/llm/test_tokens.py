@@ -18,3 +18,23 @@ def test_ids_equal_those_of_the_library(monkeypatch):
         texts = ["".join(draw.choice(PARTS) for _ in range(draw.randint(0, 12))) for _ in range(1000)] + ["", "A" * 5000 + "."]
         want = [np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
         assert coder([t.encode() for t in texts]) == want
+
+
+def test_words_of_letters_are_encoded_many_at_a_time():
+    coder = tokens.PieceCoder(tokens.word_bpe_path())
+    plain, asked = tokens._tokenizer(tokens.word_bpe_path()), []
+
+    class Counting:
+        def encode_batch_fast(self, texts, **options):
+            asked.extend(texts)
+            return plain.encode_batch_fast(texts, **options)
+
+    coder._tokenizer = Counting()
+    letters = "abcdefghéüß"
+    texts = [" ".join(a + b + c for b in letters for c in letters) for a in letters] + ["", " ", "ÉTÉ, été. Été!", "× a×b ÷ ª İ ẞ Été"]
+    found = coder([t.encode() for t in texts])
+    assert found == [np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    words = set().union(*[t.split() for t in texts])
+    assert len(asked) < len(words) / 16
+    assert "ÉTÉ".encode() not in coder._known  # kept in lower case, without marks
+    assert coder([b""]) == [b""]
