@@ -40,14 +40,19 @@ def held(name: tuple, make):
         _held.clear()
         _powers.clear()
         gc.collect()
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-        if trim is not None:
-            trim(0)
+        give_back()
         _held[name] = make()
     return _held[name]
 
 
+def give_back() -> None:
+    """Memory that this process has free goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 # --- columns -------------------------------------------------------------------------------------------------------
 
 def id_remainder(key: str, modulus: int) -> Column:

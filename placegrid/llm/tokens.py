@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from placegrid.llm.common import held
+from placegrid.llm.common import give_back, held
 
 #: Distinct pieces a worker keeps; when more come, it starts anew. This bounds memory at about 250 MB, results do not depend on it.
 KEPT = 1_200_000
@@ -22,6 +22,8 @@ _MARKS = string.punctuation.encode()
 _LATIN = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
 #: Words that are encoded as one text.
 _TOGETHER = 32
+#: Bytes of text that are looked up at a time: the arrays made for them take some twenty times as much. A longer text stands alone.
+_AT_ONCE = 1 << 20
 
 
 def _tokenizer(path: str):
@@ -122,6 +124,17 @@ class PieceCoder:
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         if self._whole:
             return self._encode(texts)
+        out, first, size = [], 0, 0
+        for k, text in enumerate(texts):
+            if k > first and size + len(text) > _AT_ONCE:
+                out += self._look_up(texts[first:k])
+                first, size = k, 0
+            size += len(text)
+        out += self._look_up(texts[first:])
+        give_back()
+        return out
+
+    def _look_up(self, texts: list[bytes]) -> list[bytes]:
         cut = pc.ascii_split_whitespace(pa.array(texts, pa.large_binary()).view(pa.large_string()))
         pieces = cut.flatten().dictionary_encode()
         met, known = pieces.dictionary.cast(pa.large_binary()).to_pylist(), self._known
