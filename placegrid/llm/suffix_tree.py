@@ -7,12 +7,16 @@ state that ends before it.
 The corpus is cut into blocks of documents. Counts never meet in one place: each block asks, shard by shard, for the
 sums over the corpus of the n-grams it holds, and every shard answers every block. Contexts are grown word by word, so
 only n-grams after a context that is frequent enough are asked for. Blocks are files in the shared folder.
+
+Words have 64-bit hashes until they are counted; those met twice are numbered then, and a pair of them is its two
+numbers, which takes half the bytes of a hash.
 """
 
 from __future__ import annotations
 
 import io
 import uuid
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -42,13 +46,34 @@ def _from_planes(data: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
-def _requests(block: str, keys: np.ndarray, sums: np.ndarray, bits: int):
-    """Rows for each shard of the sorted ``keys``; ``sums`` are counts, or the rows that ``_gains_as_bytes`` takes."""
-    cuts = np.searchsorted(keys >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
+def _small(data: bytes) -> bytes:
+    """Compressed, with the size in front. What is shuffled is compressed without a code for single bytes otherwise."""
+    return len(data).to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True)
+
+
+def _large(data: bytes) -> bytes:
+    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True)
+
+
+def _spread(values: np.ndarray, width: int) -> np.ndarray:
+    """A bijection of ``width``-bit values that spreads them over the shards."""
+    mask, half = np.uint64((1 << width) - 1), np.uint64(width // 2)
+    for odd in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+        values = ((values ^ (values >> half)) * np.uint64(odd)) & mask
+    return values
+
+
+def _requests(block: str, keys: np.ndarray, sums: np.ndarray, bits: int, width: int = 64):
+    """Rows for each shard of the sorted ``keys`` of ``width`` bits; ``sums`` are counts, or the rows that ``_gains_as_bytes`` takes."""
+    cuts = np.searchsorted(keys >> np.uint64(width - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
     for shard in np.flatnonzero(np.diff(cuts)):
         own = slice(cuts[shard], cuts[shard + 1])
         told = _counts_as_bytes(sums[own]) if sums.ndim == 1 else _gains_as_bytes(sums[:, own])
-        yield block, int(shard), _planes(np.diff(keys[own], prepend=np.uint64(0))), told
+        yield block, int(shard), _small(_planes(np.diff(keys[own], prepend=np.uint64(0)))), _small(told)
+
+
+def _asked_keys(asked: pd.DataFrame) -> list[np.ndarray]:
+    return [np.cumsum(_from_planes(_large(k), "<u8"), dtype=np.uint64) for k in asked["keys"]]
 
 
 def _counts_as_bytes(values: np.ndarray) -> bytes:
@@ -84,25 +109,28 @@ def _gains_from_bytes(data: bytes, n: int) -> tuple[np.ndarray, list[np.ndarray]
     return told, rows
 
 
-def _answer(least: int):
+def _answer(least: int, number: bool = False):
     """Adds up counts of one shard: every block gets those of its keys that are ``least`` or more, and which of these it
-    is the first to hold. A bit map tells which keys they are; the others count as zero from then on."""
+    is the first to hold. A bit map tells which keys they are; the others count as zero from then on.
+
+    With ``number`` the keys met twice are numbered in the shard, and a block gets the numbers of its own instead."""
     def run(asked: pd.DataFrame) -> pd.DataFrame:
         asked = asked.sort_values("block")
-        keys = [np.cumsum(_from_planes(k, "<u8"), dtype=np.uint64) for k in asked["keys"]]
+        keys = _asked_keys(asked)
         cuts = np.cumsum([0] + [len(k) for k in keys])
         distinct, first, place = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
-        total = np.bincount(place, weights=np.concatenate([_counts_from_bytes(s) for s in asked["sums"]]), minlength=len(distinct)).astype(np.int64)
+        total = np.bincount(place, weights=np.concatenate([_counts_from_bytes(_large(s)) for s in asked["sums"]]), minlength=len(distinct)).astype(np.int64)
         own = np.zeros(len(place), np.uint8)
         own[first] = 1
-        told = total[place]
+        told, numbers = total[place], np.cumsum(total >= 2) - 1
         rows = []
         for b, s, i, j in zip(asked["block"], asked["shard"], cuts, cuts[1:]):
             kept = told[i:j] >= least
-            rows.append((b, s, _counts_as_bytes(told[i:j][kept]), np.packbits(kept).tobytes() + np.packbits(own[i:j]).tobytes(), j - i))
+            more = _counts_as_bytes(np.diff(numbers[place[i:j][told[i:j] >= 2]], prepend=0)) if number else np.packbits(own[i:j]).tobytes()
+            rows.append((b, s, _small(_counts_as_bytes(told[i:j][kept])), _small(np.packbits(kept).tobytes() + more), j - i))
         out = pd.DataFrame(rows, columns=["block", "shard", "sums", "own", "n"])
-        out["types"], out["tokens"] = 0, 0.0
-        out.loc[0, "types"], out.loc[0, "tokens"] = int((total > 0).sum()), float(total.sum())
+        out["types"], out["tokens"], out["numbers"] = 0, 0.0, 0
+        out.loc[0, "types"], out.loc[0, "tokens"], out.loc[0, "numbers"] = int((total > 0).sum()), float(total.sum()), int((total >= 2).sum())
         return out
     return run
 
@@ -112,12 +140,12 @@ def _answer_kept(discount: float, threshold: float):
     a bit map of these, and what was seen after them and of how many types."""
     def run(asked: pd.DataFrame) -> pd.DataFrame:
         asked = asked.sort_values("block")
-        keys = [np.cumsum(_from_planes(k, "<u8"), dtype=np.uint64) for k in asked["keys"]]
+        keys = _asked_keys(asked)
         cuts = np.cumsum([0] + [len(k) for k in keys])
         distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
         gain, seen, types, whole = np.zeros((4, len(distinct)))
         for sums, i, j in zip(asked["sums"], cuts, cuts[1:]):
-            told, rows = _gains_from_bytes(sums, j - i)
+            told, rows = _gains_from_bytes(_large(sums), j - i)
             at = place[i:j][told]  # once each, as the keys of a block are distinct
             gain[at] += rows[0]
             seen[at] += rows[1]
@@ -129,21 +157,21 @@ def _answer_kept(discount: float, threshold: float):
         for b, s, i, j in zip(asked["block"], asked["shard"], cuts, cuts[1:]):
             own = place[i:j]
             some = own[kept[own]]
-            out.append((b, s, _counts_as_bytes(seen[some]) + _counts_as_bytes(types[some]), np.packbits(kept[own]).tobytes(), j - i, 0, 0.0))
-        return pd.DataFrame(out, columns=["block", "shard", "sums", "own", "n", "types", "tokens"])
+            out.append((b, s, _small(_counts_as_bytes(seen[some]) + _counts_as_bytes(types[some])), _small(np.packbits(kept[own]).tobytes()), j - i, 0, 0.0, 0))
+        return pd.DataFrame(out, columns=["block", "shard", "sums", "own", "n", "types", "tokens", "numbers"])
     return run
 
 
 def _exchange(asked: DataFrame, answer) -> DataFrame:
     return materialize(asked.groupBy("shard").applyInPandas(
-        answer, "block string, shard int, sums binary, own binary, n long, types long, tokens double"))
+        answer, "block string, shard int, sums binary, own binary, n long, types long, tokens double, numbers long"))
 
 
 def _counted(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Counts and first-holder marks in the order of the block's sorted keys."""
     pdf = pdf[pdf["shard"] >= 0].sort_values("shard")
     counts, marks = [np.zeros(0, np.int64)], [np.zeros(0, bool)]
-    for sums, bits, n in zip(pdf["sums"], pdf["own"], pdf["n"]):
+    for sums, bits, n in zip(map(_large, pdf["sums"]), map(_large, pdf["own"]), pdf["n"]):
         half = (n + 7) // 8
         kept = np.unpackbits(np.frombuffer(bits, np.uint8, half), count=n).astype(bool)
         own = np.zeros(n, np.int64)
@@ -153,11 +181,24 @@ def _counted(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(counts), np.concatenate(marks)
 
 
+def _numbered(pdf: pd.DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of the block's words in the order of their hashes, and the numbers of those met twice."""
+    pdf = pdf[pdf["shard"] >= 0].sort_values("shard")
+    counts, numbers = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for shard, sums, told, n in zip(pdf["shard"], map(_large, pdf["sums"]), map(_large, pdf["own"]), pdf["n"]):
+        half = (n + 7) // 8
+        own = np.zeros(n, np.int64)
+        own[np.unpackbits(np.frombuffer(told, np.uint8, half), count=n).astype(bool)] = _counts_from_bytes(sums)
+        counts.append(own)
+        numbers.append(np.cumsum(_counts_from_bytes(told, int((own >= 2).sum()), half).astype(np.int64)) << bits | shard)
+    return np.concatenate(counts), np.concatenate(numbers)
+
+
 def _decided(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Which contexts are kept, in the order of the block's sorted keys; what was seen after these and of how many types."""
     pdf = pdf[pdf["shard"] >= 0].sort_values("shard")
     kept, seen, types = [np.zeros(0, bool)], [np.zeros(0)], [np.zeros(0)]
-    for sums, bits, n in zip(pdf["sums"], pdf["own"], pdf["n"]):
+    for sums, bits, n in zip(map(_large, pdf["sums"]), map(_large, pdf["own"]), pdf["n"]):
         own = np.unpackbits(np.frombuffer(bits, np.uint8), count=n).astype(bool)
         many = int(own.sum())
         for rows, start in ((seen, 0), (types, 1 + many * sums[0])):
@@ -171,8 +212,15 @@ def _decided(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 # --- blocks --------------------------------------------------------------------------------------------------------
 
 def _save(address: str, **columns: np.ndarray) -> None:
+    """Numbers by bytes of equal weight, which compress well."""
     table = pa.table({k: pa.array(v) for k, v in columns.items()})
-    put_file(address, lambda sink: pq.write_table(table, sink, compression="zstd"))
+    split = {k: "BYTE_STREAM_SPLIT" for k, v in columns.items() if v.dtype != bool}
+    put_file(address, lambda sink: pq.write_table(table, sink, compression="zstd", use_dictionary=False, column_encoding=split))
+
+
+def _by_use(uses: np.ndarray) -> np.ndarray:
+    """Words of a block in falling order of their uses there: numbers in this order compress better."""
+    return np.argsort(-uses.astype(np.int64), kind="stable")
 
 
 def _load(address: str) -> dict[str, np.ndarray]:
@@ -182,26 +230,40 @@ def _load(address: str) -> dict[str, np.ndarray]:
 
 
 class Block:
-    """Token numbers, their hashes and document bounds of one block file."""
+    """Word numbers (in the order of the words' hashes) and document bounds of one block."""
 
     def __init__(self, folder: str, name: str):
         self.name, self._at = name, f"{folder}/{name}"
-        self.vocabulary = _load(f"{self._at}.vocabulary")["hash"].view(np.uint64)
-        self.tokens = _load(f"{self._at}.tokens")["token"]
+        self.tokens = _by_use(self.get("uses")["uses"])[self.get("tokens")["token"]]
         with open_file(f"{self._at}.docs") as source:
             docs = pq.read_table(io.BytesIO(source.read()))
         self.keys, self.held, self.lengths = docs["id"].to_pylist(), docs["held"].to_numpy(), docs["length"].to_numpy()
-        self.hashes = self.vocabulary[self.tokens]
         self.inside = np.arange(len(self.tokens)) - np.repeat(np.cumsum(self.lengths) - self.lengths, self.lengths)
         self.trained = np.repeat(~self.held, self.lengths)
 
+    @cached_property
+    def numbers(self) -> np.ndarray:
+        """The corpus's number of the word at each place; 0 for words that are not met twice, which no n-gram asked for holds."""
+        many = self.get("count1")["count"] >= 2
+        out = np.zeros(len(many), np.uint64)
+        out[many] = self.get("numbers")["number"].view(np.uint64)
+        return out[self.tokens]
+
     def grams(self, n: int) -> np.ndarray:
         """Hash of the n words that end at each place; without meaning in the first n - 1 places of a document."""
-        out = self.hashes
+        words = out = mix(self.numbers + np.uint64(1))
         for _ in range(n - 1):
-            out = np.concatenate([out[:1], mix(out[:-1] * _STEP + self.hashes[1:])])
+            out = np.concatenate([out[:1], mix(out[:-1] * _STEP + words[1:])])
         return out
 
+    def keys_of(self, n: int, places: np.ndarray, width: int) -> tuple[np.ndarray, int]:
+        """Keys of the n-grams that end at these places, and their bits: two numbers of ``width`` bits for a pair or a
+        word (then the first is one that no word has), or a hash."""
+        if n <= 2 and width <= 32:
+            first = self.numbers[places - 1] if n == 2 else np.uint64((1 << width) - 1)
+            return _spread((first << np.uint64(width)) | self.numbers[places], 2 * width), 2 * width
+        return self.grams(n)[places], 64
+
     def put(self, name: str, **columns: np.ndarray) -> None:
         _save(f"{self._at}.{name}", **columns)
 
@@ -236,9 +298,11 @@ def _cut(folder: str, bits: int):
         keys, held = pa.concat_arrays(ids), pa.concat_arrays(held).to_numpy(zero_copy_only=False)
         docs = pa.table({"id": keys, "held": held, "length": lengths})
         put_file(f"{folder}/{name}.docs", lambda sink: pq.write_table(docs, sink))
-        vocab = pa.table({"hash": vocabulary.view(np.int64)})
-        put_file(f"{folder}/{name}.vocabulary", lambda sink: pq.write_table(vocab, sink, compression="zstd", use_dictionary=False, column_encoding="DELTA_BINARY_PACKED"))
-        _save(f"{folder}/{name}.tokens", token=tokens.astype(np.int32))
+        uses = np.bincount(tokens, minlength=len(vocabulary))
+        rank = np.empty(len(uses), np.int32)
+        rank[_by_use(uses)] = np.arange(len(uses), dtype=np.int32)
+        _save(f"{folder}/{name}.uses", uses=uses)
+        _save(f"{folder}/{name}.tokens", token=rank[tokens])
         trained = np.bincount(tokens, weights=np.repeat(~held, lengths), minlength=len(vocabulary))
         rows = list(_requests(name, vocabulary, trained, bits))
         return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), (pa.string(), pa.int32(), pa.binary(), pa.binary()))],
@@ -259,62 +323,70 @@ def _cut(folder: str, bits: int):
     return run
 
 
-def _grow(folder: str, n: int, frequent: int, bits: int):
+def _grow(folder: str, n: int, frequent: int, bits: int, width: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         """Takes in the answers on n-1 words and asks for those on n."""
         block = Block(folder, pdf["block"].iloc[0])
-        _take(block, pdf, n - 1, frequent)
+        _take(block, pdf, n - 1, frequent, bits, width)
         places = block.asked(n, frequent)
-        keys, place = np.unique(block.grams(n)[places], return_inverse=True)
+        keys, of = block.keys_of(n, places, width)
+        keys, place = np.unique(keys, return_inverse=True)
         seen = np.bincount(place, weights=block.trained[places], minlength=len(keys))
-        return pd.DataFrame(list(_requests(block.name, keys, seen, bits)), columns=["block", "shard", "keys", "sums"])
+        return pd.DataFrame(list(_requests(block.name, keys, seen, bits, of)), columns=["block", "shard", "keys", "sums"])
     return run
 
 
-def _take(block: Block, pdf: pd.DataFrame, n: int, frequent: int) -> None:
+def _take(block: Block, pdf: pd.DataFrame, n: int, frequent: int, bits: int, width: int) -> None:
     """Stores the counts of n words at each place, and where a gram stands that this block is the first to hold."""
-    found, own = _counted(pdf)
     if n == 1:
+        found, numbers = _numbered(pdf, bits)
         block.put("count1", count=found)
+        block.put("numbers", number=numbers)
         return
+    found, own = _counted(pdf)
     places = block.asked(n, frequent)
-    _, first, place = np.unique(block.grams(n)[places], return_index=True, return_inverse=True)
+    _, first, place = np.unique(block.keys_of(n, places, width)[0], return_index=True, return_inverse=True)
     counts, mine = np.zeros(len(block.tokens), np.int64), np.zeros(len(block.tokens), bool)
     counts[places] = found[place]
     mine[places[first[own]]] = True
     block.put(f"count{n}", count=counts, own=mine)
 
 
-def _contexts(block: Block, depth: int, frequent: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Sorted hashes of the block's contexts, and for each order the places that follow one."""
+def _contexts(block: Block, depth: int, frequent: int, width: int) -> tuple[np.ndarray, int, list[tuple[np.ndarray, np.ndarray]]]:
+    """Sorted keys of the block's contexts, their bits, and for each order the places that follow one and which it is."""
+    if depth > 2:
+        width = 64  # longer contexts have hashes alone, and so have all that stand beside them
     places = [block.after(n, frequent) for n in range(2, depth + 2)]
-    return np.unique(np.concatenate([block.grams(n)[p - 1] for n, p in enumerate(places, 1)])), places
+    found = [block.keys_of(n, p - 1, width) for n, p in enumerate(places, 1)]
+    keys, of = np.unique(np.concatenate([k for k, _ in found]), return_inverse=True)
+    return keys, found[0][1], list(zip(places, np.split(of, np.cumsum([len(p) for p in places])[:-1])))
 
 
-def _gains(folder: str, depth: int, frequent: int, discount: float, bits: int, tokens: float):
+def _gains(folder: str, depth: int, frequent: int, discount: float, bits: int, width: int, tokens: float):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         """Takes in the last counts and asks which contexts are kept; tells of them gain, seen, types and count.
 
         Each repeated n-gram is put in by the block that is first to hold it, so it counts once.
         """
         block = Block(folder, pdf["block"].iloc[0])
-        _take(block, pdf, depth + 1, frequent)
-        keys, _ = _contexts(block, depth, frequent)
+        _take(block, pdf, depth + 1, frequent, bits, width)
+        keys, of, after = _contexts(block, depth, frequent, width)
         sums = np.zeros((4, len(keys)))
         counts = {n: block.counts(n) for n in range(1, depth + 2)}
         for n in range(2, depth + 2):
-            at = np.flatnonzero(block.get(f"count{n}")["own"] & (counts[n] >= 2))
+            at, k = after[n - 2]
+            told = (block.get(f"count{n}")["own"] & (counts[n] >= 2))[at]
+            at, k = at[told], k[told]
             c, whole = counts[n][at], counts[n - 1][at - 1]
             parent = counts[n - 1][at] / (tokens if n == 2 else counts[n - 2][at - 1])
-            k = np.searchsorted(keys, block.grams(n - 1)[at - 1])
             for row, value in enumerate((c * np.log((c - discount) / whole / parent), c, np.ones(len(at)))):
                 sums[row] += np.bincount(k, weights=value, minlength=len(keys))
             sums[3, k] = whole
-        return pd.DataFrame(list(_requests(block.name, keys, sums, bits)), columns=["block", "shard", "keys", "sums"])
+        return pd.DataFrame(list(_requests(block.name, keys, sums, bits, of)), columns=["block", "shard", "keys", "sums"])
     return run
 
 
-def _scores(folder: str, depth: int, frequent: int, discount: float, tokens: float, types: int):
+def _scores(folder: str, depth: int, frequent: int, discount: float, width: int, tokens: float, types: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         block = Block(folder, pdf["block"].iloc[0])
         counts = block.counts(1)
@@ -323,10 +395,10 @@ def _scores(folder: str, depth: int, frequent: int, discount: float, tokens: flo
         base = np.add.reduceat(np.log10(chance), cuts)
         known = np.add.reduceat((counts > 0).astype(np.int64), cuts)
         chosen, seen, kinds = _decided(pdf)
-        keys, places = _contexts(block, depth, frequent)
+        _, _, after = _contexts(block, depth, frequent, width)
         before = counts
-        for n, at in enumerate(places, 2):
-            now, k = block.counts(n), np.searchsorted(keys, block.grams(n - 1)[at - 1])
+        for n, (at, k) in enumerate(after, 2):
+            now = block.counts(n)
             kept = chosen[k]
             at, k = at[kept], k[kept]
             whole = before[at - 1]
@@ -362,14 +434,15 @@ def score(docs: DataFrame, depth: int = 2, frequent: int = 16, threshold: float
     def by_block(answers):  # a block that had nothing to ask takes part all the same
         return answers.select("block", "shard", "sums", "own", "n").unionByName(waiting).groupBy("block")
 
-    answers = _exchange(asked, _answer(1))
+    answers = _exchange(asked, _answer(1, number=True))
     forget(asked)
-    types, tokens = answers.agg(F.sum("types"), F.sum("tokens")).first()
+    types, tokens, numbers = answers.agg(F.sum("types"), F.sum("tokens"), F.max("numbers")).first()
     if types is None:
         return spark.createDataFrame([], schema).withColumnRenamed("id", key)
+    width = bits + int(numbers).bit_length()  # a word's number: its number in the shard and the shard
     for n in range(2, depth + 2):
-        taken, answers = answers, _exchange(by_block(answers).applyInPandas(_grow(folder, n, frequent, bits), _ASK), _answer(2))
+        taken, answers = answers, _exchange(by_block(answers).applyInPandas(_grow(folder, n, frequent, bits, width), _ASK), _answer(2))
         forget(taken)
-    taken, answers = answers, _exchange(by_block(answers).applyInPandas(_gains(folder, depth, frequent, discount, bits, tokens), _ASK), _answer_kept(discount, threshold))
+    taken, answers = answers, _exchange(by_block(answers).applyInPandas(_gains(folder, depth, frequent, discount, bits, width, tokens), _ASK), _answer_kept(discount, threshold))
     forget(taken)
-    return by_block(answers).applyInPandas(_scores(folder, depth, frequent, discount, tokens, types), schema).withColumnRenamed("id", key)
+    return by_block(answers).applyInPandas(_scores(folder, depth, frequent, discount, width, tokens, types), schema).withColumnRenamed("id", key)

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 
@@ -215,6 +216,25 @@ def test_suffix_tree(spark, docs):
         assert (r.base_score, r.score) == pytest.approx(plain[r.doc_id][4:])
 
 
+def test_suffix_tree_by_hashes_and_by_pairs_of_numbers(spark):
+    """No context of three words is followed in texts of two, so that longer contexts, which have hashes, change nothing."""
+    table = spark.read.parquet(f"{SF}/documents.parquet").selectExpr("doc_id", "array_join(slice(split(text, ' '), 1, 2), ' ') AS text")
+    pairs, hashes = ({r.doc_id: r.score for r in suffix_tree.score(table, depth=depth, threshold=1.0).collect()} for depth in (2, 3))
+    base = {r.doc_id: r.base_score for r in suffix_tree.score(table, depth=1, threshold=1e9).collect()}
+    assert hashes == pytest.approx(pairs) and pairs != pytest.approx(base)
+
+
+def test_pairs_of_numbered_words_take_few_bytes_and_stay_apart():
+    draw = np.random.default_rng(5)
+    pairs = np.unique(draw.integers(0, 1 << 40, 200_000, dtype=np.uint64))
+    keys = np.sort(suffix_tree._spread(pairs, 40))
+    assert len(np.unique(keys)) == len(pairs) and int(keys.max()) < 1 << 40
+    rows = list(suffix_tree._requests("b", keys, np.ones(len(keys)), 5, 40))
+    assert (np.concatenate(suffix_tree._asked_keys(pd.DataFrame(rows, columns=["block", "shard", "keys", "sums"]))) == keys).all()
+    sizes = [len(k) + len(s) for _, _, k, s in rows]
+    assert len(rows) == 32 and max(sizes) < 1.2 * min(sizes) and sum(sizes) < 4 * len(keys)
+
+
 def test_suffix_tree_with_a_bar_that_binds(spark):
     table = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     low, high = (_plain_scores(_texts(table), bar, 6.0, 0.75) for bar in (16, 60))
