@@ -232,8 +232,8 @@ def _load(address: str) -> dict[str, np.ndarray]:
 class Block:
     """Word numbers (in the order of the words' hashes) and document bounds of one block."""
 
-    def __init__(self, folder: str, name: str):
-        self.name, self._at = name, f"{folder}/{name}"
+    def __init__(self, folder: str, name: str, frequent: int, width: int):
+        self.name, self._at, self._frequent, self._width, self._found = name, f"{folder}/{name}", frequent, width, {}
         self.tokens = _by_use(self.get("uses")["uses"])[self.get("tokens")["token"]]
         with open_file(f"{self._at}.docs") as source:
             docs = pq.read_table(io.BytesIO(source.read()))
@@ -272,17 +272,35 @@ class Block:
 
     def counts(self, n: int) -> np.ndarray:
         """Corpus count of the n words that end at each place; 0 where they were not asked for."""
-        return self.get("count1")["count"][self.tokens] if n == 1 else self.get(f"count{n}")["count"]
+        if n == 1:
+            return self.get("count1")["count"][self.tokens]
+        if n not in self._found:
+            places, _, _, _, place = self.asked(n)
+            self._found[n] = np.zeros(len(self.tokens), np.int64)
+            self._found[n][places] = self.get(f"count{n}")["count"][place]
+        return self._found[n]
+
+    def owned(self, n: int) -> np.ndarray:
+        """Whether a gram stands at a place that this block is the first to hold; one place of each."""
+        places, _, _, first, _ = self.asked(n)
+        out = np.zeros(len(self.tokens), bool)
+        out[places[first[self.get(f"count{n}")["own"]]]] = True
+        return out
 
-    def after(self, n: int, frequent: int) -> np.ndarray:
+    def after(self, n: int) -> np.ndarray:
         """Places that follow a context of n - 1 words that is frequent enough."""
         before = np.concatenate([[0], self.counts(n - 1)[:-1]])
-        return np.flatnonzero((self.inside >= n - 1) & (before >= frequent))
+        return np.flatnonzero((self.inside >= n - 1) & (before >= self._frequent))
 
-    def asked(self, n: int, frequent: int) -> np.ndarray:
-        """Those of them whose n-gram may occur again, as its last n - 1 words do."""
-        places = self.after(n, frequent)
-        return places[self.counts(n - 1)[places] >= 2]
+    def asked(self, n: int) -> tuple[np.ndarray, int, np.ndarray, np.ndarray, np.ndarray]:
+        """Those of them whose n-gram may occur again, as its last n - 1 words do; the bits of its key, the sorted keys,
+        where each is first and which of them stands at each place."""
+        if ("asked", n) not in self._found:
+            places = self.after(n)
+            places = places[self.counts(n - 1)[places] >= 2]
+            keys, of = self.keys_of(n, places, self._width)
+            self._found["asked", n] = places, of, *np.unique(keys, return_index=True, return_inverse=True)
+        return self._found["asked", n]
 
 
 def _cut(folder: str, bits: int):
@@ -326,37 +344,30 @@ def _cut(folder: str, bits: int):
 def _grow(folder: str, n: int, frequent: int, bits: int, width: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         """Takes in the answers on n-1 words and asks for those on n."""
-        block = Block(folder, pdf["block"].iloc[0])
-        _take(block, pdf, n - 1, frequent, bits, width)
-        places = block.asked(n, frequent)
-        keys, of = block.keys_of(n, places, width)
-        keys, place = np.unique(keys, return_inverse=True)
+        block = Block(folder, pdf["block"].iloc[0], frequent, width)
+        _take(block, pdf, n - 1, bits)
+        places, of, keys, _, place = block.asked(n)
         seen = np.bincount(place, weights=block.trained[places], minlength=len(keys))
         return pd.DataFrame(list(_requests(block.name, keys, seen, bits, of)), columns=["block", "shard", "keys", "sums"])
     return run
 
 
-def _take(block: Block, pdf: pd.DataFrame, n: int, frequent: int, bits: int, width: int) -> None:
-    """Stores the counts of n words at each place, and where a gram stands that this block is the first to hold."""
+def _take(block: Block, pdf: pd.DataFrame, n: int, bits: int) -> None:
+    """Stores the counts of the n-grams that the block asked for, and which of these it is the first to hold."""
     if n == 1:
         found, numbers = _numbered(pdf, bits)
         block.put("count1", count=found)
         block.put("numbers", number=numbers)
         return
     found, own = _counted(pdf)
-    places = block.asked(n, frequent)
-    _, first, place = np.unique(block.keys_of(n, places, width)[0], return_index=True, return_inverse=True)
-    counts, mine = np.zeros(len(block.tokens), np.int64), np.zeros(len(block.tokens), bool)
-    counts[places] = found[place]
-    mine[places[first[own]]] = True
-    block.put(f"count{n}", count=counts, own=mine)
+    block.put(f"count{n}", count=found, own=own)
 
 
-def _contexts(block: Block, depth: int, frequent: int, width: int) -> tuple[np.ndarray, int, list[tuple[np.ndarray, np.ndarray]]]:
+def _contexts(block: Block, depth: int, width: int) -> tuple[np.ndarray, int, list[tuple[np.ndarray, np.ndarray]]]:
     """Sorted keys of the block's contexts, their bits, and for each order the places that follow one and which it is."""
     if depth > 2:
         width = 64  # longer contexts have hashes alone, and so have all that stand beside them
-    places = [block.after(n, frequent) for n in range(2, depth + 2)]
+    places = [block.after(n) for n in range(2, depth + 2)]
     found = [block.keys_of(n, p - 1, width) for n, p in enumerate(places, 1)]
     keys, of = np.unique(np.concatenate([k for k, _ in found]), return_inverse=True)
     return keys, found[0][1], list(zip(places, np.split(of, np.cumsum([len(p) for p in places])[:-1])))
@@ -368,14 +379,14 @@ def _gains(folder: str, depth: int, frequent: int, discount: float, bits: int, w
 
         Each repeated n-gram is put in by the block that is first to hold it, so it counts once.
         """
-        block = Block(folder, pdf["block"].iloc[0])
-        _take(block, pdf, depth + 1, frequent, bits, width)
-        keys, of, after = _contexts(block, depth, frequent, width)
+        block = Block(folder, pdf["block"].iloc[0], frequent, width)
+        _take(block, pdf, depth + 1, bits)
+        keys, of, after = _contexts(block, depth, width)
         sums = np.zeros((4, len(keys)))
         counts = {n: block.counts(n) for n in range(1, depth + 2)}
         for n in range(2, depth + 2):
             at, k = after[n - 2]
-            told = (block.get(f"count{n}")["own"] & (counts[n] >= 2))[at]
+            told = (block.owned(n) & (counts[n] >= 2))[at]
             at, k = at[told], k[told]
             c, whole = counts[n][at], counts[n - 1][at - 1]
             parent = counts[n - 1][at] / (tokens if n == 2 else counts[n - 2][at - 1])
@@ -388,14 +399,14 @@ def _gains(folder: str, depth: int, frequent: int, discount: float, bits: int, w
 
 def _scores(folder: str, depth: int, frequent: int, discount: float, width: int, tokens: float, types: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        block = Block(folder, pdf["block"].iloc[0])
+        block = Block(folder, pdf["block"].iloc[0], frequent, width)
         counts = block.counts(1)
         chance = (counts + 0.1) / (tokens + 0.1 * (types + 1))
         cuts = np.cumsum(block.lengths) - block.lengths
         base = np.add.reduceat(np.log10(chance), cuts)
         known = np.add.reduceat((counts > 0).astype(np.int64), cuts)
         chosen, seen, kinds = _decided(pdf)
-        _, _, after = _contexts(block, depth, frequent, width)
+        _, _, after = _contexts(block, depth, width)
         before = counts
         for n, (at, k) in enumerate(after, 2):
             now = block.counts(n)
