@@ -103,10 +103,13 @@ def j11(spark, sf):
 SELECT l_suppkey, count(*) AS n, count(*) FILTER (WHERE l_returnflag = 'R') AS returned, CAST(sum(CASE WHEN l_linestatus = 'O' THEN CAST(l_quantity AS BIGINT) ELSE 0 END) AS BIGINT) AS open_quantity,
        min(l_shipdate) AS first_ship, max(l_quantity) AS largest, bool_and(l_discount <= 0.1) AS all_small, max_by(l_partkey, l_orderkey * 10 + l_linenumber) AS last_part FROM lineitem GROUP BY 1""")
 def k01(spark, sf):
-    return read(spark, sf, "lineitem").groupBy("l_suppkey").agg(
-        F.count("*").alias("n"), F.count_if(F.col("l_returnflag") == "R").alias("returned"), F.sum(F.when(F.col("l_linestatus") == "O", F.col("l_quantity").cast("bigint")).otherwise(0)).alias("open_quantity"),
+    """A cast rounds halves to even, as in SQL. Of lines that share the largest order and line number, the first in the table tells the part; lines without a part tell none."""
+    lines = read(spark, sf, "lineitem").select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    at = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    return lines.groupBy("l_suppkey").agg(
+        F.count("*").alias("n"), F.count_if(F.col("l_returnflag") == "R").alias("returned"), F.sum(F.when(F.col("l_linestatus") == "O", F.rint("l_quantity").cast("bigint")).otherwise(0)).alias("open_quantity"),
         F.min("l_shipdate").alias("first_ship"), F.max("l_quantity").alias("largest"), F.bool_and(F.col("l_discount") <= 0.1).alias("all_small"),
-        F.max_by("l_partkey", F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("last_part"))
+        F.min_by("l_partkey", F.when(at.isNotNull() & F.col("l_partkey").isNotNull(), F.struct(-at, "_file", "_row"))).alias("last_part"))
 
 
 @register("k02_count_distinct", "SELECT l_returnflag, count(DISTINCT l_partkey) AS parts, count(DISTINCT (l_partkey, l_suppkey)) AS pairs, count(DISTINCT CASE WHEN l_quantity > 25 THEN l_suppkey END) AS big_suppliers FROM lineitem GROUP BY 1")
