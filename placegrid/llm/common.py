@@ -37,14 +37,19 @@ def held(name: tuple, make):
     What earlier operators left free in this process goes back to the system first.
     """
     if name not in _held:
-        _held.clear()
-        _powers.clear()
-        gc.collect()
-        give_back()
+        let_go()
         _held[name] = make()
     return _held[name]
 
 
+def let_go() -> None:
+    """Nothing of earlier operators is kept by this process any more, and its memory goes back to the system."""
+    _held.clear()
+    _powers.clear()
+    gc.collect()
+    give_back()
+
+
 def give_back() -> None:
     """Memory that this process has free goes back to the system."""
     pa.default_memory_pool().release_unused()

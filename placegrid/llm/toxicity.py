@@ -12,12 +12,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from placegrid.llm.common import PUNCTUATION, batches_of, chosen_rows, held as kept_by_worker, id_remainder, mix, text_arrays, word_bounds, word_hashes
+from placegrid.llm.common import PUNCTUATION, batches_of, chosen_rows, held as kept_by_worker, id_remainder, let_go, mix, text_arrays, word_bounds, word_hashes
 
 BITS = 20
 #: Most labelled rows that training may see, half of them of each label where there are as many.
 TRAIN_ROWS = 4_000
 THRESHOLD = 0.7
+#: Bytes of text whose features are found at a time, about; the arrays for it take many times as many.
+BYTES = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -80,8 +82,9 @@ def fit(examples: list[np.ndarray], labels: list[int], alpha: float = 4.0, beta:
 
 
 def _example_rows(batches):
+    let_go()
     for batch in batches:
-        for first, last in batches_of(batch.column(1)):
+        for first, last in batches_of(batch.column(1), BYTES):
             part = batch.slice(first, last - first)
             owner, found = _distinct(part.column(1))
             cuts = np.searchsorted(owner, np.arange(len(part) + 1)).astype(np.int32)
@@ -125,7 +128,7 @@ def _scores(model: Model):
         table[:] = 0
         table[model.features] = model.weights
         for batch in batches:
-            for first, last in batches_of(batch.column(1)):
+            for first, last in batches_of(batch.column(1), BYTES):
                 part = batch.slice(first, last - first)
                 found, owner = features(part.column(1))
                 hit = np.flatnonzero(table[found])
